@@ -20,7 +20,7 @@ from itertools import accumulate
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shared_path
+from ..session import stage_table
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 _ROW_OVERHEAD = 48  # per-row cost of a hashed relation besides the path text
@@ -40,19 +40,20 @@ class Numbering:
         return self.bytes <= BROADCAST_BYTES
 
 
-def number_records(objects: DataFrame, key: str = "file_path") -> Numbering:
-    """Give each object ``record_index`` 0..n-1 in byte order of its unique ``key``."""
+def number_records(objects: DataFrame, key: str = "file_path", stage_keys: bool = False) -> Numbering:
+    """Give each object ``record_index`` 0..n-1 in byte order of its unique ``key``.
+
+    Range partitioning reads its input twice (once to find the ranges).  Where
+    telling the accepted objects is costly, ``stage_keys`` writes their keys
+    first, so that work is done once.
+    """
     spark = objects.sparkSession
-    where = shared_path(spark, "numbering")
-    (
-        objects.select(key)
-        .repartitionByRange(key)
-        .sortWithinPartitions(key)
-        .select(key, F.monotonically_increasing_id().alias("slot"))
-        .write.parquet(where)
-    )
+    keys = objects.select(key)
+    if stage_keys:
+        keys = stage_table(keys, "accepted")
+    ranged = keys.repartitionByRange(key).sortWithinPartitions(key)
     # slot = range number in the upper bits, position in the lower 33 bits
-    placed = spark.read.schema(f"{key} string, slot bigint").parquet(where)
+    placed = stage_table(ranged.select(key, F.monotonically_increasing_id().alias("slot")), "numbering")
     placed = placed.select(
         key,
         F.shiftright("slot", 33).cast("int").alias("bucket"),

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import fixed
+from ..functions.topn import top_n
 
 
 class EmptyInputError(ValueError):
@@ -60,7 +61,7 @@ def preview_report(objects: DataFrame, bucket: str, prefix: str = "") -> DataFra
 
 def route(objects: DataFrame, modality: str) -> DataFrame:
     """Objects whose name has one of the endings of a modality."""
-    return objects.filter(C.has_extension(C.basename("file_path"), fixed.EXTENSIONS[modality]))
+    return objects.filter(C.has_extension("file_path", fixed.EXTENSIONS[modality]))
 
 
 def with_size_label(objects: DataFrame) -> DataFrame:
@@ -81,7 +82,7 @@ def modality_counts(objects: DataFrame, prefix: str = "") -> DataFrame:
     """Per modality: matching objects, and objects scanned.  One pass, three rows."""
     listed = list_objects(objects, prefix)
     matches = [
-        F.count_if(C.has_extension("file_name", fixed.EXTENSIONS[m])).alias(m)
+        F.count_if(C.has_extension("file_path", fixed.EXTENSIONS[m])).alias(m)
         for m in fixed.MODALITIES
     ]
     totals = listed.agg(F.count(F.lit(1)).alias("scanned"), *matches)
@@ -143,4 +144,14 @@ def sample_objects(objects: DataFrame, n: int = 1, seed: int = 0) -> DataFrame:
     The draw is uniform over paths, repeatable, and needs only a top-n per task.
     """
     draw = F.md5(F.concat(F.lit(f"{seed}:"), F.col("file_path")))
-    return objects.orderBy(draw, "file_path").limit(n)
+    return top_n(objects, n, draw, "file_path")
+
+
+def sampled_content(objects: DataFrame, n: int = 1, seed: int = 0) -> DataFrame:
+    """The sampled rows with all their columns, content included.
+
+    Draws from paths alone, then selects the ``n`` drawn paths as literals, so a
+    source ordered by path reads only the parts that hold them.
+    """
+    drawn = sample_objects(objects.select("file_path"), n, seed).collect()  # n rows
+    return objects.filter(F.col("file_path").isin([r["file_path"] for r in drawn]))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions import fixed
 from ..functions.columns import ColumnOrName, as_col
+from ..functions.topn import top_n
 
 
 def registry_append(
@@ -36,13 +37,9 @@ def registry_upsert(log: DataFrame, key: str = "job_arn", seq: str = "seq") -> D
     return latest.select(key, "e.*", "position", seq)
 
 
-def _newest_first(states: DataFrame, ts: str) -> list[Column]:
-    return [F.coalesce(F.col(ts), F.lit("")).desc(), F.col("position").asc()]
-
-
 def registry_recent(states: DataFrame, ts: str = "timestamp", n: int = fixed.RECENT_JOBS) -> DataFrame:
     """The ``n`` newest jobs; equal times keep insertion order."""
-    return states.orderBy(*_newest_first(states, ts)).limit(n)
+    return top_n(states, n, F.coalesce(F.col(ts), F.lit("")).desc(), F.col("position").asc())
 
 
 def registry_latest(states: DataFrame, ts: str = "timestamp") -> DataFrame:

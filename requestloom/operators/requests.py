@@ -285,7 +285,7 @@ def prepare_batch(
     if rejects is None:
         rejects = accepted.sparkSession.createDataFrame([], "file_path string, file_name string, reason string")
 
-    numbering = number_records(accepted)
+    numbering = number_records(accepted, stage_keys=on_error == "reject")
     rows = attach_numbers(accepted.select("file_path", "content"), numbering)
     is_binary = dict(objects.dtypes)["content"] == "binary"
     name = C.basename("file_path")
@@ -324,10 +324,9 @@ def prepare_batch(
 def prepare_stats(objects: DataFrame, max_base64: dict[str, int] | None = None) -> DataFrame:
     """Per modality: processed and skipped counts, from names and sizes alone."""
     limits = {**fixed.MAX_BASE64, **(max_base64 or {})}
-    name = C.basename("file_path")
     aggs = []
     for m in fixed.MODALITIES:
-        mine = C.has_extension(name, fixed.EXTENSIONS[m])
+        mine = C.has_extension("file_path", fixed.EXTENSIONS[m])
         fits = payload_fits(m, limits[m]) if m in limits else F.lit(True)
         aggs += [F.count_if(mine & fits).alias(m + "_in"), F.count_if(mine & ~fits).alias(m + "_out")]
     rows = F.array(

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions import fixed
 from ..functions import jsonl as J
+from ..functions.topn import top_n
+from ..session import stage_table
 
 
 def nonblank(lines: DataFrame, col: str = "line") -> DataFrame:
@@ -24,12 +26,13 @@ def nonblank(lines: DataFrame, col: str = "line") -> DataFrame:
 def _open(lines: DataFrame, col: str = "line") -> DataFrame:
     """Non-blank lines with the pieces of each envelope, from one parse per line.
 
-    The pieces come out of a one-element ``inline``.  Filters on them therefore
-    stay above it; pushed below, each would repeat the parse.
+    Both steps are one-element ``inline`` calls, which the optimizer does not
+    move: filters on the pieces stay above them (below, each would repeat the
+    parse), and after a top-n only the kept lines are parsed.
     """
-    text = nonblank(lines, col).withColumn("_t", C.strip(col))
-    parsed = text.withColumn("_w", J.strict_variant("_t"))
-    parsed = parsed.withColumn("_v", F.when(J.is_one_value("_w", "_t"), F.col("_w")))
+    wrapped = F.inline(F.array(F.struct(J.strict_variant(C.strip(col)).alias("_w"))))
+    parsed = nonblank(lines, col).select(*lines.columns, wrapped)
+    parsed = parsed.withColumn("_v", F.when(J.is_one_value("_w", C.strip(col)), F.col("_w")))
     content = J.item("_v", ".modelOutput.content")
 
     def either(claude_path: str, nova_path: str) -> Column:
@@ -186,7 +189,7 @@ def first_lines(
     """
     kept = nonblank(lines, col)
     if not by:
-        return kept.orderBy(*order).limit(n)
+        return top_n(kept, n, *order)
     place = Window.partitionBy(*by).orderBy(*order)
     return kept.withColumn("line_no", F.row_number().over(place)).filter(F.col("line_no") <= n)
 
@@ -263,27 +266,33 @@ def read_results_fallback(
     lines are parsed for outputs only.  Per job, the first file in listing order
     that gives rows wins.  ``lines`` holds the lines of each file in ``order``.
 
-    A file's first ``max_bytes`` bytes are within its first ``max_bytes`` lines,
-    so a group limit bounds what the per-file running length has to look at.
+    The running length of a file is taken per input partition first, which drops
+    everything that cannot be in the window, and then over what is left of the
+    file; so a file that holds most of the lines is spread over many tasks.
+    Lines with a ``block_start`` are only looked at in blocks the window reaches.
+    The few rows of each file are written to the shared folder before the winning
+    file is chosen, so the lines are read once.
     """
     usable = lines.filter(
         ~F.col("file_path").endswith("/") & ~F.lower("file_path").contains("manifest")
     )
+    if "block_start" in lines.columns:
+        usable = usable.filter(F.col("block_start") < max_bytes)
     key = [by, "file_path"]
-    in_file = Window.partitionBy(*key).orderBy(*order)
+
+    def window_start(rows: DataFrame, *group: str) -> DataFrame:
+        """Rows whose first byte is inside the window, counted within a group."""
+        before = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        start = F.coalesce(F.sum(F.octet_length("_b") + 1).over(before), F.lit(0))
+        return rows.withColumn("_start", start).filter(F.col("_start") < max_bytes)
+
     # a prefix one byte longer than the window is all of a line that can matter
     cut = F.substring(F.col(col).cast("binary"), 1, max_bytes + 1)
-    head = (
-        usable.withColumn("_b", cut)
-        .withColumn("_n", F.row_number().over(in_file))
-        .filter(F.col("_n") <= max_bytes)
-        .withColumn(
-            "_start",
-            F.sum(F.octet_length("_b") + 1).over(in_file.rowsBetween(Window.unboundedPreceding, -1)),
-        )
-        .withColumn("_start", F.coalesce("_start", F.lit(0)))
-        .filter(F.col("_start") < max_bytes)
-    )
+    head = usable.select(*key, *[c for c in order if c not in key], cut.alias("_b"))
+    head = window_start(head.withColumn("_part", F.spark_partition_id()), *key, "_part")
+    head = window_start(head.drop("_part", "_start"), *key)
+    in_file = Window.partitionBy(*key).orderBy(*order)
+    head = head.withColumn("_n", F.row_number().over(in_file))
     # the byte window may end inside a line, even inside a character
     piece = F.substring(F.col("_b"), F.lit(1), (F.lit(max_bytes) - F.col("_start")).cast("int"))
     head = head.withColumn(col, F.try_validate_utf8(piece.cast("string")))
@@ -297,7 +306,7 @@ def read_results_fallback(
         .select(*key, F.col("_n").alias("line_no"), col)
     )
     rows = _parsed(head, col).filter(F.col("_state") == "success")
-    rows = rows.select(*key, "line_no", *_result_columns()[:3])
+    rows = stage_table(rows.select(*key, "line_no", *_result_columns()[:3]), "fallback")
     winner = rows.groupBy(by).agg(F.min("file_path").alias("file_path"))
     return rows.join(winner, key, "left_semi")
 
@@ -313,13 +322,15 @@ def job_previews(
     """Preview rows per job: from its first result file, else from the fallback scan.
 
     Each file is cut to its first ``n`` lines before anything is joined, so only
-    a few rows per file meet the chosen files.
+    a few rows per file meet the chosen files.  These rows are written to the
+    shared folder, since both the result and the choice of jobs for the fallback
+    need them and the lines should be read for them only once.
     """
     chosen = discover_result_files(listing, by).select(by, F.col("result_key").alias("file_path"))
     heads = first_lines(lines, n, order, [by, "file_path"], col)
     picked = heads.join(chosen.filter(F.col("file_path").isNotNull()), [by, "file_path"], "left_semi")
     wanted = [by, "file_path", "line_no", "record_id", "output_text", "stop_reason"]
-    rows = parse_results(picked, col).select(*wanted)
+    rows = stage_table(parse_results(picked, col).select(*wanted), "previews")
     done = rows.select(by).distinct()
     rest = read_results_fallback(lines.join(done, by, "left_anti"), order, by, col)
     return rows.unionByName(rest.select(*wanted))

@@ -75,12 +75,8 @@ _RAW_MODE_NEEDS = {
 }
 
 
-def required_fields(submissions: DataFrame, modality: str) -> DataFrame:
-    """First rule a job submission breaks, in the order the modality checks them.
-
-    ``model_id`` is the looked-up id (null for an unknown model name).  The test
-    is for empty text; blank text passes.
-    """
+def _first_broken(modality: str) -> tuple[Column, Column]:
+    """Name and message of the first rule a submission of a modality breaks."""
     base = ~(C.is_given("output_bucket") & C.is_given("model_name") & C.is_given("role_arn"))
     no_model = ~C.is_given("model_id")
     use_jsonl = F.coalesce(F.col("use_jsonl"), F.lit(False))
@@ -97,7 +93,21 @@ def required_fields(submissions: DataFrame, modality: str) -> DataFrame:
     rule, message = F, F
     for broken, name, text in rules:
         rule, message = rule.when(broken, F.lit(name)), message.when(broken, F.lit(text))
-    return submissions.withColumns({"rule": rule.otherwise(F.lit("ok")), "message": message})
+    return rule.otherwise(F.lit("ok")), message.otherwise(F.lit(None).cast("string"))
+
+
+def required_fields(submissions: DataFrame) -> DataFrame:
+    """First rule a job submission breaks, in the order its modality checks them.
+
+    ``model_id`` is the looked-up id (null for an unknown model name).  The test
+    is for empty text; blank text passes.
+    """
+    rule, message = F, F
+    for m in fixed.MODALITIES:
+        first, text = _first_broken(m)
+        mine = F.col("modality") == m
+        rule, message = rule.when(mine, first), message.when(mine, text)
+    return submissions.withColumns({"rule": rule, "message": message})
 
 
 _NOVA_FILE = (

@@ -941,11 +941,7 @@ _RULE_NAME = {"no_model": "invalid_model", "no_uri": "missing_jsonl_uri", "no_in
 )
 def required_fields(spark, sf_dir):
     resolved = M.resolve_models(views.submissions(spark, sf_dir))
-    parts = [
-        V.required_fields(resolved.filter(F.col("modality") == m), m).select("cfg_id", "modality", "rule")
-        for m in fixed.MODALITIES
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return V.required_fields(resolved).select("cfg_id", "modality", "rule")
 
 
 # ---------------------------------------------------------------- files, sinks, inference
@@ -1078,7 +1074,7 @@ def infer_batch(spark, sf_dir):
     ),
 )
 def infer_sample(spark, sf_dir):
-    sample = O.sample_objects(O.route(_valid(spark, sf_dir), "text"), n=20, seed=3)
+    sample = O.sampled_content(O.route(_valid(spark, sf_dir), "text"), n=20, seed=3)
     text = Q.text_prompt(PROMPT, "content")
     rows = sample.select(
         "file_path",

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the operators rely on or profit from.  All are run-time SQL settings,
 # so they can be applied to a session somebody else built.
@@ -59,3 +59,13 @@ def shared_root(spark: SparkSession) -> str:
 def shared_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_root(spark)}/requestloom/{label}-{uuid.uuid4().hex}"
+
+
+def stage_table(rows: DataFrame, label: str) -> DataFrame:
+    """Write rows to the shared folder and return the written table.
+
+    Cuts the lineage: later steps read the table, also after losing executors.
+    """
+    where = shared_path(rows.sparkSession, label)
+    rows.write.parquet(where)
+    return rows.sparkSession.read.schema(rows.schema).parquet(where)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import columns as C
 from ..functions import jsonl as J
+from ..functions.topn import top_n
 
 LINE_ORDER = ["file_path", "block_start", "row_id"]
 
@@ -32,7 +33,7 @@ def read_results(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return read_lines(spark, paths)
 
 
-def request_rows(lines: DataFrame, col: str = "line", order: list[str] | None = None) -> DataFrame:
+def request_rows(lines: DataFrame, col: str = "line") -> DataFrame:
     """Record id and ``modelInput`` JSON of ready request lines.
 
     ``model_input`` is null for a line that is not one valid JSON object.
@@ -58,7 +59,7 @@ def read_requests(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 def first_request(lines: DataFrame, order: list[str] = LINE_ORDER, col: str = "line") -> DataFrame:
     """The first request of a file: a top-1, not a full read into memory."""
-    return request_rows(lines.filter(~C.is_blank(col)).orderBy(*order).limit(1), col)
+    return request_rows(top_n(lines.filter(~C.is_blank(col)), 1, *order), col)
 
 
 def read_manifest(spark: SparkSession, paths: str | list[str]) -> DataFrame:
