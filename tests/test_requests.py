@@ -1,0 +1,239 @@
+import base64
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from requestloom.operators import infer as I
+from requestloom.operators import numbering as N
+from requestloom.operators import objects as O
+from requestloom.operators import requests as Q
+from requestloom.operators import rules as V
+from requestloom.sources import lines as L
+
+CLAUDE, NOVA = "us.anthropic.claude-3-haiku-20240307-v1:0", "us.amazon.Nova-pro-v1:0"
+TEXT = 'line "one"\nline two \\ 漢字 \U0001f600'
+
+
+def table(spark, rows, kind="string"):
+    return spark.createDataFrame(rows, f"file_path string, size bigint, content {kind}")
+
+
+def only(batch):
+    rows = batch.requests.collect()
+    assert len(rows) == 1
+    return json.loads(rows[0]["value"])
+
+
+def text_request(spark, model, **options):
+    objects = table(spark, [("d/a.txt", 9, TEXT)])
+    return only(Q.prepare_batch(objects, "text", model, batch_ts=17, prompt="P", **options))
+
+
+def media_request(spark, modality, model, name, **options):
+    objects = table(spark, [(name, 3, bytearray(b"\x00\xffz"))], "binary")
+    return only(Q.prepare_batch(objects, modality, model, batch_ts=17, prompt="U", **options))
+
+
+DATA = base64.b64encode(b"\x00\xffz").decode()
+
+
+def test_claude_text(spark):
+    assert text_request(spark, CLAUDE, max_tokens=5, temperature=0.25) == {
+        "recordId": "17_0",
+        "modelInput": {
+            "anthropic_version": "bedrock-2023-05-31",
+            "max_tokens": 5,
+            "temperature": 0.25,
+            "messages": [{"role": "user", "content": [{"type": "text", "text": "P\n\n原始文本:\n" + TEXT}]}],
+        },
+    }
+
+
+def test_nova_text(spark):
+    got = text_request(spark, NOVA)
+    assert got["modelInput"] == {
+        "schemaVersion": "messages-v1",
+        "messages": [{"role": "user", "content": [{"text": "P\n\n原始文本:\n" + TEXT}]}],
+        "inferenceConfig": {"maxTokens": 2048, "temperature": 0.1, "topP": 0.9},
+    }
+    assert list(got["modelInput"]) == ["schemaVersion", "messages", "inferenceConfig"]
+
+
+def test_separator_of_the_dry_run(spark):
+    got = text_request(spark, NOVA, separator="\n\n")
+    assert got["modelInput"]["messages"][0]["content"][0]["text"] == "P\n\n" + TEXT
+
+
+@pytest.mark.parametrize("system", ["S", "", None])
+def test_claude_image(spark, system):
+    body = media_request(spark, "image", CLAUDE, "a.PNG", system_prompt=system)["modelInput"]
+    assert body.pop("system", None) == (system or None)
+    assert body == {
+        "anthropic_version": "bedrock-2023-05-31",
+        "max_tokens": 300,
+        "temperature": 0.1,
+        "top_p": 0.1,
+        "top_k": 100,
+        "messages": [
+            {
+                "role": "user",
+                "content": [
+                    {"type": "image", "source": {"type": "base64", "media_type": "image/jpeg", "data": DATA}},
+                    {"type": "text", "text": "U"},
+                ],
+            }
+        ],
+    }
+
+
+@pytest.mark.parametrize("system", ["S", ""])
+def test_nova_image(spark, system):
+    body = media_request(spark, "image", NOVA, "a.png", system_prompt=system)["modelInput"]
+    assert body.pop("system", None) == ([{"text": "S"}] if system else None)
+    assert body == {
+        "schemaVersion": "messages-v1",
+        "messages": [
+            {"role": "user", "content": [{"image": {"format": "jpeg", "source": {"bytes": DATA}}}, {"text": "U"}]}
+        ],
+        "inferenceConfig": {"maxTokens": 300, "temperature": 0.1, "topP": 0.9},
+    }
+
+
+def test_image_type_from_name(spark):
+    kind = lambda name: media_request(spark, "image", NOVA, name, media_type="from_name")["modelInput"]["messages"][0][
+        "content"
+    ][0]["image"]["format"]
+    assert [kind("a.JPG"), kind("a.webp")] == ["jpeg", "webp"]
+
+
+@pytest.mark.parametrize("name,kind", [("a.MOV", "mov"), ("b.mp4", "mp4")])
+def test_video(spark, name, kind):
+    body = media_request(spark, "video", CLAUDE, name)["modelInput"]
+    assert body == {
+        "schemaVersion": "messages-v1",
+        "messages": [
+            {"role": "user", "content": [{"video": {"format": kind, "source": {"bytes": DATA}}}, {"text": "U"}]}
+        ],
+        "system": [{"text": "你是一个专业的视频分析助手。"}],
+        "inferenceConfig": {"maxTokens": 300, "topP": 0.1, "topK": 20, "temperature": 0.3},
+    }
+    assert media_request(spark, "video", NOVA, name, system_prompt="S")["modelInput"]["system"] == [{"text": "S"}]
+
+
+def test_unknown_video_ending_is_mp4(spark):
+    df = spark.createDataFrame([("a.xyz",), ("noext",), ("b.FLV",)], "n string")
+    assert [r[0] for r in df.select(Q.video_format("n")).collect()] == ["mp4", "mp4", "flv"]
+
+
+def test_limits_at_one_byte(spark):
+    rows = [("a.jpg", 15_728_640), ("b.jpg", 15_728_641), ("a.mp4", 19_660_800), ("b.mp4", 19_660_801)]
+    objects = spark.createDataFrame(rows, "file_path string, size bigint")
+    for modality in ("image", "video"):
+        kept, rejects = Q.split_by_payload(O.route(objects, modality), modality)
+        assert [r["file_path"][0] for r in kept.collect()] == ["a"]
+        assert [r["file_name"][0] for r in rejects.collect()] == ["b"]
+    stats = {r["modality"]: (r["processed"], r["skipped"]) for r in Q.prepare_stats(objects).collect()}
+    assert stats == {"text": (0, 0), "image": (1, 1), "video": (1, 1)}
+    image_reject = Q.split_by_payload(O.route(objects, "image"), "image")[1].first()["reason"]
+    assert image_reject == "Base64编码后大小 20971524 字符超过限制 20971520"
+
+
+def test_unreadable_text_is_rejected_and_the_rest_numbered_without_gaps(spark):
+    rows = [(f"{i:03}.txt", 4, bytearray(b"\xff" if i % 4 == 1 else "é".encode())) for i in range(40)]
+    batch = Q.prepare_batch(table(spark, rows, "binary").repartition(5), "text", NOVA, batch_ts=1, prompt="p")
+    got = batch.requests.orderBy("file_path").collect()
+    assert [r["record_id"] for r in got] == [f"1_{i}" for i in range(30)]
+    rejected = {r["file_name"] for r in batch.rejects.collect()}
+    assert rejected == {f"{i:03}.txt" for i in range(40) if i % 4 == 1}
+    assert batch.rows == 30
+
+
+def test_fail_mode_stops_at_unreadable_text(spark):
+    objects = table(spark, [("a.txt", 1, bytearray(b"\xff"))], "binary")
+    batch = Q.prepare_batch(objects, "text", NOVA, batch_ts=1, prompt="p", on_error="fail")
+    with pytest.raises(Exception, match="unreadable object a.txt"):
+        batch.requests.collect()
+
+
+def test_an_empty_batch_is_empty(spark):
+    batch = Q.prepare_batch(table(spark, [("a.csv", 1, "x")]), "text", NOVA, batch_ts=1, prompt="p")
+    assert batch.rows == 0 and batch.requests.count() == 0 and batch.rejects.count() == 0
+
+
+# ---------------------------------------------------------------- numbering
+
+
+@pytest.mark.parametrize("limit", [0, N.BROADCAST_BYTES])
+def test_numbers_follow_byte_order(spark, monkeypatch, limit):
+    monkeypatch.setattr(N, "BROADCAST_BYTES", limit)
+    names = [f"{p}/{i * 7919 % 5000:05}" for p in ("hot",) for i in range(5000)]
+    names += ["É", "z", "Z", "a/b", "a", "\U0001f600", "￿", "_x", ".y"]
+    df = spark.createDataFrame([(n, n[::-1]) for n in names], "file_path string, content string").repartition(13)
+    numbering = N.number_records(df)
+    got = {r["file_path"]: (r["record_index"], r["content"]) for r in N.attach_numbers(df, numbering).collect()}
+    assert got == {n: (i, n[::-1]) for i, n in enumerate(sorted(names, key=lambda s: s.encode()))}
+    assert numbering.rows == len(names)
+
+
+def test_payload_stays_in_place_when_numbers_are_small(spark, plan_of):
+    rows = [(f"{i:04}.txt", 4, "text") for i in range(100)]
+    batch = Q.prepare_batch(table(spark, rows), "text", NOVA, batch_ts=1, prompt="p", on_error="fail")
+    plan = plan_of(batch.requests)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+
+
+# ---------------------------------------------------------------- request lines
+
+
+def test_check_format_sees_keys_with_null_values(spark):
+    lines = [
+        '{"recordId":"n","modelInput":{"schemaVersion":null,"inferenceConfig":{}}}',
+        '{"recordId":"c","modelInput":{"anthropic_version":"x","max_tokens":null}}',
+        '{"recordId":"o","modelInput":{"schemaVersion":"x"}}',
+        '{"modelInput":{}}',
+        '{"recordId":"x"}',
+    ]
+    df = spark.createDataFrame([(v,) for v in lines], "line string")
+    nova = [(r["record_id"], r["format"], r["matches"]) for r in V.check_format(df, NOVA).collect()]
+    assert nova == [
+        ("n", "nova", True), ("c", "claude", False), ("o", "other", True), ("unknown", "other", True), ("x", "other", True),
+    ]
+    claude = [(r["record_id"], r["matches"]) for r in V.check_format(df, CLAUDE).collect()]
+    assert claude == [("n", False), ("c", True), ("o", True), ("unknown", True), ("x", True)]
+    message = V.check_format(df, NOVA).filter("not matches").first()["message"]
+    assert "Claude" in message and "max_tokens" in message
+
+
+def test_request_rows(spark):
+    lines = ['{"recordId":"1","modelInput":{"a":1}}', '{"x":1}', '{"recordId":"1"} x', "", "{bad", '{"modelInput":[1]}']
+    df = spark.createDataFrame(list(enumerate(lines)), "n int, line string")
+    got = [(r["n"], r["record_id"], r["model_input"]) for r in L.request_rows(df).orderBy("n").collect()]
+    assert got == [(0, "1", '{"a":1}'), (1, "unknown", "{}"), (2, None, None), (4, None, None), (5, "unknown", "[1]")]
+
+
+# ---------------------------------------------------------------- inference
+
+
+def make_flaky():
+    def score(rid, body):
+        if rid == "bad":
+            raise I.ScoringError("no", code=503, retryable=True)
+        if rid == "worse":
+            raise KeyError("x")
+        return {"content": [{"text": body["t"].upper()}], "usage": {"input_tokens": 2}}
+
+    return score
+
+
+def test_scorer_errors_become_rows(spark):
+    rows = [(r, json.dumps({"recordId": r, "modelInput": {"t": "é" + r}})) for r in ("ok", "bad", "worse")]
+    requests = spark.createDataFrame(rows, "record_id string, value string")
+    out = {r["record_id"]: json.loads(r["value"]) for r in I.infer_batch(requests, make_flaky).collect()}
+    assert out["ok"]["modelOutput"]["content"][0]["text"] == "ÉOK"
+    assert out["bad"]["error"] == {"errorCode": 503, "errorMessage": "no", "retryable": True}
+    assert out["worse"]["error"]["retryable"] is False
+    sample = {r["file_info"]: r for r in I.infer_sample(requests, make_flaky).collect()}
+    assert sample["ok"]["success"] and sample["ok"]["input_tokens"] == 2 and sample["ok"]["output_tokens"] == 0
+    assert not sample["bad"]["success"] and sample["bad"]["error"] == "no" and sample["bad"]["output_text"] is None
+    assert sample["ok"]["model_input_preview"] == json.dumps({"t": "éok"}, ensure_ascii=False, indent=2) + "..."
