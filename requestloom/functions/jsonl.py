@@ -24,12 +24,8 @@ def strict_variant(line: ColumnOrName) -> Column:
 
 def is_one_value(wrapped: ColumnOrName, line: ColumnOrName) -> Column:
     """Whether the wrapped line was exactly one JSON value."""
-    w = as_col(wrapped)
-    return F.coalesce(
-        (F.try_variant_get(w, "$[1]", "bigint") == F.xxhash64(as_col(line)))
-        & F.try_variant_get(w, "$[2]", "variant").isNull(),
-        F.lit(False),
-    )
+    tail = F.try_variant_get(as_col(wrapped), "$[1]", "bigint")
+    return F.coalesce(tail == F.xxhash64(as_col(line)), F.lit(False))
 
 
 def item(wrapped: ColumnOrName, path: str, kind: str = "variant") -> Column:

@@ -46,14 +46,18 @@ def _answer(score: Scorer, record_id: str, line: str) -> dict:
 
 
 def infer_batch(
-    requests: DataFrame, make_scorer: Callable[[], Scorer], keep: tuple[str, ...] = ()
+    requests: DataFrame,
+    make_scorer: Callable[[], Scorer],
+    keep: tuple[str, ...] = (),
+    tasks: int | None = None,
 ) -> DataFrame:
     """One result line per request (``record_id, value``) and its seconds.
 
     ``requests`` has ``record_id`` and the request line in ``value``; ``keep``
-    names string columns to carry along.  Rows stay in their partitions; Arrow
-    batches are bounded in bytes by the session setting
-    ``spark.sql.execution.arrow.maxBytesPerBatch``.
+    names string columns to carry along.  Rows stay in their partitions unless
+    ``tasks`` asks for more of them, which pays when scoring is slower than
+    moving the requests.  Arrow batches are bounded in bytes by the session
+    setting ``spark.sql.execution.arrow.maxBytesPerBatch``.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -69,7 +73,10 @@ def infer_batch(
 
     carried = "".join(f", {c} string" for c in keep)
     schema = f"record_id string, value string{carried}, seconds double"
-    return requests.select("record_id", "value", *keep).mapInPandas(run, schema)
+    rows = requests.select("record_id", "value", *keep)
+    if tasks:
+        rows = rows.repartition(tasks, "record_id")
+    return rows.mapInPandas(run, schema)
 
 
 def infer_sample(requests: DataFrame, make_scorer: Callable[[], Scorer], info: str = "record_id") -> DataFrame:

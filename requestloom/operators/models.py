@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import fixed
+from ..session import small_table
 
 
 def model_catalog(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(fixed.MODEL_CATALOG), schemas.CATALOG)
+    return small_table(spark, schemas.CATALOG, *map(list, zip(*fixed.MODEL_CATALOG)))
 
 
 def resolve_models(requests: DataFrame, catalog: DataFrame | None = None) -> DataFrame:

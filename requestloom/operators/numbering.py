@@ -20,7 +20,7 @@ from itertools import accumulate
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stage_table
+from ..session import small_table, stage_table
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 _ROW_OVERHEAD = 48  # per-row cost of a hashed relation besides the path text
@@ -59,16 +59,12 @@ def number_records(objects: DataFrame, key: str = "file_path", stage_keys: bool
         F.shiftright("slot", 33).cast("int").alias("bucket"),
         F.col("slot").bitwiseAND(F.lit((1 << 33) - 1)).alias("position"),
     )
-    sizes = (
-        placed.groupBy("bucket")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(key)).alias("b"))
-        .orderBy("bucket")
-        .collect()  # one row per range
-    )
-    counts = [r["n"] for r in sizes]
-    starts = [0, *accumulate(counts)]
-    offsets = spark.createDataFrame(
-        [(r["bucket"], s) for r, s in zip(sizes, starts)], "bucket int, first_index bigint"
+    # one row per range
+    ranges = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(key)).alias("b"))
+    sizes = sorted(ranges.collect())
+    starts = [0, *accumulate(r["n"] for r in sizes)]
+    offsets = small_table(
+        spark, "bucket int, first_index bigint", [r["bucket"] for r in sizes], starts[: len(sizes)]
     )
     frame = placed.join(F.broadcast(offsets), "bucket").select(
         key, (F.col("first_index") + F.col("position")).alias("record_index")

@@ -23,39 +23,52 @@ def nonblank(lines: DataFrame, col: str = "line") -> DataFrame:
     return lines.filter(~C.is_blank(col))
 
 
-def _open(lines: DataFrame, col: str = "line") -> DataFrame:
+def _open(lines: DataFrame, col: str = "line", tokens: bool = False) -> DataFrame:
     """Non-blank lines with the pieces of each envelope, from one parse per line.
 
-    Both steps are one-element ``inline`` calls, which the optimizer does not
-    move: filters on the pieces stay above them (below, each would repeat the
-    parse), and after a top-n only the kept lines are parsed.
+    Parsing and packing are one-element ``inline`` calls, which the optimizer
+    does not move: filters on the pieces stay above them (below, each would
+    repeat the parse), and after a top-n only the kept lines are parsed.  Paths
+    that a line's kind makes pointless are not looked up.
     """
-    wrapped = F.inline(F.array(F.struct(J.strict_variant(C.strip(col)).alias("_w"))))
+    line = C.strip_line(col)
+    wrapped = F.inline(F.array(F.struct(J.strict_variant(line).alias("_w"))))
     parsed = nonblank(lines, col).select(*lines.columns, wrapped)
-    parsed = parsed.withColumn("_v", F.when(J.is_one_value("_w", C.strip(col)), F.col("_w")))
-    content = J.item("_v", ".modelOutput.content")
+    parsed = parsed.withColumn("_v", F.when(J.is_one_value("_w", line), F.col("_w")))
+    # a ``content`` key, whatever it holds, makes it the first format
+    parsed = parsed.withColumn("_a", J.item("_v", ".modelOutput.content[0].text"))
+    no_content = F.col("_a").isNull() & J.item("_v", ".modelOutput.content").isNull()
+    parsed = parsed.withColumn(
+        "_b", F.when(no_content, J.item("_v", ".modelOutput.output.message.content[0].text"))
+    )
+    text = F.coalesce("_a", "_b")
 
-    def either(claude_path: str, nova_path: str) -> Column:
-        """By format: a ``content`` key decides."""
-        return F.when(content.isNotNull(), J.item("_v", ".modelOutput." + claude_path)).otherwise(
-            J.item("_v", ".modelOutput." + nova_path)
+    def by_format(a_path: str, b_path: str) -> Column:
+        return F.when(F.col("_a").isNotNull(), J.item("_v", ".modelOutput." + a_path)).when(
+            F.col("_b").isNotNull(), J.item("_v", ".modelOutput." + b_path)
         )
 
-    pieces = F.struct(
+    def without_text(path: str, kind: str = "variant") -> Column:
+        return F.when(text.isNull(), J.item("_v", path, kind))
+
+    pieces = [
         F.col("_v").isNotNull().alias("_is_json"),
         J.item("_v", ".recordId").alias("_id"),
-        J.item("_v", ".modelOutput").isNotNull().alias("_has_output"),
-        either("content[0].text", "output.message.content[0].text").alias("_text"),
-        either("stop_reason", "stopReason").alias("_stop"),
-        either("usage.input_tokens", "usage.inputTokens").alias("_tokens_in"),
-        either("usage.output_tokens", "usage.outputTokens").alias("_tokens_out"),
-        J.item("_v", ".error").isNotNull().alias("_has_error"),
-        J.item("_v", ".error", "map<string,variant>").isNotNull().alias("_is_error"),
-        J.item("_v", ".error.errorCode").alias("_code"),
-        J.item("_v", ".error.errorMessage").alias("_message"),
-        J.item("_v", ".error.retryable").alias("_retry"),
-    )
-    return parsed.select(*lines.columns, F.inline(F.array(pieces)))
+        text.alias("_text"),
+        (text.isNotNull() | J.item("_v", ".modelOutput").isNotNull()).alias("_has_output"),
+        by_format("stop_reason", "stopReason").alias("_stop"),
+        without_text(".error").isNotNull().alias("_has_error"),
+        without_text(".error", "map<string,variant>").isNotNull().alias("_is_error"),
+        without_text(".error.errorCode").alias("_code"),
+        without_text(".error.errorMessage").alias("_message"),
+        without_text(".error.retryable").alias("_retry"),
+    ]
+    if tokens:
+        pieces += [
+            by_format("usage.input_tokens", "usage.inputTokens").alias("_tokens_in"),
+            by_format("usage.output_tokens", "usage.outputTokens").alias("_tokens_out"),
+        ]
+    return parsed.select(*lines.columns, F.inline(F.array(F.struct(*pieces))))
 
 
 def classify_results(lines: DataFrame, col: str = "line") -> DataFrame:
@@ -74,7 +87,7 @@ def _message_part(value: str, default: str) -> Column:
     return F.when(F.col(value).isNull(), F.lit(default)).otherwise(J.display_text(value))
 
 
-def _parsed(lines: DataFrame, col: str) -> DataFrame:
+def _parsed(lines: DataFrame, col: str, tokens: bool = False) -> DataFrame:
     """All non-blank lines with ``_state``: success, error, or the reject reason."""
     state = (
         F.when(~F.col("_is_json"), "malformed_json")
@@ -84,7 +97,7 @@ def _parsed(lines: DataFrame, col: str) -> DataFrame:
         .when(F.col("_has_error"), "unrecognised_error")
         .otherwise("neither_key")
     )
-    return _open(lines, col).withColumn("_state", state)
+    return _open(lines, col, tokens).withColumn("_state", state)
 
 
 def _result_columns() -> list[Column]:
@@ -131,7 +144,7 @@ def parse_results(lines: DataFrame, col: str = "line", tokens: bool = False) ->
 
     ``tokens`` adds the input and output token counts (0 on error rows).
     """
-    rows = _parsed(lines, col).filter(F.col("_state").isin(*_PARSED))
+    rows = _parsed(lines, col, tokens).filter(F.col("_state").isin(*_PARSED))
     usage = _token_columns() if tokens else []
     return rows.select(*_others(lines, col), *_result_columns(), *usage)
 
@@ -150,7 +163,7 @@ def invalid_results(lines: DataFrame, col: str = "line") -> DataFrame:
 
 def token_usage(lines: DataFrame, col: str = "line") -> DataFrame:
     """Input and output tokens of each success row; absent counts are 0."""
-    rows = _parsed(lines, col).filter(F.col("_state") == "success")
+    rows = _parsed(lines, col, tokens=True).filter(F.col("_state") == "success")
     return rows.select(*_others(lines, col), _plain("_id").alias("record_id"), *_token_columns())
 
 
@@ -162,7 +175,7 @@ def run_manifest(lines: DataFrame, by: list[str] | None = None, col: str = "line
     """The six run totals, over all lines or per group."""
     ok, failed = F.col("_state") == "success", F.col("_state") == "error"
     zero = F.lit(0).cast("bigint")
-    counted = _parsed(lines, col).select(*(by or []), "_state", *_token_columns())
+    counted = _parsed(lines, col, tokens=True).select(*(by or []), "_state", *_token_columns())
     return (
         counted.groupBy(*(by or []))
         .agg(

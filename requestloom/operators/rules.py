@@ -123,7 +123,7 @@ _CLAUDE_FILE = (
 def check_format(lines: DataFrame, model_id: str | Column, col: str = "line") -> DataFrame:
     """Format of every request line and whether it suits the model."""
     nova_model = F.lit("nova" in model_id.lower()) if isinstance(model_id, str) else C.is_nova(model_id)
-    opened = lines.withColumn("_h", J.request_head(C.strip(col)))
+    opened = lines.withColumn("_h", J.request_head(C.strip_line(col)))
     body = "_h.r.modelInput."
     nova = F.col(body + "schemaVersion").isNotNull() & F.col(body + "inferenceConfig").isNotNull()
     claude = F.col(body + "anthropic_version").isNotNull() & F.col(body + "max_tokens").isNotNull()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings the operators rely on or profit from.  All are run-time SQL settings,
@@ -69,3 +70,10 @@ def stage_table(rows: DataFrame, label: str) -> DataFrame:
     where = shared_path(rows.sparkSession, label)
     rows.write.parquet(where)
     return rows.sparkSession.read.schema(rows.schema).parquet(where)
+
+
+def small_table(spark: SparkSession, schema: str, *columns: list) -> DataFrame:
+    """A table of driver-side values, given column by column; becomes a local relation."""
+    names = [field.split()[0] for field in schema.split(", ")]
+    table = pa.table(dict(zip(names, columns)))
+    return spark.createDataFrame(table, schema)

@@ -38,7 +38,7 @@ def request_rows(lines: DataFrame, col: str = "line") -> DataFrame:
 
     ``model_input`` is null for a line that is not one valid JSON object.
     """
-    text = C.strip(col)
+    text = C.strip_line(col)
     good = F.col("_h.h") == F.xxhash64(text)
     opened = lines.filter(~C.is_blank(col)).withColumn("_h", J.request_head(text))
     body = F.coalesce(F.get_json_object(text, "$.modelInput"), F.lit("{}"))
