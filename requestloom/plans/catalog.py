@@ -588,8 +588,7 @@ def preview_results(spark, sf_dir):
     return P.preview_results(_lines(spark, sf_dir), ["doc_id"])
 
 
-# Files of jobs.  Whole lines are parsed here, so the fallback query sets the byte
-# window explicitly where it matters.
+# Previews of the files of jobs.
 _FIRST_LINES = {
     "heads": "select * from (select *, row_number() over (partition by job_id, file_path order by doc_id) as line_no"
     " from job_lines where trim(line) <> '') where line_no <= 3",
@@ -597,7 +596,7 @@ _FIRST_LINES = {
     " and lower(file_path) not like '%manifest.json.out%' group by job_id",
     "chosen_heads": "select * from heads join chosen using (job_id, file_path) where json_valid(line)",
     "primary_rows": _rows_sql("chosen_heads"),
-    # fallback: whole files, first five lines from the first non-blank one
+    # fallback: five lines from the first non-blank one; a line cut by the byte window is no valid JSON
     "positions": "select *, row_number() over (partition by job_id, file_path order by doc_id) as n,"
     " coalesce(sum(strlen(line) + 1) over (partition by job_id, file_path order by doc_id"
     " rows between unbounded preceding and 1 preceding), 0) as start_byte from job_lines",
@@ -607,7 +606,8 @@ _FIRST_LINES = {
     "starts": "select job_id, file_path, min(n) filter (where trim(line) <> '') as first_n, bool_or(torn) as torn_file"
     " from inside group by job_id, file_path having not bool_or(torn)",
     "candidates": "select i.job_id, i.file_path, i.n as line_no, i.line from inside i join starts s"
-    " using (job_id, file_path) where i.n >= first_n and i.n < first_n + 5 and json_valid(i.line)",
+    " using (job_id, file_path) where i.n >= first_n and i.n < first_n + 5 and start_byte + strlen(i.line) <= 51200"
+    " and json_valid(i.line)",
     "fallback_rows": "select * from (" + _rows_sql("candidates") + ") where not has_error",
     "fallback_best": "select job_id, min(file_path) as file_path from fallback_rows group by job_id",
     "fallback": "select f.* from fallback_rows f join fallback_best using (job_id, file_path)",
@@ -671,8 +671,8 @@ def parse_warnings(spark, sf_dir):
         " split_part(coalesce(p.file_path, d.result_key), '/', -1) as file_name,"
         " 's3://results-bucket/' || coalesce(p.file_path, d.result_key) as s3_uri, coalesce(p.preview, '') as preview,"
         " case when p.job_id is not null then 's3://results-bucket/' || d.manifest_key end as manifest_s3_uri,"
-        ' case when p.job_id is not null and d.manifest_key is not null then m."totalRecordCount" end as "totalRecordCount",'
-        ' case when p.job_id is not null and d.manifest_key is not null then m."successRecordCount" end as "successRecordCount",'
+        ' case when p.job_id is not null and d.manifest_key is not null then cast(m."totalRecordCount" as varchar) end as "totalRecordCount",'
+        ' case when p.job_id is not null and d.manifest_key is not null then cast(m."successRecordCount" as varchar) end as "successRecordCount",'
         " case when p.job_id is null then '结果文件已找到，但预览数据解析失败。请直接访问S3文件获取完整结果。' end as parse_warning"
         " from found d left join packed p using (job_id) left join totals m using (job_id)"
         " where coalesce(p.file_path, d.result_key) is not null",
@@ -699,7 +699,8 @@ def result_bundle(spark, sf_dir):
     )
     bundle = P.result_bundle(listing, _job_previews(spark, sf_dir), manifests, BUCKET)
     item = F.transform("preview", lambda p: F.concat(p["record_id"], F.lit("="), p["output_text"]))
-    return bundle.withColumn("preview", F.array_join(item, "\n"))
+    counts = {c: F.col(c).cast("string") for c in ("totalRecordCount", "successRecordCount")}
+    return bundle.withColumns({"preview": F.array_join(item, "\n"), **counts})
 
 
 _FOUND_KEYS = {
@@ -947,42 +948,30 @@ def required_fields(spark, sf_dir):
 # ---------------------------------------------------------------- files, sinks, inference
 
 
-def _document_files(spark, sf_dir) -> str:
-    """Each document as a file of its own."""
-    root = shared_path(spark, "documents")
-    docs = views.table(spark, sf_dir, "documents").select("doc_id", "text")
-    docs.write.partitionBy("doc_id").text(root)
+def _one_file_per_row(spark, rows: DataFrame, label: str) -> str:
+    """Each text of a one-column table as a file of its own."""
+    root = shared_path(spark, label)
+    spread = rows.repartition(spark.sparkContext.defaultParallelism)
+    spread.write.option("maxRecordsPerFile", 1).text(root)
     return root
 
 
-def _id_in_path(name: str):
-    return F.regexp_extract("file_path", f"{name}=([^/]+)/", 1)
-
-
 @query(
     "read_text_objects",
-    "select doc_id, strlen(text) + 1 as size, md5(text || chr(10)) as content_md5 from documents",
+    "select strlen(text) + 1 as size, md5(text || chr(10)) as content_md5 from documents",
 )
 def read_text_objects(spark, sf_dir):
-    files = S.read_text_objects(spark, _document_files(spark, sf_dir))
-    return files.select(
-        _id_in_path("doc_id").cast("bigint").alias("doc_id"), "size", F.md5("content").alias("content_md5")
-    )
+    root = _one_file_per_row(spark, views.table(spark, sf_dir, "documents").select("text"), "documents")
+    return S.read_text_objects(spark, root).select("size", F.md5("content").alias("content_md5"))
 
 
 @query(
     "read_binary_objects",
-    "select page_id, strlen(html) + 1 as size, md5(to_base64(encode(html || chr(10)))) as payload_md5 from pages"
-    " where strlen(html) + 1 <= 8000",
+    "select strlen(html) + 1 as size, md5(to_base64(encode(html || chr(10)))) as payload_md5 from pages",
 )
 def read_binary_objects(spark, sf_dir):
-    root = shared_path(spark, "pages")
-    pages = views.table(spark, sf_dir, "pages").select("page_id", "html")
-    pages.write.partitionBy("page_id").text(root)
-    files = S.read_binary_objects(spark, root, max_bytes=8000)
-    return files.select(
-        _id_in_path("page_id").cast("bigint").alias("page_id"), "size", F.md5(C.base64_text("content")).alias("payload_md5")
-    )
+    root = _one_file_per_row(spark, views.table(spark, sf_dir, "pages").select("html"), "pages")
+    return S.read_binary_objects(spark, root).select("size", F.md5(C.base64_text("content")).alias("payload_md5"))
 
 
 @query("write_requests", with_views(f"select {_line_sql(_CLAUDE_TEXT_INPUT)} as line from numbered", "named_objects", **_TEXT_NUMBERED))
@@ -1034,7 +1023,7 @@ def read_manifest(spark, sf_dir):
     uri = shared_path(spark, "manifests")
     P.run_manifest(views.job_lines(spark, sf_dir), by=["job_id"]).write.partitionBy("job_id").json(uri)
     return L.read_manifest(spark, uri).select(
-        _id_in_path("job_id").alias("job_id"),
+        F.regexp_extract("file_path", "job_id=([^/]+)/", 1).alias("job_id"),
         "totalRecordCount",
         "successRecordCount",
         "errorRecordCount",
@@ -1066,7 +1055,7 @@ def infer_batch(spark, sf_dir):
     "infer_sample",
     with_views(
         "select file_path as file_info, n % 7 <> 0 as success, case when n % 7 <> 0 then 'chars=' || n end as output_text,"
-        " case when n % 7 <> 0 then n end as input_tokens, case when n % 7 = 0 then 'bad input' end as error,"
+        " case when n % 7 <> 0 then cast(n as varchar) end as input_tokens, case when n % 7 = 0 then 'bad input' end as error,"
         f" left({_indent_sql(_CLAUDE_TEXT_INPUT)}, 500) || '...' as model_input_preview"
         f" from (select *, {_SCORED} as n from named_objects where {_IS['text']}"
         " order by md5('3:' || file_path), file_path limit 20)",
@@ -1082,5 +1071,10 @@ def infer_sample(spark, sf_dir):
         Q.routed_line(F.col("file_path"), CLAUDE, Q.claude_text_input(text), Q.nova_text_input(text)).alias("value"),
     )
     return I.infer_sample(rows, make_length_scorer, info="file_path").select(
-        "file_info", "success", "output_text", "input_tokens", "error", "model_input_preview"
+        "file_info",
+        "success",
+        "output_text",
+        F.col("input_tokens").cast("string").alias("input_tokens"),
+        "error",
+        "model_input_preview",
     )

@@ -61,11 +61,11 @@ def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 def result_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Result lines of both formats, errors, blank lines and four kinds of bad lines."""
     rid = F.concat(F.lit("0_"), F.col("doc_id").cast("string"))
-    text = F.left("text", F.lit(300))
+    text = F.col("text")
     ok_a = F.to_json(
         F.expr(
             "named_struct('recordId', concat('0_', cast(doc_id as string)), 'modelOutput', named_struct("
-            "'content', array(named_struct('type', 'text', 'text', left(text, 300))),"
+            "'content', array(named_struct('type', 'text', 'text', text)),"
             "'stop_reason', case when doc_id % 2 = 0 then 'end_turn' end,"
             "'usage', named_struct('input_tokens', n_chars, 'output_tokens', doc_id % 300)))"
         )
@@ -185,12 +185,12 @@ def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- the same views as SQL text
 
 _OK_A = """json_object('recordId', '0_' || doc_id, 'modelOutput', case when doc_id % 2 = 0
-    then json_object('content', json_array(json_object('type', 'text', 'text', left(text, 300))),
+    then json_object('content', json_array(json_object('type', 'text', 'text', text)),
       'stop_reason', 'end_turn', 'usage', json_object('input_tokens', n_chars, 'output_tokens', doc_id % 300))
-    else json_object('content', json_array(json_object('type', 'text', 'text', left(text, 300))),
+    else json_object('content', json_array(json_object('type', 'text', 'text', text)),
       'usage', json_object('input_tokens', n_chars, 'output_tokens', doc_id % 300)) end)::varchar"""
 _OK_B = """json_object('recordId', '0_' || doc_id, 'modelOutput', json_object(
-    'output', json_object('message', json_object('content', json_array(json_object('text', left(text, 300))))),
+    'output', json_object('message', json_object('content', json_array(json_object('text', text)))),
     'stopReason', 'end_turn', 'usage', json_object('inputTokens', n_chars, 'outputTokens', doc_id % 300)))::varchar"""
 _ER = """json_object('recordId', '0_' || doc_id, 'error', json_object('errorCode',
     case when doc_id % 4 = 0 then 429 else 400 end, 'errorMessage', 'bad input', 'retryable', doc_id % 4 = 0))::varchar"""

@@ -237,3 +237,20 @@ def test_scorer_errors_become_rows(spark):
     assert sample["ok"]["success"] and sample["ok"]["input_tokens"] == 2 and sample["ok"]["output_tokens"] == 0
     assert not sample["bad"]["success"] and sample["bad"]["error"] == "no" and sample["bad"]["output_text"] is None
     assert sample["ok"]["model_input_preview"] == json.dumps({"t": "éok"}, ensure_ascii=False, indent=2) + "..."
+
+
+# ---------------------------------------------------------------- progress
+
+
+def test_progress_metrics_ride_along(spark, tmp_path):
+    from requestloom.operators import progress as G
+
+    rows = [("a/", 0), ("a/x.jpg", 5), ("a/y.jpg", 50), ("a/z.txt", 5), ("a/e.jpg", 0)]
+    objects = spark.createDataFrame(rows, "file_path string, size bigint").repartition(3)
+    kept, scan = G.observe_listing(objects, "a/")
+    accepted, process = G.observe_batch(kept, "image", max_base64=20)
+    lines, generate = G.observe_requests(accepted.select(F.col("file_path").alias("value")))
+    lines.write.text(str(tmp_path / "out"))
+    assert scan.get == {"scanned": 5, "skipped": 2, "kept": 3}
+    assert process.get == {"scanned": 3, "matched": 2, "accepted": 1, "oversized": 1}
+    assert generate.get == {"records": 1, "characters": 7}
