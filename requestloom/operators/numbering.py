@@ -9,7 +9,8 @@ cannot change any number.
 
 Payload rows are attached afterwards by path: with a broadcast of the numbers
 when their measured size is within ``BROADCAST_BYTES`` (the payload then stays
-where it was read), and with a shuffled hash join beyond that.
+where it was read), and with a shuffled hash join beyond that.  Objects that are
+read by path need no join at all, see ``requests.prepare_listed_batch``.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..session import small_table, stage_table
 
-BROADCAST_BYTES = 64 * 1024 * 1024
+BROADCAST_BYTES = 256 * 1024 * 1024
 _ROW_OVERHEAD = 48  # per-row cost of a hashed relation besides the path text
 
 
@@ -35,10 +36,6 @@ class Numbering:
     rows: int
     bytes: int
 
-    @property
-    def small(self) -> bool:
-        return self.bytes <= BROADCAST_BYTES
-
 
 def number_records(objects: DataFrame, key: str = "file_path", stage_keys: bool = False) -> Numbering:
     """Give each object ``record_index`` 0..n-1 in byte order of its unique ``key``.
@@ -73,11 +70,11 @@ def number_records(objects: DataFrame, key: str = "file_path", stage_keys: bool
     return Numbering(frame, key, rows, sum(r["b"] for r in sizes) + rows * _ROW_OVERHEAD)
 
 
-def attach_numbers(rows: DataFrame, numbering: Numbering) -> DataFrame:
+def attach_numbers(rows: DataFrame, numbering: Numbering, broadcast_bytes: int | None = None) -> DataFrame:
     """Join ``record_index`` to the rows whose key was numbered."""
-    numbers = numbering.frame
-    if numbering.small:
-        numbers = F.broadcast(numbers)
+    bound = BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes
+    if numbering.bytes <= bound:
+        numbers = F.broadcast(numbering.frame)
     else:
-        numbers = numbers.hint("shuffle_hash")
+        numbers = numbering.frame.hint("shuffle_hash")
     return rows.join(numbers, numbering.key)

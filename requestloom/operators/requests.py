@@ -11,9 +11,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..functions import columns as C
 from ..functions import fixed
 from ..functions.columns import ColumnOrName, as_col
+from ..session import stage_table
+from ..sources.fetch import fetch_content, task_count
 from .numbering import attach_numbers, number_records
 from .objects import route
 
@@ -263,6 +266,7 @@ def prepare_batch(
     temperature: float = fixed.TEXT_TEMPERATURE,
     separator: str = fixed.TEXT_SEPARATOR,
     media_type: str = "jpeg",
+    broadcast_bytes: int | None = None,
 ) -> Batch:
     """Numbered requests for every accepted object of one modality.
 
@@ -271,7 +275,8 @@ def prepare_batch(
     rejects, which makes the numbering pass read the content as well;
     ``on_error='fail'`` numbers from the listing columns alone and stops the job
     at the first unreadable object.  ``media_type='from_name'`` labels images by
-    their file ending.
+    their file ending.  ``broadcast_bytes`` bounds the numbers that are brought to
+    the content instead of the content to the numbers.
     """
     if on_error not in ("reject", "fail"):
         raise ValueError("on_error is 'reject' or 'fail'")
@@ -283,42 +288,103 @@ def prepare_batch(
         accepted, unreadable = split_unreadable(accepted, modality)
         rejects = unreadable if rejects is None else rejects.unionByName(unreadable)
     if rejects is None:
-        rejects = accepted.sparkSession.createDataFrame([], "file_path string, file_name string, reason string")
+        rejects = accepted.sparkSession.createDataFrame([], schemas.REJECTS)
 
     numbering = number_records(accepted, stage_keys=on_error == "reject")
-    rows = attach_numbers(accepted.select("file_path", "content"), numbering)
-    is_binary = dict(objects.dtypes)["content"] == "binary"
-    name = C.basename("file_path")
-    rid = record_id(batch_ts)
-    content = F.col("content")
+    rows = attach_numbers(accepted.select("file_path", "content"), numbering, broadcast_bytes)
+    line = _batch_line(
+        rows, modality, model_id, batch_ts, prompt, system_prompt, on_error, max_tokens, temperature, separator, media_type
+    )
+    requests = rows.select("file_path", record_id(batch_ts).alias("record_id"), line.alias("value"))
+    return Batch(requests, rejects, numbering.rows)
+
+
+def prepare_listed_batch(
+    listing: DataFrame,
+    root: str,
+    modality: str,
+    model_id: str,
+    *,
+    batch_ts: int,
+    prompt: str = "",
+    system_prompt: str | None = None,
+    on_error: str = "reject",
+    max_base64: int | None = None,
+    max_tokens: int = fixed.TEXT_MAX_TOKENS,
+    temperature: float = fixed.TEXT_TEMPERATURE,
+    separator: str = fixed.TEXT_SEPARATOR,
+    media_type: str = "jpeg",
+) -> Batch:
+    """The same batch from a listing without content: ``root`` + ``file_path`` names each object.
+
+    Objects are numbered from the listing and then read by the tasks that build
+    their requests, so content is neither joined nor shuffled, however many
+    objects there are.  ``reject`` reads each object once more beforehand, since
+    the numbers only count objects that can be read.
+    """
+    if on_error not in ("reject", "fail"):
+        raise ValueError("on_error is 'reject' or 'fail'")
+    spark = listing.sparkSession
+    accepted, rejects = route(listing, modality).select("file_path", "size"), None
+    if modality in fixed.MAX_BASE64:
+        accepted, rejects = split_by_payload(accepted, modality, max_base64)
+    total = accepted.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    tasks = task_count(total)
+    uri = F.concat(F.lit(root), F.col("file_path")).alias("uri")
+    if on_error == "reject":
+        is_text = modality == "text"
+        seen = fetch_content(accepted.select("file_path", uri), tasks=tasks, keep_content=is_text)
+        good = F.col("problem").isNull()
+        if is_text:
+            good = good & text_content(F.col("content"), True).isNotNull()
+        checked = stage_table(seen.select("file_path", good.alias("good")), "readable")
+        accepted = checked.filter("good")
+        unreadable = checked.filter("not good").select(
+            "file_path", C.basename("file_path").alias("file_name"), F.lit("unreadable content").alias("reason")
+        )
+        rejects = unreadable if rejects is None else rejects.unionByName(unreadable)
+    if rejects is None:
+        rejects = spark.createDataFrame([], schemas.REJECTS)
+
+    numbering = number_records(accepted)
+    rows = fetch_content(numbering.frame.select("file_path", "record_index", uri), tasks=tasks)
+    line = _batch_line(
+        rows, modality, model_id, batch_ts, prompt, system_prompt, "fail", max_tokens, temperature, separator, media_type
+    )
+    requests = rows.select("file_path", record_id(batch_ts).alias("record_id"), line.alias("value"))
+    return Batch(requests, rejects, numbering.rows)
+
+
+def _batch_line(
+    rows, modality, model_id, batch_ts, prompt, system_prompt, on_error, max_tokens, temperature, separator, media_type
+) -> Column:
+    """Request line of rows with ``file_path, record_index, content``."""
+    is_binary = dict(rows.dtypes)["content"] == "binary"
+    rid, name, content = record_id(batch_ts), C.basename("file_path"), F.col("content")
     if modality == "text":
         content = text_content(content, is_binary)
     if on_error == "fail":
-        problem = F.raise_error(F.concat(F.lit("unreadable object "), F.col("file_path"))).cast("string")
-        content = F.coalesce(content, problem if modality == "text" or not is_binary else problem.cast("binary"))
-
+        problem = F.raise_error(F.concat(F.lit("unreadable object "), F.col("file_path")))
+        kind = "binary" if is_binary and modality != "text" else "string"
+        content = F.coalesce(content, problem.cast("string").cast(kind))
     if modality == "text":
         text = text_prompt(prompt, content, separator)
-        line = routed_line(
+        return routed_line(
             rid,
             model_id,
             claude_text_input(text, max_tokens, temperature),
             nova_text_input(text, max_tokens, temperature),
         )
-    else:
-        data = C.base64_text(content if is_binary else F.encode(content, "UTF-8"))
-        if modality == "image":
-            kind = image_format(name) if media_type == "from_name" else None
-            line = routed_line(
-                rid,
-                model_id,
-                claude_image_input(data, prompt, system_prompt, kind),
-                nova_image_input(data, prompt, system_prompt, kind),
-            )
-        else:
-            line = request_line(rid, video_input(data, name, prompt, system_prompt))
-    requests = rows.select("file_path", rid.alias("record_id"), line.alias("value"))
-    return Batch(requests, rejects, numbering.rows)
+    data = C.base64_text(content if is_binary else F.encode(content, "UTF-8"))
+    if modality == "video":
+        return request_line(rid, video_input(data, name, prompt, system_prompt))
+    kind = image_format(name) if media_type == "from_name" else None
+    return routed_line(
+        rid,
+        model_id,
+        claude_image_input(data, prompt, system_prompt, kind),
+        nova_image_input(data, prompt, system_prompt, kind),
+    )
 
 
 def prepare_stats(objects: DataFrame, max_base64: dict[str, int] | None = None) -> DataFrame:

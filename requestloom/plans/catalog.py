@@ -22,6 +22,7 @@ from ..operators import requests as Q
 from ..operators import results as P
 from ..operators import rules as V
 from ..session import shared_path
+from ..sources import fetch as D
 from ..sources import lines as L
 from ..sources import objects as S
 from ..sources import registry as G
@@ -974,6 +975,17 @@ def read_binary_objects(spark, sf_dir):
     return S.read_binary_objects(spark, root).select("size", F.md5(C.base64_text("content")).alias("payload_md5"))
 
 
+@query(
+    "read_listed_objects",
+    "select strlen(html) + 1 as size, md5(to_base64(encode(html || chr(10)))) as payload_md5 from pages",
+)
+def read_listed_objects(spark, sf_dir):
+    """The same files from their listing: tasks open the objects they are given."""
+    root = _one_file_per_row(spark, views.table(spark, sf_dir, "pages").select("html"), "pages")
+    listing = S.scan_objects(spark, root).select(F.col("file_path").alias("uri"), "size")
+    return D.fetch_content(listing, tasks=8).select("size", F.md5(C.base64_text("content")).alias("payload_md5"))
+
+
 @query("write_requests", with_views(f"select {_line_sql(_CLAUDE_TEXT_INPUT)} as line from numbered", "named_objects", **_TEXT_NUMBERED))
 def write_requests(spark, sf_dir):
     uri = K.write_requests(_text_batch(spark, sf_dir), shared_path(spark, "requests"))

@@ -163,3 +163,53 @@ def test_streamed_requests_append(spark, tmp_path):
     requests = spark.readStream.text(str(source)).select(F.to_json(F.struct("value")).alias("value"))
     T.append_requests(requests, str(tmp_path / "out"), str(tmp_path / "log")).awaitTermination()
     assert sorted(r[0] for r in spark.read.text(str(tmp_path / "out")).collect()) == ['{"value":"one"}', '{"value":"two"}']
+
+
+# ---------------------------------------------------------------- content read by path
+
+
+@pytest.mark.parametrize("modality", ["text", "image"])
+def test_listed_batch_equals_scanned_batch(spark, tmp_path, modality, plan_of):
+    from requestloom.operators import requests as Q
+
+    ending = "txt" if modality == "text" else "png"
+    for i in range(40):
+        (tmp_path / f"é {i:02}.{ending}").write_bytes(("字%d" % i).encode() * i + b"!")
+    (tmp_path / f"bad.{ending}").write_bytes(b"\xff")
+    root = str(tmp_path) + "/"
+    files = S.read_binary_objects(spark, root)
+    key = F.substring_index("file_path", "/", -1)
+    files = files.withColumn("file_path", key)
+    listing = files.select("file_path", "size")
+    options = {"batch_ts": 3, "prompt": "p", "max_base64": 400} if modality == "image" else {"batch_ts": 3, "prompt": "p"}
+    scanned = Q.prepare_batch(files, modality, NOVA, **options)
+    listed = Q.prepare_listed_batch(listing, root, modality, NOVA, **options)
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(scanned.requests) == rows(listed.requests)
+    assert rows(scanned.rejects) == rows(listed.rejects)
+    assert scanned.rows == listed.rows == len(rows(listed.requests))
+    assert "Join" not in plan_of(listed.requests).replace("BroadcastHashJoin [bucket", "")
+
+
+def test_listed_batch_rejects_what_is_gone(spark, tmp_path):
+    from requestloom.operators import requests as Q
+
+    (tmp_path / "b.jpg").write_bytes(b"x")
+    listing = spark.createDataFrame([("a.jpg", 1), ("b.jpg", 1)], "file_path string, size bigint")
+    batch = Q.prepare_listed_batch(listing, f"file://{tmp_path}/", "image", NOVA, batch_ts=1)
+    assert [r["record_id"] for r in batch.requests.collect()] == ["1_0"]
+    assert [r["file_path"] for r in batch.rejects.collect()] == ["a.jpg"]
+    strict = Q.prepare_listed_batch(listing, f"file://{tmp_path}/", "image", NOVA, batch_ts=1, on_error="fail")
+    with pytest.raises(Exception, match="unreadable object a.jpg"):
+        strict.requests.collect()
+
+
+def test_fetched_batches_are_cut_by_bytes(spark, tmp_path):
+    from requestloom.sources.fetch import fetch_content
+
+    for i in range(30):
+        (tmp_path / f"{i}").write_bytes(bytes([i]) * (100 * i))
+    listing = spark.createDataFrame([(i, f"{tmp_path}/{i}") for i in range(30)], "n int, uri string").coalesce(1)
+    got = {r["n"]: bytes(r["content"]) for r in fetch_content(listing, chunk_bytes=500).collect()}
+    assert got == {i: bytes([i]) * (100 * i) for i in range(30)}
+    assert fetch_content(listing, keep_content=False, tasks=3).filter("problem is null").count() == 30

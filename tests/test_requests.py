@@ -164,8 +164,16 @@ def test_an_empty_batch_is_empty(spark):
 # ---------------------------------------------------------------- numbering
 
 
+@pytest.fixture()
+def separate_ranges(spark):
+    """Keep small ranges apart, as large ones would be."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
 @pytest.mark.parametrize("limit", [0, N.BROADCAST_BYTES])
-def test_numbers_follow_byte_order(spark, monkeypatch, limit):
+def test_numbers_follow_byte_order(spark, monkeypatch, separate_ranges, limit):
     monkeypatch.setattr(N, "BROADCAST_BYTES", limit)
     names = [f"{p}/{i * 7919 % 5000:05}" for p in ("hot",) for i in range(5000)]
     names += ["É", "z", "Z", "a/b", "a", "\U0001f600", "￿", "_x", ".y"]
@@ -174,6 +182,9 @@ def test_numbers_follow_byte_order(spark, monkeypatch, limit):
     got = {r["file_path"]: (r["record_index"], r["content"]) for r in N.attach_numbers(df, numbering).collect()}
     assert got == {n: (i, n[::-1]) for i, n in enumerate(sorted(names, key=lambda s: s.encode()))}
     assert numbering.rows == len(names)
+    plan = numbering.frame._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "SinglePartition" not in plan
+    assert numbering.frame.select(F.input_file_name()).distinct().count() > 4  # several ranges
 
 
 def test_payload_stays_in_place_when_numbers_are_small(spark, plan_of):
