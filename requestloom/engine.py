@@ -30,10 +30,11 @@ from .sources import lines as L
 from .sources import objects as S
 from .sources import sinks as K
 
-JOB_LOG = (
+JOB_COLUMNS = (
     "job_arn string, output_bucket string, output_prefix string, aws_region string, input_bucket string, "
-    "input_prefix string, timestamp string, job_type string, seq bigint"
+    "input_prefix string, seq bigint"
 )
+JOB_LOG = JOB_COLUMNS.replace("seq bigint", "timestamp string, job_type string, seq bigint")
 STATUS_LOG = "job_arn string, status string, output_s3_uri string, message string, seq bigint"
 
 
@@ -140,8 +141,8 @@ class BatchEngine:
 
     # ------------------------------------------------------------ jobs
 
-    def _log(self, rows: list[tuple], schema: str, where: str) -> None:
-        self.spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(where)
+    def _append(self, entry: DataFrame, where: str) -> None:
+        entry.coalesce(1).write.mode("append").parquet(where)  # one row
 
     def _read_log(self, where: str, schema: str) -> DataFrame:
         try:
@@ -152,7 +153,8 @@ class BatchEngine:
             return self.spark.createDataFrame([], schema)
 
     def _set_status(self, arn: str, status: str, uri: str = "", message: str = "") -> None:
-        self._log([(arn, status, uri, message, time.time_ns())], STATUS_LOG, self._status_at)
+        row = [(arn, status, uri, message, time.time_ns())]
+        self._append(self.spark.createDataFrame(row, STATUS_LOG), self._status_at)
 
     def create_batch_job_from_jsonl(
         self,
@@ -170,8 +172,9 @@ class BatchEngine:
         arn = f"arn:local:model-invocation-job/{uuid.uuid4().hex[:12]}"
         prefix = self.normalize_prefix(output_prefix)
         stamp = time.strftime("%Y-%m-%dT%H:%M:%S", time.gmtime())
-        entry = (arn, output_bucket, prefix, self.region, input_bucket, input_prefix, stamp, job_type, time.time_ns())
-        self._log([entry], JOB_LOG, self._jobs_at)
+        job = [(arn, output_bucket, prefix, self.region, input_bucket, input_prefix, time.time_ns())]
+        job = self.spark.createDataFrame(job, JOB_COLUMNS)
+        self._append(R.registry_append(job, stamp, job_type=job_type), self._jobs_at)
         uri = f"s3://{output_bucket}/{prefix}"
         self._set_status(arn, "InProgress", uri)
         folder = self.place(output_bucket, f"{prefix}{arn.split('/')[-1]}")

@@ -94,33 +94,26 @@ def modality_counts(objects: DataFrame, prefix: str = "") -> DataFrame:
     )
 
 
-_NONE_OF = {
-    "text": "中未找到任何.txt文件",
-    "image": "中未找到任何图片文件",
-    "video": "中未找到任何视频文件",
-}
-
-
 def nonempty_report(objects: DataFrame, bucket: str, prefix: str = "") -> DataFrame:
     """Per modality: whether there is input at all, and the message if not."""
     place = f"在 {bucket}/{prefix} "
-    none_of = F.when(
-        F.col("modality") == "text",
-        F.concat(
-            F.lit(place + _NONE_OF["text"] + "（共"), F.col("scanned").cast("string"), F.lit("个文件）")
-        ),
+    modality = F.col("modality")
+    text_message = F.replace(F.lit(fixed.NO_TEXT), F.lit("{}"), F.col("scanned").cast("string"))
+    none_of = (
+        F.when(modality == "text", text_message)
+        .when(modality == "image", fixed.NO_IMAGES)
+        .otherwise(fixed.NO_VIDEOS)
     )
-    for m in ("image", "video"):
-        none_of = none_of.when(F.col("modality") == m, F.lit(place + _NONE_OF[m]))
     return modality_counts(objects, prefix).select(
         "modality",
         F.when(F.col("scanned") == 0, "no_objects")
         .when(F.col("matched") == 0, "none_of_modality")
         .otherwise("ok")
         .alias("state"),
-        F.when(F.col("scanned") == 0, F.lit(place + "中未找到任何文件"))
-        .when(F.col("matched") == 0, none_of)
-        .alias("message"),
+        F.concat(
+            F.lit(place),
+            F.when(F.col("scanned") == 0, fixed.NO_OBJECTS).when(F.col("matched") == 0, none_of),
+        ).alias("message"),
     )
 
 

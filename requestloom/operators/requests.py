@@ -211,11 +211,8 @@ def split_by_payload(
     """
     limit = fixed.MAX_BASE64[modality] if max_base64 is None else max_base64
     fits = payload_fits(modality, limit)
-    reason = F.concat(
-        F.lit("Base64编码后大小 "),
-        C.base64_length("size").cast("string"),
-        F.lit(f" 字符超过限制 {limit}"),
-    )
+    before, after = fixed.OVERSIZED.format("{}", limit).split("{}")
+    reason = F.concat(F.lit(before), C.base64_length("size").cast("string"), F.lit(after))
     rejects = objects.filter(~fits).select(
         "file_path", C.basename("file_path").alias("file_name"), reason.alias("reason")
     )
@@ -235,7 +232,7 @@ def split_unreadable(objects: DataFrame, modality: str) -> tuple[DataFrame, Data
         usable = text_content(usable, is_binary)
     good = usable.isNotNull()
     rejects = objects.filter(~good).select(
-        "file_path", C.basename("file_path").alias("file_name"), F.lit("unreadable content").alias("reason")
+        "file_path", C.basename("file_path").alias("file_name"), F.lit(fixed.UNREADABLE).alias("reason")
     )
     return objects.filter(good), rejects
 
@@ -340,7 +337,7 @@ def prepare_listed_batch(
         checked = stage_table(seen.select("file_path", good.alias("good")), "readable")
         accepted = checked.filter("good")
         unreadable = checked.filter("not good").select(
-            "file_path", C.basename("file_path").alias("file_name"), F.lit("unreadable content").alias("reason")
+            "file_path", C.basename("file_path").alias("file_name"), F.lit(fixed.UNREADABLE).alias("reason")
         )
         rejects = unreadable if rejects is None else rejects.unionByName(unreadable)
     if rejects is None:

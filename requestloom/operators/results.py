@@ -26,14 +26,15 @@ def nonblank(lines: DataFrame, col: str = "line") -> DataFrame:
 def _open(lines: DataFrame, col: str = "line", tokens: bool = False) -> DataFrame:
     """Non-blank lines with the pieces of each envelope, from one parse per line.
 
-    Parsing and packing are one-element ``inline`` calls, which the optimizer
-    does not move: filters on the pieces stay above them (below, each would
-    repeat the parse), and after a top-n only the kept lines are parsed.  Paths
-    that a line's kind makes pointless are not looked up.
+    Parsing and packing are ``inline`` calls over at most one element, which the
+    optimizer does not move: filters on the pieces stay above them (below, each
+    would repeat the parse), the blank-line test does not repeat the making of
+    the line, and after a top-n only the kept lines are parsed.  Paths that a
+    line's kind makes pointless are not looked up.
     """
     line = C.strip_line(col)
-    wrapped = F.inline(F.array(F.struct(J.strict_variant(line).alias("_w"))))
-    parsed = nonblank(lines, col).select(*lines.columns, wrapped)
+    wrapped = F.when(~C.is_blank(col), F.array(F.struct(J.strict_variant(line).alias("_w"))))
+    parsed = lines.select(*lines.columns, F.inline(wrapped))
     parsed = parsed.withColumn("_v", F.when(J.is_one_value("_w", line), F.col("_w")))
     # a ``content`` key, whatever it holds, makes it the first format
     parsed = parsed.withColumn("_a", J.item("_v", ".modelOutput.content[0].text"))
@@ -108,7 +109,7 @@ def _result_columns() -> list[Column]:
         return F.when(~ok, value)
 
     shown_error = F.concat(
-        F.lit("[处理失败] 错误码"),
+        F.lit(fixed.FAILED_PREFIX),
         _message_part("_code", fixed.MISSING_ERROR_CODE),
         F.lit(": "),
         _message_part("_message", fixed.MISSING_ERROR_MESSAGE),

@@ -33,18 +33,21 @@ def validate_configs(configs: DataFrame) -> DataFrame:
     """
     role, model = F.col("role_arn"), F.col("model_id")
     good_role = F.coalesce(role.startswith(fixed.ROLE_PREFIX), F.lit(False))
-    role_error = F.array(F.concat(F.lit("✗ Role ARN格式不正确: "), C.shown(role)))
+    role_error = F.array(F.concat(F.lit(fixed.ROLE_BAD), C.shown(role)))
     none = F.array().cast("array<string>")
 
-    checks: list[Column] = [F.lit("✓ Role ARN格式正确")]
+    checks: list[Column] = [F.lit(fixed.ROLE_OK)]
     errors: list[Column] = []
-    for column, label in (("input_bucket", "输入"), ("output_bucket", "输出")):
+    for column, good, bad in (
+        ("input_bucket", fixed.INPUT_BUCKET_OK, fixed.INPUT_BUCKET_BAD),
+        ("output_bucket", fixed.OUTPUT_BUCKET_OK, fixed.OUTPUT_BUCKET_BAD),
+    ):
         fine = valid_bucket(column)
-        checks.append(F.when(fine, F.concat(F.lit(f"✓ {label}bucket名称格式有效: "), F.col(column))))
-        errors.append(F.when(~fine, F.concat(F.lit(f"✗ {label}bucket名称格式无效: "), C.shown(column))))
+        checks.append(F.when(fine, F.concat(F.lit(good), F.col(column))))
+        errors.append(F.when(~fine, F.concat(F.lit(bad), C.shown(column))))
     given, fine = C.is_given(model), valid_model_id(model)
-    checks.append(F.when(given & fine, F.concat(F.lit("✓ 模型ID格式有效: "), model)))
-    errors.append(F.when(given & ~fine, F.concat(F.lit("✗ 模型ID格式无效: "), model)))
+    checks.append(F.when(given & fine, F.concat(F.lit(fixed.MODEL_OK), model)))
+    errors.append(F.when(given & ~fine, F.concat(F.lit(fixed.MODEL_BAD), model)))
 
     warnings = F.array(*[F.lit(w) for w in fixed.CONFIG_WARNINGS])
     return configs.withColumns(
@@ -60,21 +63,14 @@ def config_report(configs: DataFrame) -> DataFrame:
     """One text per configuration: checks, warnings, errors, verdict."""
     missing = ~(C.is_given("input_bucket") & C.is_given("output_bucket") & C.is_given("role_arn"))
     checked = validate_configs(configs)
-    verdict = F.when(F.col("valid"), "配置验证通过，可以开始批处理！").otherwise("请修复上述问题后再提交任务")
+    verdict = F.when(F.col("valid"), fixed.CONFIG_PASSED).otherwise(fixed.CONFIG_FAILED)
     lines = F.concat(F.col("checks"), F.col("warnings"), F.col("errors"), F.array(verdict))
     return checked.withColumn(
         "report",
-        F.when(missing, F.lit("请填写所有必填配置项")).otherwise(F.array_join(lines, "\n")),
+        F.when(missing, F.lit(fixed.CONFIG_INCOMPLETE)).otherwise(F.array_join(lines, "\n")),
     ).withColumn("valid", F.col("valid") & ~missing)
 
 
-_RAW_MODE_NEEDS = {
-    "text": "原始文件模式需要填写输入Bucket和Prompt",
-    "image": "原始图片模式需要填写输入Bucket和User Prompt",
-    "video": "原始视频模式需要填写输入Bucket和User Prompt",
-}
-
-
 def _first_broken(modality: str) -> tuple[Column, Column]:
     """Name and message of the first rule a submission of a modality breaks."""
     base = ~(C.is_given("output_bucket") & C.is_given("model_name") & C.is_given("role_arn"))
@@ -82,13 +78,12 @@ def _first_broken(modality: str) -> tuple[Column, Column]:
     use_jsonl = F.coalesce(F.col("use_jsonl"), F.lit(False))
     no_uri = use_jsonl & ~C.is_given("jsonl_s3_uri")
     no_input = ~use_jsonl & ~(C.is_given("input_bucket") & C.is_given("prompt"))
-    uri_text = "请输入JSONL文件的S3 URI" if modality == "text" else "JSONL模式需要填写JSONL文件S3 URI"
     mode_rules = [
-        (no_uri, "missing_jsonl_uri", uri_text),
-        (no_input, "missing_input", _RAW_MODE_NEEDS[modality]),
+        (no_uri, "missing_jsonl_uri", fixed.MISSING_URI[modality]),
+        (no_input, "missing_input", fixed.MISSING_INPUT[modality]),
     ]
-    model_rule = [(no_model, "invalid_model", "无效的模型选择")]
-    rules = [(base, "missing_required", "请填写所有必填字段")]
+    model_rule = [(no_model, "invalid_model", fixed.INVALID_MODEL)]
+    rules = [(base, "missing_required", fixed.MISSING_REQUIRED)]
     rules += model_rule + mode_rules if modality == "text" else mode_rules + model_rule
     rule, message = F, F
     for broken, name, text in rules:
@@ -110,16 +105,6 @@ def required_fields(submissions: DataFrame) -> DataFrame:
     return submissions.withColumns({"rule": rule, "message": message})
 
 
-_NOVA_FILE = (
-    "JSONL文件格式不匹配：文件是为Nova模型生成的（包含inferenceConfig），"
-    "但您选择了Claude模型。请使用匹配的模型或重新生成JSONL文件。"
-)
-_CLAUDE_FILE = (
-    "JSONL文件格式不匹配：文件是为Claude模型生成的（包含max_tokens），"
-    "但您选择了Nova模型。请使用匹配的模型或重新生成JSONL文件。"
-)
-
-
 def check_format(lines: DataFrame, model_id: str | Column, col: str = "line") -> DataFrame:
     """Format of every request line and whether it suits the model."""
     nova_model = F.lit("nova" in model_id.lower()) if isinstance(model_id, str) else C.is_nova(model_id)
@@ -127,7 +112,7 @@ def check_format(lines: DataFrame, model_id: str | Column, col: str = "line") ->
     body = "_h.r.modelInput."
     nova = F.col(body + "schemaVersion").isNotNull() & F.col(body + "inferenceConfig").isNotNull()
     claude = F.col(body + "anthropic_version").isNotNull() & F.col(body + "max_tokens").isNotNull()
-    clash = F.when(nova_model & claude, F.lit(_CLAUDE_FILE)).when(~nova_model & nova, F.lit(_NOVA_FILE))
+    clash = F.when(nova_model & claude, F.lit(fixed.CLAUDE_FILE_FOR_NOVA)).when(~nova_model & nova, F.lit(fixed.NOVA_FILE_FOR_CLAUDE))
     others = [c for c in lines.columns if c != col]
     return opened.select(
         *others,

@@ -91,8 +91,12 @@ def result_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             ).alias("error"),
         )
     )
+    kind = F.col("doc_id") % 9  # only the text a row uses is built
     docs = table(spark, sf_dir, "documents").select(
-        "doc_id", ok_a.alias("ok_a"), ok_b.alias("ok_b"), er.alias("er")
+        "doc_id",
+        F.when(kind.isin(1, 6, 7, 8), ok_a).alias("ok_a"),
+        F.when(kind.isin(4, 5), ok_b).alias("ok_b"),
+        F.when(kind == 2, er).alias("er"),
     )
     return docs.selectExpr("doc_id", f"{_LINE_CHOICE} as line")
 

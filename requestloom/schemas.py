@@ -1,16 +1,7 @@
-"""Table schemas, and the two request formats as struct types.
-
-``to_json`` keeps the field order of a struct and leaves null fields out, so one
-struct type per format and modality also covers the optional fields.
-"""
+"""Table schemas shared by several modules."""
 
 from __future__ import annotations
 
-OBJECTS = "file_path string, file_name string, size bigint, last_modified timestamp"
-RESULT_ROWS = (
-    "record_id string, output_text string, stop_reason string, has_error boolean, "
-    "error_code string, error_message string, retryable boolean"
-)
 MANIFEST = (
     "totalRecordCount bigint, processedRecordCount bigint, successRecordCount bigint, "
     "errorRecordCount bigint, inputTokenCount bigint, outputTokenCount bigint"

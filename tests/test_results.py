@@ -4,7 +4,6 @@ import json
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from requestloom.functions import jsonl as J
 from requestloom.operators import results as P
