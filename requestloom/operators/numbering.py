@@ -18,7 +18,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from itertools import accumulate
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import small_table, stage_table
@@ -27,6 +27,10 @@ BROADCAST_BYTES = 256 * 1024 * 1024
 _ROW_OVERHEAD = 48  # per-row cost of a hashed relation besides the path text
 
 
+class DuplicateKeyError(ValueError):
+    """Two objects have the same key, so numbers could not be joined back to them."""
+
+
 @dataclass(frozen=True)
 class Numbering:
     """Numbered keys, with the totals measured while numbering them."""
@@ -48,17 +52,25 @@ def number_records(objects: DataFrame, key: str = "file_path", stage_keys: bool
     keys = objects.select(key)
     if stage_keys:
         keys = stage_table(keys, "accepted")
-    ranged = keys.repartitionByRange(key).sortWithinPartitions(key)
+    # the ranges already bring equal keys together, so counting copies needs the sort but no shuffle
+    copy = F.row_number().over(Window.partitionBy(key).orderBy(key))
+    ranged = keys.repartitionByRange(key).select(key, copy.alias("copy")).sortWithinPartitions(key)
     # slot = range number in the upper bits, position in the lower 33 bits
-    placed = stage_table(ranged.select(key, F.monotonically_increasing_id().alias("slot")), "numbering")
+    placed = stage_table(ranged.select(key, "copy", F.monotonically_increasing_id().alias("slot")), "numbering")
     placed = placed.select(
         key,
+        "copy",
         F.shiftright("slot", 33).cast("int").alias("bucket"),
         F.col("slot").bitwiseAND(F.lit((1 << 33) - 1)).alias("position"),
     )
     # one row per range
-    ranges = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(key)).alias("b"))
+    ranges = placed.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(key)).alias("b"), F.max("copy").alias("copies")
+    )
     sizes = sorted(ranges.collect())
+    if any(r["copies"] > 1 for r in sizes):
+        repeated = placed.filter("copy > 1").first()[key]
+        raise DuplicateKeyError(f"{key} is not unique: {repeated!r} occurs more than once")
     starts = [0, *accumulate(r["n"] for r in sizes)]
     offsets = small_table(
         spark, "bucket int, first_index bigint", [r["bucket"] for r in sizes], starts[: len(sizes)]

@@ -325,8 +325,8 @@ def prepare_listed_batch(
     accepted, rejects = route(listing, modality).select("file_path", "size"), None
     if modality in fixed.MAX_BASE64:
         accepted, rejects = split_by_payload(accepted, modality, max_base64)
-    total = accepted.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    tasks = task_count(total)
+    n, total = accepted.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    tasks = task_count(n, total)
     uri = F.concat(F.lit(root), F.col("file_path")).alias("uri")
     if on_error == "reject":
         is_text = modality == "text"

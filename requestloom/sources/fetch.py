@@ -10,6 +10,7 @@ and nothing is listed on the driver.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -18,7 +19,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 CHUNK_BYTES = 32 * 1024 * 1024
-TASK_BYTES = 256 * 1024 * 1024
+TASK_BYTES = 1024 * 1024 * 1024
+TASK_OBJECTS = 2000
+MAX_TASKS = 100_000
+READERS = 8
 
 
 def _opener():
@@ -45,8 +49,9 @@ def _opener():
     return read
 
 
-def task_count(total_bytes: int, task_bytes: int = TASK_BYTES) -> int:
-    return max(1, -(-total_bytes // task_bytes))
+def task_count(objects: int, total_bytes: int) -> int:
+    """Tasks for about ``TASK_BYTES`` or ``TASK_OBJECTS`` each, whichever asks for more of them."""
+    return max(1, min(MAX_TASKS, max(-(-total_bytes // TASK_BYTES), -(-objects // TASK_OBJECTS))))
 
 
 def fetch_content(
@@ -58,9 +63,10 @@ def fetch_content(
 ) -> DataFrame:
     """Add ``content`` and ``problem`` (why it could not be read, else null) to a listing.
 
-    ``tasks`` spreads the listing by hash first.  Output batches are cut by the
-    bytes they hold, so a task needs memory for about one chunk, not for its
-    whole share.  ``keep_content=False`` reads but returns only the problem.
+    ``tasks`` spreads the listing by hash first.  A task opens ``READERS`` objects
+    at a time, and output batches are cut by the bytes they hold, so it needs
+    memory for about one chunk and not for its whole share.
+    ``keep_content=False`` reads but returns only the problem.
     """
     added = [StructField("problem", StringType())]
     if keep_content:
@@ -69,6 +75,18 @@ def fetch_content(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = _opener()
+
+        def attempt(where: str) -> tuple[bytes | None, str | None]:
+            try:
+                return read(where), None
+            except OSError as error:
+                return None, str(error)
+
+        def in_order(places: list[str]) -> Iterator[tuple[bytes | None, str | None]]:
+            for i in range(0, len(places), READERS):
+                yield from pool.map(attempt, places[i : i + READERS])
+
+        pool = ThreadPoolExecutor(READERS)
         for batch in batches:
             start, content, problems, held = 0, [], [], 0
             names = [*batch.schema.names]
@@ -84,11 +102,7 @@ def fetch_content(
                     [*arrays, pa.array(problems, pa.string())], [*labels, "problem"]
                 )
 
-            for i, where in enumerate(batch.column(place).to_pylist()):
-                try:
-                    data, problem = read(where), None
-                except OSError as error:
-                    data, problem = None, str(error)
+            for i, (data, problem) in enumerate(in_order(batch.column(place).to_pylist())):
                 problems.append(problem)
                 if keep_content:
                     content.append(data)

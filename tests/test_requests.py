@@ -187,6 +187,13 @@ def test_numbers_follow_byte_order(spark, monkeypatch, separate_ranges, limit):
     assert numbering.frame.select(F.input_file_name()).distinct().count() > 4  # several ranges
 
 
+def test_repeated_keys_are_refused(spark, separate_ranges):
+    df = spark.createDataFrame([(f"{i % 900}",) for i in range(901)], "file_path string").repartition(5)
+    with pytest.raises(N.DuplicateKeyError, match="'0'"):
+        N.number_records(df)
+    assert N.number_records(df.distinct()).rows == 900
+
+
 def test_payload_stays_in_place_when_numbers_are_small(spark, plan_of):
     rows = [(f"{i:04}.txt", 4, "text") for i in range(100)]
     batch = Q.prepare_batch(table(spark, rows), "text", NOVA, batch_ts=1, prompt="p", on_error="fail")
