@@ -14,12 +14,16 @@ from pyspark.sql import functions as F
 from .columns import ColumnOrName, as_col
 
 
+# Strict quoting, and strings as long as an encoded video (the parser's own default stops at 20 million
+# characters).  NaN and Infinity are numbers by default.
+JSON_OPTIONS = {"allowSingleQuotes": "false", "maxStringLen": "2000000000"}
+
+
 def strict_variant(line: ColumnOrName) -> Column:
     """``[line, hash]`` as a VARIANT, null when it cannot be parsed at all."""
     text = as_col(line)
-    return F.try_parse_json(
-        F.concat(F.lit("["), text, F.lit(","), F.xxhash64(text).cast("string"), F.lit("]"))
-    )
+    wrapped = F.concat(F.lit("["), text, F.lit(","), F.xxhash64(text).cast("string"), F.lit("]"))
+    return F.from_json(wrapped, "variant", JSON_OPTIONS)
 
 
 def is_one_value(wrapped: ColumnOrName, line: ColumnOrName) -> Column:
@@ -61,4 +65,9 @@ def request_head(line: ColumnOrName) -> Column:
     wrapped = F.concat(
         F.lit('{"r":'), text, F.lit(',"h":'), F.xxhash64(text).cast("string"), F.lit("}")
     )
-    return F.from_json(wrapped, REQUEST_HEAD, {"allowSingleQuotes": "false"})
+    return F.from_json(wrapped, REQUEST_HEAD, JSON_OPTIONS)
+
+
+def request_body(line: ColumnOrName) -> Column:
+    """``modelInput`` of a request line as JSON text, ``{}`` if there is none."""
+    return F.coalesce(F.from_json(as_col(line), "modelInput string", JSON_OPTIONS)["modelInput"], F.lit("{}"))

@@ -106,9 +106,11 @@ def required_fields(submissions: DataFrame) -> DataFrame:
 
 
 def check_format(lines: DataFrame, model_id: str | Column, col: str = "line") -> DataFrame:
-    """Format of every request line and whether it suits the model."""
+    """Format of every non-blank request line and whether it suits the model; broken lines suit none."""
     nova_model = F.lit("nova" in model_id.lower()) if isinstance(model_id, str) else C.is_nova(model_id)
-    opened = lines.withColumn("_h", J.request_head(C.strip_line(col)))
+    text = C.strip_line(col)
+    opened = lines.filter(~C.is_blank(col)).withColumn("_h", J.request_head(text))
+    good = F.coalesce(F.col("_h.h") == F.xxhash64(text), F.lit(False))
     body = "_h.r.modelInput."
     nova = F.col(body + "schemaVersion").isNotNull() & F.col(body + "inferenceConfig").isNotNull()
     claude = F.col(body + "anthropic_version").isNotNull() & F.col(body + "max_tokens").isNotNull()
@@ -117,7 +119,12 @@ def check_format(lines: DataFrame, model_id: str | Column, col: str = "line") ->
     return opened.select(
         *others,
         F.coalesce(F.try_variant_get("_h.r.recordId", "$", "string"), F.lit("unknown")).alias("record_id"),
-        F.when(nova & claude, "both").when(nova, "nova").when(claude, "claude").otherwise("other").alias("format"),
-        clash.isNull().alias("matches"),
+        F.when(~good, "malformed")
+        .when(nova & claude, "both")
+        .when(nova, "nova")
+        .when(claude, "claude")
+        .otherwise("other")
+        .alias("format"),
+        (good & clash.isNull()).alias("matches"),
         clash.alias("message"),
     )

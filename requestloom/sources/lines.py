@@ -41,13 +41,12 @@ def request_rows(lines: DataFrame, col: str = "line") -> DataFrame:
     text = C.strip_line(col)
     good = F.col("_h.h") == F.xxhash64(text)
     opened = lines.filter(~C.is_blank(col)).withColumn("_h", J.request_head(text))
-    body = F.coalesce(F.get_json_object(text, "$.modelInput"), F.lit("{}"))
     rid = F.coalesce(F.try_variant_get("_h.r.recordId", "$", "string"), F.lit("unknown"))
     others = [c for c in lines.columns if c != col]
     return opened.select(
         *others,
         F.when(good, rid).alias("record_id"),
-        F.when(good, body).alias("model_input"),
+        F.when(good, J.request_body(text)).alias("model_input"),
         F.col(col).alias("value"),
     )
 

@@ -211,15 +211,18 @@ def test_check_format_sees_keys_with_null_values(spark):
         '{"recordId":"o","modelInput":{"schemaVersion":"x"}}',
         '{"modelInput":{}}',
         '{"recordId":"x"}',
+        '{"recordId":"y"} tail',
+        " ",
     ]
     df = spark.createDataFrame([(v,) for v in lines], "line string")
     nova = [(r["record_id"], r["format"], r["matches"]) for r in V.check_format(df, NOVA).collect()]
     assert nova == [
         ("n", "nova", True), ("c", "claude", False), ("o", "other", True), ("unknown", "other", True), ("x", "other", True),
+        ("unknown", "malformed", False),
     ]
     claude = [(r["record_id"], r["matches"]) for r in V.check_format(df, CLAUDE).collect()]
-    assert claude == [("n", False), ("c", True), ("o", True), ("unknown", True), ("x", True)]
-    message = V.check_format(df, NOVA).filter("not matches").first()["message"]
+    assert claude == [("n", False), ("c", True), ("o", True), ("unknown", True), ("x", True), ("unknown", False)]
+    message = V.check_format(df, NOVA).filter("message is not null").first()["message"]
     assert "Claude" in message and "max_tokens" in message
 
 
@@ -230,6 +233,20 @@ def test_request_rows(spark):
     assert got == [(0, "1", '{"a":1}'), (1, "unknown", "{}"), (2, None, None), (4, None, None), (5, "unknown", "[1]")]
 
 
+def test_the_largest_video_goes_through(spark, tmp_path):
+    n = 19_660_800  # the largest raw size within the limit
+    content = F.expr(f"cast(repeat('x', {n}) as binary)")
+    objects = spark.range(1).select(
+        F.lit("a.mp4").alias("file_path"), F.lit(n).cast("bigint").alias("size"), content.alias("content")
+    )
+    batch = Q.prepare_batch(objects, "video", NOVA, batch_ts=1, prompt="p", on_error="fail")
+    batch.requests.select("value").write.text(str(tmp_path / "r"))
+    lines = L.read_lines(spark, str(tmp_path / "r"))
+    (row,) = L.request_rows(lines).select("record_id", F.length("model_input").alias("n")).collect()
+    assert row["record_id"] == "1_0" and row["n"] > 26_214_400
+    assert V.check_format(lines, NOVA).first()["matches"]
+
+
 # ---------------------------------------------------------------- inference
 
 

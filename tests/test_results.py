@@ -4,6 +4,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from requestloom.functions import jsonl as J
 from requestloom.operators import results as P
@@ -48,6 +49,8 @@ LINES = [
     '{"recordId":"29","modelOutput":{"Content":[{"text":"case"}]}}',
     "", "   ", "\t", "not json", "[]", "null", "3", '["modelOutput"]', '"modelOutput"',
     '{"recordId":"30","modelOutput":{"content":[{"text":"cut',
+    '{"recordId":"32","modelOutput":{"content":[{"text":"numbers"}],"x":NaN,"y":[-Infinity,Infinity]}}',
+    '{"recordId":"33","modelOutput":{"content":[{"text":"bare word"}],"x":nan}}',
     '{"recordId":"31","modelOutput":{"content":[{"text":"ok"}]}} junk',
 ]
 
@@ -266,5 +269,12 @@ def test_job_previews_bundle_and_warnings(spark):
 
 
 def test_a_line_is_parsed_once(lines, plan_of):
-    assert plan_of(P.parse_results(lines)).count("parseJson") == 1
-    assert plan_of(P.invalid_results(lines)).count("parseJson") == 1
+    assert plan_of(P.parse_results(lines)).count("from_json(") == 1
+    assert plan_of(P.invalid_results(lines)).count("from_json(") == 1
+
+
+def test_very_long_lines(spark):
+    n = 27_000_000
+    line = F.concat(F.lit('{"recordId":"1","modelOutput":{"content":[{"text":"'), F.expr(f"repeat('x', {n})"), F.lit('"}]}}'))
+    rows = P.parse_results(spark.range(1).select(line.alias("line"))).select("record_id", F.length("output_text"))
+    assert [tuple(r) for r in rows.collect()] == [("1", n)]
