@@ -26,15 +26,13 @@ def nonblank(lines: DataFrame, col: str = "line") -> DataFrame:
 def _open(lines: DataFrame, col: str = "line", tokens: bool = False) -> DataFrame:
     """Non-blank lines with the pieces of each envelope, from one parse per line.
 
-    Parsing and packing are ``inline`` calls over at most one element, which the
-    optimizer does not move: filters on the pieces stay above them (below, each
-    would repeat the parse), the blank-line test does not repeat the making of
-    the line, and after a top-n only the kept lines are parsed.  Paths that a
-    line's kind makes pointless are not looked up.
+    The pieces come out of an ``inline`` over at most one element, which the
+    optimizer does not move: filters on them stay above it (below, each would
+    repeat the parse), and the blank-line test does not repeat the making of the
+    line.  Paths that a line's kind makes pointless are not looked up.
     """
     line = C.strip_line(col)
-    wrapped = F.when(~C.is_blank(col), F.array(F.struct(J.strict_variant(line).alias("_w"))))
-    parsed = lines.select(*lines.columns, F.inline(wrapped))
+    parsed = lines.withColumn("_w", J.strict_variant(line))
     parsed = parsed.withColumn("_v", F.when(J.is_one_value("_w", line), F.col("_w")))
     # a ``content`` key, whatever it holds, makes it the first format
     parsed = parsed.withColumn("_a", J.item("_v", ".modelOutput.content[0].text"))
@@ -69,7 +67,7 @@ def _open(lines: DataFrame, col: str = "line", tokens: bool = False) -> DataFram
             by_format("usage.input_tokens", "usage.inputTokens").alias("_tokens_in"),
             by_format("usage.output_tokens", "usage.outputTokens").alias("_tokens_out"),
         ]
-    return parsed.select(*lines.columns, F.inline(F.array(F.struct(*pieces))))
+    return parsed.select(*lines.columns, F.inline(F.when(~C.is_blank(col), F.array(F.struct(*pieces)))))
 
 
 def classify_results(lines: DataFrame, col: str = "line") -> DataFrame:

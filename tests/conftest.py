@@ -19,6 +19,7 @@ def spark():
     cloudpickle.register_pickle_by_value(requestloom)
     session = (
         SparkSession.builder.master("local[8]")
+        .config("spark.driver.memory", "6g")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
