@@ -109,15 +109,15 @@ def check_format(lines: DataFrame, model_id: str | Column, col: str = "line") ->
     """Format of every non-blank request line and whether it suits the model; broken lines suit none."""
     nova_model = F.lit("nova" in model_id.lower()) if isinstance(model_id, str) else C.is_nova(model_id)
     text = C.strip_line(col)
-    opened = lines.filter(~C.is_blank(col)).withColumn("_h", J.request_head(text))
+    opened = lines.withColumn("_h", J.request_head(text))
     good = F.coalesce(F.col("_h.h") == F.xxhash64(text), F.lit(False))
     body = "_h.r.modelInput."
     nova = F.col(body + "schemaVersion").isNotNull() & F.col(body + "inferenceConfig").isNotNull()
     claude = F.col(body + "anthropic_version").isNotNull() & F.col(body + "max_tokens").isNotNull()
-    clash = F.when(nova_model & claude, F.lit(fixed.CLAUDE_FILE_FOR_NOVA)).when(~nova_model & nova, F.lit(fixed.NOVA_FILE_FOR_CLAUDE))
-    others = [c for c in lines.columns if c != col]
-    return opened.select(
-        *others,
+    clash = F.when(nova_model & claude, F.lit(fixed.CLAUDE_FILE_FOR_NOVA)).when(
+        ~nova_model & nova, F.lit(fixed.NOVA_FILE_FOR_CLAUDE)
+    )
+    verdict = F.struct(
         F.coalesce(F.try_variant_get("_h.r.recordId", "$", "string"), F.lit("unknown")).alias("record_id"),
         F.when(~good, "malformed")
         .when(nova & claude, "both")
@@ -128,3 +128,6 @@ def check_format(lines: DataFrame, model_id: str | Column, col: str = "line") ->
         (good & clash.isNull()).alias("matches"),
         clash.alias("message"),
     )
+    # as an inline, so that neither the blank test nor later filters repeat the making of a line
+    others = [c for c in lines.columns if c != col]
+    return opened.select(*others, F.inline(F.when(~C.is_blank(col), F.array(verdict))))
