@@ -32,7 +32,7 @@ from . import word_tokens as W
 #: Ids of a file, beyond which it takes no further document.
 SHARD_IDS = 1 << 21
 MAGIC = b"IDSHARD1"
-HEADER = struct.Struct("<8sIIQQQQ")  # magic, bytes per id, levels, documents, documents with a null key, keys, ids
+HEADER = "<8sIIQQQQ"  # magic, bytes per id, levels, documents, documents with a null key, keys, ids
 MANIFEST = "part int, seq int, path string, n_docs bigint, n_ids bigint, first_key bigint, last_key bigint"
 
 
@@ -91,7 +91,7 @@ def pack(keys: list[int | None], ids: list[bytes], width: int) -> bytes:
     columns[0, numbers], columns[1, numbers], columns[2, numbers] = fingerprints(distinct), first + nulls, times
     starts = np.concatenate([[0], np.cumsum([len(i) // width for i in ids])]).astype("<u8")
     levels = [struct.pack("<Q", len(bits)) + np.packbits(bits.astype(np.uint8)).tobytes() for bits in index.levels]
-    header = HEADER.pack(MAGIC, width, len(levels), len(keys), nulls, len(distinct), int(starts[-1]))
+    header = struct.pack(HEADER, MAGIC, width, len(levels), len(keys), nulls, len(distinct), int(starts[-1]))
     return b"".join([header, *ids, starts.tobytes(), distinct.tobytes(), columns.tobytes(), *levels])
 
 
@@ -99,10 +99,10 @@ class ShardFile:
     """Keyed access to a shard file's bytes."""
 
     def __init__(self, data: bytes):
-        magic, width, levels, self.n_docs, self.n_null, n_keys, n_ids = HEADER.unpack_from(data)
+        magic, width, levels, self.n_docs, self.n_null, n_keys, n_ids = struct.unpack_from(HEADER, data)
         if magic != MAGIC:
             raise ValueError("not a shard file")
-        at = HEADER.size
+        at = struct.calcsize(HEADER)
 
         def take(kind: str, count: int) -> np.ndarray:
             nonlocal at
