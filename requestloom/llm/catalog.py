@@ -29,9 +29,9 @@ def shingles_sql(source: str, key: str, lowered: str) -> str:
     """(key, sh): distinct word 5-grams; fewer words are one run."""
     return f"""
   select {key}, unnest(list_distinct(case
-    when len(ws) >= 5 then list_transform(range(1, len(ws) - 3), i -> array_to_string(ws[i:i+4], ' '))
+    when len(ws) >= 5 then list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' '))
     when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end)) as sh
-  from (select {key}, list_filter(string_split_regex({lowered}, '[ \\t\\n\\x0B\\f\\r]+'), w -> w <> '') as ws
+  from (select {key}, list_filter(string_split_regex({lowered}, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '') as ws
         from {source} where text is not null)"""
 
 
@@ -99,10 +99,10 @@ def similar(spark, sf_dir):
 
 @query(
     "op7_exact_topk",
-    """with v as (select vec_id, list_transform(embedding, x -> cast(floor(1024 * cast(x as double)) as bigint)) as v
+    """with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v
     from embeddings where embedding is not null),
   s as (select q.vec_id as query_id, c.vec_id,
-      cast(list_sum(list_transform(list_zip(q.v, c.v), p -> p[1] * p[2])) as bigint) as score
+      cast(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) as bigint) as score
     from v q join v c on q.vec_id % 100 = 0 and c.vec_id <> q.vec_id)
   select query_id, rank, vec_id, score
   from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)

@@ -35,7 +35,7 @@ def shingle_hashes(rows: DataFrame, text: str, out: str) -> DataFrame:
         .withColumn(
             out,
             F.expr(
-                "array_sort(array_distinct(case when size(_words) >= 5 then transform(sequence(0, size(_words) - 5), i ->"
+                "sort_array(array_distinct(case when size(_words) >= 5 then transform(sequence(0, size(_words) - 5), i ->"
                 " xxhash64(_words[i], _words[i + 1], _words[i + 2], _words[i + 3], _words[i + 4]))"
                 " when size(_words) > 0 then array(xxhash64(_words)) else cast(array() as array<bigint>) end))"
             ),
@@ -74,14 +74,17 @@ def signature(hashes: str) -> Column:
 def candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Distinct (doc_id, item_id) that share a hash of the document's signature."""
     wanted = stage_table(
-        shingle_hashes(items, "text", "hashes").select("item_id", F.explode("hashes").alias("hash")), "items"
+        shingle_hashes(items, "text", "hashes")
+        .select("item_id", F.explode_outer("hashes").alias("hash"))
+        .where("hash is not null"),
+        "items",
     )
     if wanted.count() <= BROADCAST_SHINGLES:
         wanted = F.broadcast(wanted)
-    signed = (
-        shingle_hashes(docs, "text", "hashes")
-        .where("size(hashes) > 0")
-        .select("doc_id", F.explode(signature("hashes")).alias("hash"))
+    # The outer form: for the plain one the optimizer adds a filter on the generated array and moves it below the
+    # hashes, where each of its steps would compute all hashes anew.
+    signed = shingle_hashes(docs, "text", "hashes").select(
+        "doc_id", F.explode_outer(signature("hashes")).alias("hash")
     )
     return stage_table(signed.join(wanted, "hash").select("doc_id", "item_id").distinct(), "candidates")
 
