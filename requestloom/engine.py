@@ -35,7 +35,7 @@ JOB_COLUMNS = (
     "input_prefix string, seq bigint"
 )
 JOB_LOG = JOB_COLUMNS.replace("seq bigint", "timestamp string, job_type string, seq bigint")
-STATUS_LOG = "job_arn string, status string, output_s3_uri string, message string, seq bigint"
+STATUS_LOG = "job_arn string, status string, output_s3_uri string, message string, ts string, seq bigint"
 
 
 class BatchEngine:
@@ -62,7 +62,9 @@ class BatchEngine:
     def _as_keys(self, files: DataFrame, bucket: str) -> DataFrame:
         """File URIs of a scan as keys inside the bucket."""
         marker = self.place(bucket).split("://", 1)[-1].lstrip("/")
-        start = F.instr("file_path", marker) + len(marker)
+        at = F.instr("file_path", marker)
+        outside = F.raise_error(F.concat(F.lit(f"not below {marker}: "), F.col("file_path")))
+        start = F.when(at > 0, at).otherwise(outside.cast("int")) + len(marker)
         return files.withColumn("file_path", F.substring("file_path", start, F.char_length("file_path")))
 
     # ------------------------------------------------------------ input
@@ -153,7 +155,8 @@ class BatchEngine:
             return self.spark.createDataFrame([], schema)
 
     def _set_status(self, arn: str, status: str, uri: str = "", message: str = "") -> None:
-        row = [(arn, status, uri, message, time.time_ns())]
+        stamp = time.strftime("%Y-%m-%dT%H:%M:%S", time.gmtime())
+        row = [(arn, status, uri, message, stamp, time.time_ns())]
         self._append(self.spark.createDataFrame(row, STATUS_LOG), self._status_at)
 
     def create_batch_job_from_jsonl(
@@ -182,11 +185,14 @@ class BatchEngine:
         try:
             requests = L.read_requests(self.spark, self.place_of_uri(jsonl_s3_uri))
             ready = requests.filter(F.col("model_input").isNotNull())
-            K.write_requests(I.infer_batch(ready, make_scorer), result)
+            answers = I.infer_batch(ready, make_scorer).select("value")
+            unusable = L.request_rejects(requests)
+            K.write_requests(answers.unionByName(L.rejected_as_results(unusable)), result)
+            unusable.select("value", "reason").write.parquet(f"{folder}/rejects")
             totals = P.run_manifest(L.read_results(self.spark, result))
             totals.write.json(f"{folder}/manifest.json.out")
         except Exception as problem:
-            self._set_status(arn, "Failed", uri, str(problem)[:2000])
+            self._set_status(arn, "Failed", uri, str(problem))
             raise
         self._set_status(arn, "Completed", uri)
         return arn
@@ -276,37 +282,63 @@ class BatchEngine:
             raise FileNotFoundError(fixed.NO_RESULT_FILE)
         return P.parse_results(self._line_table(bucket, keys)).drop(*L.LINE_ORDER)
 
-    def get_results_preview(self, job_arn: str, max_preview_lines: int = 3) -> DataFrame:
+    def get_results_preview(self, job_arn: str, max_preview_lines: int | None = None) -> DataFrame:
         """First rows, location and run totals of a job's first result file: one row.
 
-        Only the first part of the file is read, unless it has too few lines.
+        Only the first part of the file is read, unless it has too few lines.  If the file gives no row, or there is no
+        result file, the starts of the job's other files are looked into.  The number of rows follows the job's type
+        unless it is given.
         """
         bucket, files = self._result_files(job_arn)
+        if max_preview_lines is None:
+            state = self.load_job_state(job_arn).first()
+            modality = state["job_type"] if state and state["job_type"] in fixed.PREVIEW_LINES else "text"
+            max_preview_lines = fixed.PREVIEW_LINES[modality]
         found = P.discover_result_files(files.select("job_id", "file_path").distinct())
         row = found.first()
-        if row is None or row["result_key"] is None:
+        if row is None:
             raise FileNotFoundError(fixed.NO_RESULT_FILE)
+        rows = self._first_rows(bucket, files, row, max_preview_lines) if row["result_key"] else None
+        if rows is None or not rows.take(1):
+            rows = self._fallback_rows(bucket, files)
+            if row["result_key"] is None and not rows.take(1):
+                raise FileNotFoundError(fixed.NO_RESULT_FILE)
+        if row["manifest_key"]:
+            totals = L.read_manifest(self.spark, self.place(bucket, row["manifest_key"]))
+            totals = totals.withColumn("file_path", F.lit(row["manifest_key"])).limit(1)
+        else:
+            totals = self.spark.createDataFrame([], schemas.MANIFEST + ", file_path string")
+        listing = files.select("job_id", "file_path").distinct()
+        return P.result_bundle(listing, rows, totals, bucket)
+
+    def _fallback_rows(self, bucket: str, files: DataFrame) -> DataFrame:
+        """Rows from the start of the job's first file that gives any."""
+        # The line files of one job; its manifests are documents of another kind.
+        usable = files.filter(P.file_kind().isin("result", "other") & ~F.lower("file_path").contains("manifest"))
+        parts = [r["part"] for r in usable.select("part").distinct().collect() if "/rejects/" not in r["part"]]
+        if not parts:
+            return self.spark.createDataFrame([], "job_id string, file_path string, line_no int, " + P.RESULT_SCHEMA)
+        read = self._line_table(bucket, parts).withColumnRenamed("file_path", "part_path")
+        lines = self._as_keys(read.withColumn("file_path", F.col("part_path")), bucket)
+        lines = lines.withColumn("file_path", F.regexp_replace("file_path", r"(?<=\.out)/part-[^/]*\z", ""))
+        job = files.select("job_id").first()["job_id"]
+        return P.read_results_fallback(
+            lines.withColumn("job_id", F.lit(job)), ["part_path", "block_start", "row_id"]
+        )
+
+    def _first_rows(self, bucket: str, files: DataFrame, row, max_preview_lines: int) -> DataFrame:
         first_part = files.filter(F.col("file_path") == row["result_key"]).agg(F.min("part")).first()[0]
         lines = self._line_table(bucket, [first_part])
         if len(P.first_lines(lines, max_preview_lines, L.LINE_ORDER).take(max_preview_lines)) < max_preview_lines:
             lines = self._line_table(bucket, [row["result_key"]])
         heads = P.first_lines(lines, max_preview_lines, L.LINE_ORDER)
         ordered = F.row_number().over(Window.orderBy(*L.LINE_ORDER)).alias("line_no")  # a few lines only
-        rows = P.parse_results(heads.select("*", ordered)).select(
+        return P.parse_results(heads.select("*", ordered)).select(
             F.lit(row["job_id"]).alias("job_id"),
             F.lit(row["result_key"]).alias("file_path"),
             "line_no",
-            "record_id",
-            "output_text",
-            "stop_reason",
+            *P.RESULT_FIELDS,
         )
-        if row["manifest_key"]:
-            totals = L.read_manifest(self.spark, self.place(bucket, row["manifest_key"]))
-            totals = totals.withColumn("file_path", F.lit(row["manifest_key"])).limit(1)
-        else:
-            totals = self.spark.createDataFrame([], schemas.MANIFEST + ", file_path string")
-        listing = files.select("job_id", "file_path").distinct()
-        return P.result_bundle(listing, rows, totals, bucket)
 
     # ------------------------------------------------------------ checks
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..session import small_table, stage_table
 
 BROADCAST_BYTES = 256 * 1024 * 1024
-_ROW_OVERHEAD = 48  # per-row cost of a hashed relation besides the path text
+_ROW_OVERHEAD = 96  # per-row cost of a hashed relation besides the path text, which key and value both hold
 
 
 class DuplicateKeyError(ValueError):
@@ -79,7 +79,7 @@ def number_records(objects: DataFrame, key: str = "file_path", stage_keys: bool
         key, (F.col("first_index") + F.col("position")).alias("record_index")
     )
     rows = starts[-1]
-    return Numbering(frame, key, rows, sum(r["b"] for r in sizes) + rows * _ROW_OVERHEAD)
+    return Numbering(frame, key, rows, 2 * sum(r["b"] for r in sizes) + rows * _ROW_OVERHEAD)
 
 
 def attach_numbers(rows: DataFrame, numbering: Numbering, broadcast_bytes: int | None = None) -> DataFrame:

@@ -54,9 +54,14 @@ def registry_get(states: DataFrame, job_arn: str) -> DataFrame:
 def job_status(
     status_log: DataFrame, seq: str = "seq", output_uri: str | None = None
 ) -> DataFrame:
-    """Newest status per job with flags; the output location only when completed."""
+    """Newest status per job with flags; the output location only when completed.
+
+    A log with ``message`` gives the newest one (null or empty: none), one with ``ts`` the times of the first and the
+    newest entry.
+    """
     state = F.struct(*[c for c in status_log.columns if c not in ("job_arn", seq)])
-    now = status_log.groupBy("job_arn").agg(F.max_by(state, F.col(seq)).alias("s"))
+    times = [F.min_by("ts", F.col(seq)).alias("submit_time")] if "ts" in status_log.columns else []
+    now = status_log.groupBy("job_arn").agg(F.max_by(state, F.col(seq)).alias("s"), *times)
     status = F.col("s.status")
     done = status == "Completed"
     hint = (
@@ -74,6 +79,8 @@ def job_status(
         done.alias("results_ready"),
         hint.alias("hint"),
         *uri,
+        *([F.col("s.message").alias("message")] if "message" in status_log.columns else []),
+        *([F.col("submit_time"), F.col("s.ts").alias("last_modified")] if times else []),
     )
 
 

@@ -51,6 +51,7 @@ def _open(lines: DataFrame, col: str = "line", tokens: bool = False) -> DataFram
         return F.when(text.isNull(), J.item("_v", path, kind))
 
     pieces = [
+        F.is_valid_utf8(col).alias("_is_text"),
         F.col("_v").isNotNull().alias("_is_json"),
         J.item("_v", ".recordId").alias("_id"),
         text.alias("_text"),
@@ -72,7 +73,7 @@ def _open(lines: DataFrame, col: str = "line", tokens: bool = False) -> DataFram
 
 def classify_results(lines: DataFrame, col: str = "line") -> DataFrame:
     """Envelope kind of each non-blank line, by which key it carries."""
-    kind = F.when(F.col("_has_output"), "success").when(F.col("_has_error"), "error").otherwise("invalid")
+    kind = F.when(F.col("_has_output") & F.col("_is_text"), "success").when(F.col("_has_error") & F.col("_is_text"), "error").otherwise("invalid")
     return _open(lines, col).select(*lines.columns, kind.alias("kind"))
 
 
@@ -89,7 +90,8 @@ def _message_part(value: str, default: str) -> Column:
 def _parsed(lines: DataFrame, col: str, tokens: bool = False) -> DataFrame:
     """All non-blank lines with ``_state``: success, error, or the reject reason."""
     state = (
-        F.when(~F.col("_is_json"), "malformed_json")
+        F.when(~F.col("_is_text"), "malformed_text")
+        .when(~F.col("_is_json"), "malformed_json")
         .when(F.col("_text").isNotNull(), "success")
         .when(F.col("_has_output"), "unrecognised_output")
         .when(F.col("_is_error"), "error")
@@ -99,6 +101,21 @@ def _parsed(lines: DataFrame, col: str, tokens: bool = False) -> DataFrame:
     return _open(lines, col, tokens).withColumn("_state", state)
 
 
+RESULT_FIELDS = (
+    "record_id",
+    "output_text",
+    "stop_reason",
+    "has_error",
+    "error_code",
+    "error_message",
+    "retryable",
+)
+RESULT_SCHEMA = (
+    "record_id string, output_text string, stop_reason string, has_error boolean, error_code string,"
+    " error_message string, retryable boolean"
+)
+
+
 def _result_columns() -> list[Column]:
     """Result columns of rows in state success or error."""
     ok = F.col("_state") == "success"
@@ -196,10 +213,10 @@ def first_lines(
 ) -> DataFrame:
     """The first ``n`` non-blank lines in file order, overall or per group.
 
-    Malformed lines count.  Per group the rank filter becomes a group limit that
+    Malformed lines count, but for those whose bytes are not text.  Per group the rank filter becomes a group limit that
     runs before the shuffle, so at most ``n`` rows per group and task are moved.
     """
-    kept = nonblank(lines, col)
+    kept = nonblank(lines, col).filter(F.is_valid_utf8(col))
     if not by:
         return top_n(kept, n, *order)
     place = Window.partitionBy(*by).orderBy(*order)
@@ -318,7 +335,7 @@ def read_results_fallback(
         .select(*key, F.col("_n").alias("line_no"), col)
     )
     rows = _parsed(head, col).filter(F.col("_state") == "success")
-    rows = stage_table(rows.select(*key, "line_no", *_result_columns()[:3]), "fallback")
+    rows = stage_table(rows.select(*key, "line_no", *_result_columns()), "fallback")
     winner = rows.groupBy(by).agg(F.min("file_path").alias("file_path"))
     return rows.join(winner, key, "left_semi")
 
@@ -341,7 +358,7 @@ def job_previews(
     chosen = discover_result_files(listing, by).select(by, F.col("result_key").alias("file_path"))
     heads = first_lines(lines, n, order, [by, "file_path"], col)
     picked = heads.join(chosen.filter(F.col("file_path").isNotNull()), [by, "file_path"], "left_semi")
-    wanted = [by, "file_path", "line_no", "record_id", "output_text", "stop_reason"]
+    wanted = [by, "file_path", "line_no", *RESULT_FIELDS]
     rows = stage_table(parse_results(picked, col).select(*wanted), "previews")
     done = rows.select(by).distinct()
     rest = read_results_fallback(lines.join(done, by, "left_anti"), order, by, col)
@@ -365,7 +382,10 @@ def parse_warnings(listing: DataFrame, previews: DataFrame, by: str = "job_id")
     )
 
 
-_PREVIEW_ITEM = "struct<line_no:int,record_id:string,output_text:string,stop_reason:string>"
+_PREVIEW_ITEM = (
+    "struct<line_no:int,record_id:string,output_text:string,stop_reason:string,"
+    "has_error:boolean,error_code:string,error_message:string,retryable:boolean>"
+)
 
 
 def result_bundle(
@@ -379,18 +399,19 @@ def result_bundle(
 
     ``previews`` holds at most a few rows per job (see :func:`job_previews`), so
     gathering them per job is bounded.  ``manifests`` has one row per manifest
-    file.  A manifest is only reported together with a preview.
+    file.  A manifest is only reported together with a preview, and only if it could
+    be read and holds a total.
     """
-    entry = F.struct("line_no", "record_id", "output_text", "stop_reason")
+    entry = F.struct("line_no", *RESULT_FIELDS)
     packed = previews.groupBy(by).agg(
         F.min("file_path").alias("preview_key"), F.array_sort(F.collect_list(entry)).alias("preview")
     )
     stats = manifests.withColumnsRenamed({"file_path": "manifest_key"})
     totals = [c for c in stats.columns if c not in ("manifest_key", by)]
-    stats = stats.select("manifest_key", *totals, F.lit(True).alias("_read"))
+    stats = stats.select("manifest_key", *totals, F.coalesce(*[F.col(c) for c in totals]).isNotNull().alias("_read"))
     place = F.lit(f"s3://{bucket}/")
     shown = F.col("preview").isNotNull()
-    known = shown & F.col("_read").isNotNull()
+    known = shown & F.coalesce("_read", F.lit(False))
     return (
         discover_result_files(listing, by)
         .join(packed, by, "left")

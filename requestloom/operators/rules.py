@@ -110,7 +110,7 @@ def check_format(lines: DataFrame, model_id: str | Column, col: str = "line") ->
     nova_model = F.lit("nova" in model_id.lower()) if isinstance(model_id, str) else C.is_nova(model_id)
     text = C.strip_line(col)
     opened = lines.withColumn("_h", J.request_head(text))
-    good = F.coalesce(F.col("_h.h") == F.xxhash64(text), F.lit(False))
+    good = F.coalesce(F.col("_h.h") == F.xxhash64(text), F.lit(False)) & F.is_valid_utf8(col)
     body = "_h.r.modelInput."
     nova = F.col(body + "schemaVersion").isNotNull() & F.col(body + "inferenceConfig").isNotNull()
     claude = F.col(body + "anthropic_version").isNotNull() & F.col(body + "max_tokens").isNotNull()

@@ -590,6 +590,7 @@ def preview_results(spark, sf_dir):
 
 
 # Previews of the files of jobs.
+_PREVIEW_FIELDS = "record_id, output_text, stop_reason, has_error, error_code, error_message, retryable"
 _FIRST_LINES = {
     "heads": "select * from (select *, row_number() over (partition by job_id, file_path order by doc_id) as line_no"
     " from job_lines where trim(line) <> '') where line_no <= 3",
@@ -612,8 +613,12 @@ _FIRST_LINES = {
     "fallback_rows": "select * from (" + _rows_sql("candidates") + ") where not has_error",
     "fallback_best": "select job_id, min(file_path) as file_path from fallback_rows group by job_id",
     "fallback": "select f.* from fallback_rows f join fallback_best using (job_id, file_path)",
-    "previews": "select job_id, file_path, line_no, record_id, output_text, stop_reason from primary_rows"
-    " union all select job_id, file_path, line_no, record_id, output_text, stop_reason from fallback"
+    "previews": "select job_id, file_path, line_no, "
+    + _PREVIEW_FIELDS
+    + " from primary_rows"
+    " union all select job_id, file_path, line_no, "
+    + _PREVIEW_FIELDS
+    + " from fallback"
     " where job_id not in (select job_id from primary_rows)",
 }
 
@@ -633,7 +638,9 @@ def job_previews(spark, sf_dir):
 @query(
     "read_results_fallback",
     with_views(
-        "select job_id, file_path, line_no, record_id, output_text, stop_reason from fallback",
+        "select job_id, file_path, line_no, "
+    + _PREVIEW_FIELDS
+    + " from fallback",
         "job_lines",
         "job_files",
         **_FIRST_LINES,
@@ -682,7 +689,8 @@ def parse_warnings(spark, sf_dir):
         **_FIRST_LINES,
         found="select job_id, min(file_path) filter (where file_path like '%.jsonl.out') as result_key,"
         " max(file_path) filter (where file_path like '%manifest.json.out') as manifest_key from job_files group by job_id",
-        packed="select job_id, min(file_path) as file_path, string_agg(record_id || '=' || output_text, chr(10)"
+        packed="select job_id, min(file_path) as file_path, string_agg(concat_ws('=', record_id, output_text, has_error,"
+        " error_code, error_message, retryable), chr(10)"
         " order by line_no) as preview from previews group by job_id",
         valid_rows="select * from job_lines where json_valid(line)",
         parsed_rows=_rows_sql("valid_rows"),
@@ -699,7 +707,8 @@ def result_bundle(spark, sf_dir):
         "successRecordCount",
     )
     bundle = P.result_bundle(listing, _job_previews(spark, sf_dir), manifests, BUCKET)
-    item = F.transform("preview", lambda p: F.concat(p["record_id"], F.lit("="), p["output_text"]))
+    shown = ("record_id", "output_text", "has_error", "error_code", "error_message", "retryable")
+    item = F.transform("preview", lambda p: F.concat_ws("=", *[p[c].cast("string") for c in shown]))
     counts = {c: F.col(c).cast("string") for c in ("totalRecordCount", "successRecordCount")}
     return bundle.withColumns({"preview": F.array_join(item, "\n"), **counts})
 
@@ -779,9 +788,10 @@ def registry_get(spark, sf_dir):
         "select job_arn, status, status in ('Completed', 'Failed', 'Stopped') as is_terminal, status = 'Error' as is_error,"
         " status = 'Completed' as results_ready, case status when 'Completed' then 'results_ready'"
         " when 'Failed' then 'check_configuration' when 'InProgress' then 'refresh_later' else '' end as hint,"
-        " case when status = 'Completed' then uri end as output_s3_uri from now",
+        " case when status = 'Completed' then uri end as output_s3_uri, message, submit_time, last_modified from now",
         "status_log",
-        now="select job_arn, arg_max(status, seq) as status, arg_max(uri, seq) as uri from status_log group by job_arn",
+        now="select job_arn, arg_max(status, seq) as status, arg_max(uri, seq) as uri, arg_max_null(message, seq) as message,"
+        " arg_min(ts, seq) as submit_time, arg_max(ts, seq) as last_modified from status_log group by job_arn",
     ),
 )
 def job_status(spark, sf_dir):
@@ -983,7 +993,8 @@ def read_listed_objects(spark, sf_dir):
     """The same files from their listing: tasks open the objects they are given."""
     root = _one_file_per_row(spark, views.table(spark, sf_dir, "pages").select("html"), "pages")
     listing = S.scan_objects(spark, root).select(F.col("file_path").alias("uri"), "size")
-    return D.fetch_content(listing, tasks=8).select("size", F.md5(C.base64_text("content")).alias("payload_md5"))
+    tasks = D.task_count(*listing.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first())
+    return D.fetch_content(listing, tasks=tasks).select("size", F.md5(C.base64_text("content")).alias("payload_md5"))
 
 
 @query("write_requests", with_views(f"select {_line_sql(_CLAUDE_TEXT_INPUT)} as line from numbered", "named_objects", **_TEXT_NUMBERED))
@@ -1005,6 +1016,26 @@ def read_requests(spark, sf_dir):
     return L.read_requests(spark, uri).select("record_id", "model_input")
 
 
+@query(
+    "read_requests_rejects",
+    """select case when not bad then '0_' || doc_id end as record_id,
+  case when not bad then '{"n":' || n_chars || '}' end as model_input,
+  case when doc_id % 13 = 0 then 'malformed_text' when doc_id % 11 = 0 then 'malformed_json' end as reason
+  from (select *, doc_id % 11 = 0 or doc_id % 13 = 0 as bad from documents)""",
+)
+def read_requests_rejects(spark, sf_dir):
+    """Good lines, cut ones and ones with a byte that is no UTF-8: each is a request or a reject with its reason."""
+    uri = shared_path(spark, "requests")
+    views.table(spark, sf_dir, "documents").selectExpr(
+        """concat('{"recordId":"0_', doc_id, '","modelInput":{"n":', n_chars,
+        case when doc_id % 13 = 0 then concat(',"b":"', cast(unhex('FF') as string), '"') else '' end,
+        case when doc_id % 11 = 0 then '}' else '}}' end) as line"""
+    ).write.text(uri)
+    rows = L.read_requests(spark, uri)
+    good = rows.filter("model_input is not null").withColumn("reason", F.lit(None).cast("string"))
+    return good.unionByName(L.request_rejects(rows)).select("record_id", "model_input", "reason")
+
+
 @query("stage_requests", _requests_sql("text", _CLAUDE_TEXT_INPUT))
 def stage_requests(spark, sf_dir):
     return K.stage_requests(_text_batch(spark, sf_dir), shared_path(spark, "staged"))

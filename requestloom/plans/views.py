@@ -137,6 +137,8 @@ def status_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"{_STATUS} as status",
         "concat('s3://', 'out-', cast(o_custkey % 5 as string), '/res') as uri",
         "o_orderkey as seq",
+        "case when o_orderstatus not in ('F', 'O') then concat('input ', cast(o_orderkey as string)) end as message",
+        "date_format(o_orderdate, 'yyyy-MM-dd HH:mm:ss') as ts",
     )
 
 
@@ -220,7 +222,9 @@ SQL_VIEWS = {
     "states": """select job_arn, arg_max(aws_region, seq) as aws_region, arg_max(ts, seq) as ts,
   min(seq) as position, max(seq) as seq from job_log group by job_arn""",
     "status_log": f"""select 'job/' || o_custkey as job_arn, {_STATUS} as status,
-  's3://out-' || (o_custkey % 5) || '/res' as uri, o_orderkey as seq from orders""",
+  's3://out-' || (o_custkey % 5) || '/res' as uri, o_orderkey as seq,
+  case when o_orderstatus not in ('F', 'O') then 'input ' || o_orderkey end as message,
+  strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') as ts from orders""",
     "jobs": f"""select 'arn:x:job/' || o_orderkey as job_arn, {_PREFIX} as prefix,
   case o_orderkey % 3 when 0 then null when 1 then '' else 'run-' || o_orderkey end as job_name,
   case o_orderkey % 3 when 0 then 'text' when 1 then 'image' else 'video' end as modality,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -46,17 +47,28 @@ def shared_root(spark: SparkSession) -> str:
     that setting gets a temporary folder; a cluster session without it is
     refused, since a machine-local folder would not be visible to the tasks.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    local = spark.sparkContext.master.startswith("local")
     if not root:
-        root = spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not local:
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        root = tempfile.mkdtemp(prefix="requestloom-")
-        spark.sparkContext.setCheckpointDir(root)
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL_ROOTS:
+            _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="requestloom-")
+        root = _LOCAL_ROOTS[app]
+    check_shared(root, local)
     return root.rstrip("/")
 
 
+_LOCAL_ROOTS: dict[str, str] = {}
+
+
+def check_shared(root: str, local: bool) -> None:
+    """Refuse a folder of one machine where tasks run on several."""
+    if not local and urlsplit(root).scheme in ("", "file"):
+        raise ValueError(f"spark.checkpoint.dir names a folder of one machine: {root}")
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_root(spark)}/requestloom/{label}-{uuid.uuid4().hex}"

@@ -21,7 +21,6 @@ from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 CHUNK_BYTES = 32 * 1024 * 1024
 TASK_BYTES = 1024 * 1024 * 1024
 TASK_OBJECTS = 2000
-MAX_TASKS = 100_000
 READERS = 8
 
 
@@ -51,7 +50,7 @@ def _opener():
 
 def task_count(objects: int, total_bytes: int) -> int:
     """Tasks for about ``TASK_BYTES`` or ``TASK_OBJECTS`` each, whichever asks for more of them."""
-    return max(1, min(MAX_TASKS, max(-(-total_bytes // TASK_BYTES), -(-objects // TASK_OBJECTS))))
+    return max(1, -(-total_bytes // TASK_BYTES), -(-objects // TASK_OBJECTS))
 
 
 def fetch_content(
@@ -86,32 +85,32 @@ def fetch_content(
             for i in range(0, len(places), READERS):
                 yield from pool.map(attempt, places[i : i + READERS])
 
-        pool = ThreadPoolExecutor(READERS)
-        for batch in batches:
-            start, content, problems, held = 0, [], [], 0
-            names = [*batch.schema.names]
-            place = names.index(uri)
-
-            def chunk(end: int) -> pa.RecordBatch:
-                rows = batch.slice(start, end - start)
-                arrays, labels = [*rows.columns], [*names]
-                if keep_content:
-                    arrays.append(pa.array(content, pa.binary()))
-                    labels.append("content")
-                return pa.RecordBatch.from_arrays(
-                    [*arrays, pa.array(problems, pa.string())], [*labels, "problem"]
-                )
-
-            for i, (data, problem) in enumerate(in_order(batch.column(place).to_pylist())):
-                problems.append(problem)
-                if keep_content:
-                    content.append(data)
-                    held += len(data or b"")
-                if held >= chunk_bytes:
-                    yield chunk(i + 1)
-                    start, content, problems, held = i + 1, [], [], 0
-            if problems:
-                yield chunk(batch.num_rows)
+        with ThreadPoolExecutor(READERS) as pool:
+            for batch in batches:
+                start, content, problems, held = 0, [], [], 0
+                names = [*batch.schema.names]
+                place = names.index(uri)
+
+                def chunk(end: int) -> pa.RecordBatch:
+                    rows = batch.slice(start, end - start)
+                    arrays, labels = [*rows.columns], [*names]
+                    if keep_content:
+                        arrays.append(pa.array(content, pa.binary()))
+                        labels.append("content")
+                    return pa.RecordBatch.from_arrays(
+                        [*arrays, pa.array(problems, pa.string())], [*labels, "problem"]
+                    )
+
+                for i, (data, problem) in enumerate(in_order(batch.column(place).to_pylist())):
+                    problems.append(problem)
+                    if keep_content:
+                        content.append(data)
+                        held += len(data or b"")
+                    if held >= chunk_bytes:
+                        yield chunk(i + 1)
+                        start, content, problems, held = i + 1, [], [], 0
+                if problems:
+                    yield chunk(batch.num_rows)
 
     spread = listing.repartition(tasks, F.col(uri)) if tasks else listing
     return spread.mapInArrow(run, schema)

@@ -36,10 +36,10 @@ def read_results(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 def request_rows(lines: DataFrame, col: str = "line") -> DataFrame:
     """Record id and ``modelInput`` JSON of ready request lines.
 
-    ``model_input`` is null for a line that is not one valid JSON object.
+    ``model_input`` is null for a line that is not one valid JSON object in UTF-8.
     """
     text = C.strip_line(col)
-    good = F.col("_h.h") == F.xxhash64(text)
+    good = (F.col("_h.h") == F.xxhash64(text)) & F.is_valid_utf8(col)
     opened = lines.filter(~C.is_blank(col)).withColumn("_h", J.request_head(text))
     rid = F.coalesce(F.try_variant_get("_h.r.recordId", "$", "string"), F.lit("unknown"))
     others = [c for c in lines.columns if c != col]
@@ -56,6 +56,20 @@ def read_requests(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return request_rows(read_lines(spark, paths))
 
 
+def request_rejects(rows: DataFrame, col: str = "value") -> DataFrame:
+    """Request rows that cannot be used, with the reason; every other row has a ``model_input``."""
+    reason = F.when(F.is_valid_utf8(col), "malformed_json").otherwise("malformed_text")
+    return rows.filter(F.col("model_input").isNull()).withColumn("reason", reason)
+
+
+def rejected_as_results(rejects: DataFrame) -> DataFrame:
+    """An error line for each rejected request line, so that run totals count it."""
+    error = F.struct(
+        F.lit(400).alias("errorCode"), F.col("reason").alias("errorMessage"), F.lit(False).alias("retryable")
+    )
+    return rejects.select(F.to_json(F.struct(F.lit("unknown").alias("recordId"), error.alias("error"))).alias("value"))
+
+
 def first_request(lines: DataFrame, order: list[str] = LINE_ORDER, col: str = "line") -> DataFrame:
     """The first request of a file: a top-1, not a full read into memory."""
     return request_rows(top_n(lines.filter(~C.is_blank(col)), 1, *order), col)
