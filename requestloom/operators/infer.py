@@ -32,17 +32,19 @@ class ScoringError(Exception):
         self.retryable = retryable
 
 
-def _answer(score: Scorer, record_id: str, line: str) -> dict:
+def _answer(score: Scorer, record_id: str, line: str) -> str:
+    """The result line; whatever the scorer raises or returns becomes one."""
     try:
-        return {"modelOutput": score(record_id, json.loads(line)["modelInput"])}
+        output = score(record_id, json.loads(line)["modelInput"])
+        return json.dumps({"recordId": record_id, "modelOutput": output}, ensure_ascii=False)
     except Exception as problem:
-        return {
-            "error": {
-                "errorCode": getattr(problem, "code", 500),
-                "errorMessage": str(problem),
-                "retryable": bool(getattr(problem, "retryable", False)),
-            }
+        code = getattr(problem, "code", 500)
+        error = {
+            "errorCode": code if isinstance(code, (int, str)) else str(code),
+            "errorMessage": str(problem),
+            "retryable": bool(getattr(problem, "retryable", False)),
         }
+        return json.dumps({"recordId": record_id, "error": error}, ensure_ascii=False)
 
 
 def infer_batch(
@@ -66,9 +68,8 @@ def infer_batch(
             lines, seconds = [], []
             for rid, line in zip(batch["record_id"], batch["value"]):
                 began = time.monotonic()
-                answer = {"recordId": rid, **_answer(score, rid, line)}
+                lines.append(_answer(score, rid, line))
                 seconds.append(time.monotonic() - began)
-                lines.append(json.dumps(answer, ensure_ascii=False))
             yield batch.assign(value=lines, seconds=seconds)
 
     carried = "".join(f", {c} string" for c in keep)

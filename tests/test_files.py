@@ -135,6 +135,40 @@ def test_media_jobs_and_dry_runs(engine):
     assert engine.resolve_model("video", "Nova Pro (Video)") == NOVA
 
 
+def test_unusable_lines_and_fallback(engine):
+    """Request lines that cannot be used are counted and kept; previews look into other files if need be."""
+    folder = engine.place("inb", "requests.jsonl")
+    good = json.dumps({"recordId": "1", "modelInput": {"messages": [{"content": [{"text": "abc"}]}]}})
+    K.write_requests(engine.spark.createDataFrame([(good,), (good[:-2],), (good + " x",)], "value string"), folder)
+
+    def bytes_for_an_answer():
+        return lambda rid, body: {"output": b"not json"}
+
+    arn = engine.create_batch_job_from_jsonl("s3://inb/requests.jsonl", "outb", "r", CLAUDE, bytes_for_an_answer, job_type="video")
+    bundle = engine.get_results_preview(arn).first()
+    assert (bundle["totalRecordCount"], bundle["errorRecordCount"], len(bundle["preview"])) == (3, 3, 1)
+    assert bundle["preview"][0]["has_error"] and bundle["preview"][0]["retryable"] is False
+    job = arn.split("/")[-1]
+    rejects = engine.spark.read.parquet(engine.place("outb", f"r/{job}/rejects"))
+    assert [r["reason"] for r in rejects.collect()] == ["malformed_json"] * 2
+    status = engine.get_job_status(arn).first()
+    assert status["message"] == "" and status["submit_time"] <= status["last_modified"]
+
+
+def test_preview_from_other_files(engine, tmp_path):
+    answer = json.dumps({"recordId": "7", "modelOutput": {"content": [{"text": "hello"}]}})
+    for name, files in {"a": {"raw.out": answer}, "b": {"1.jsonl.out": "junk", "2.jsonl.out": answer}}.items():
+        arn = f"arn:x/{name}"
+        engine._set_status(arn, "Completed", "s3://outb/f/")
+        folder = tmp_path / "store/outb/f" / name
+        folder.mkdir(parents=True)
+        for file, text in files.items():
+            (folder / file).write_text(text + "\n")
+        bundle = engine.get_results_preview(arn).first()
+        assert [p["output_text"] for p in bundle["preview"]] == ["hello"]
+        assert bundle["file_name"] == ("raw.out" if name == "a" else "2.jsonl.out")
+
+
 def _describe():
     def score(rid, body):
         media = next(iter(body["messages"][0]["content"][0].values()))

@@ -278,3 +278,35 @@ def test_very_long_lines(spark):
     line = F.concat(F.lit('{"recordId":"1","modelOutput":{"content":[{"text":"'), F.expr(f"repeat('x', {n})"), F.lit('"}]}}'))
     rows = P.parse_results(spark.range(1).select(line.alias("line"))).select("record_id", F.length("output_text"))
     assert [tuple(r) for r in rows.collect()] == [("1", n)]
+
+
+def test_lines_that_are_not_text(spark):
+    """A byte that is no UTF-8 makes a line a reject; it gives no row and no place in a preview."""
+    line = '{"recordId":"%d","modelOutput":{"content":[{"text":"t"}]}}'
+    raw = [(i, (line % i).encode().replace(b'"t"', b'"\xff"' if i == 0 else b'"t"')) for i in range(5)]
+    lines = spark.createDataFrame(raw, "n int, b binary").selectExpr("n", "cast(b as string) as line")
+    assert sorted(r["record_id"] for r in P.parse_results(lines).collect()) == ["1", "2", "3", "4"]
+    assert [r["reason"] for r in P.invalid_results(lines).select("reason").collect()] == ["malformed_text"]
+    assert [r["record_id"] for r in P.preview_results(lines, ["n"]).collect()] == ["1", "2", "3"]
+
+
+def test_unreadable_manifest_is_not_reported(spark):
+    listing = spark.createDataFrame(
+        [("a", "a/x.jsonl.out"), ("a", "a/manifest.json.out")], "job_id string, file_path string"
+    )
+    row = ("a", "a/x.jsonl.out", 1, "r", "t", "s", False, None, None, None)
+    previews = spark.createDataFrame([row], "job_id string, file_path string, line_no int, " + P.RESULT_SCHEMA)
+    for total, shown in ((None, None), (3, "s3://b/a/manifest.json.out")):
+        manifests = spark.createDataFrame([("a/manifest.json.out", total)], "file_path string, totalRecordCount bigint")
+        bundle = P.result_bundle(listing, previews, manifests, "b").first()
+        assert (bundle["manifest_s3_uri"], bundle["totalRecordCount"]) == (shown, total)
+
+
+def test_shared_folder_of_one_machine_is_refused():
+    from requestloom.session import check_shared
+
+    for root in ("/tmp/x", "file:///tmp/x"):
+        check_shared(root, local=True)
+        with pytest.raises(ValueError):
+            check_shared(root, local=False)
+    check_shared("hdfs://host/x", local=False)
