@@ -10,7 +10,7 @@ Annuli are kept as blocks of about ``BLOCK`` rows, and the queries that visit an
 a crowded annulus is many small pieces of work.  The index covers every row; only the pivots come from a sample.
 
 Vectors that are null, empty or hold null or non-finite components take no part, nor do rows with a null id.  Vectors meet
-those of the same length only.  Of queries that repeat an id the smallest vector counts; candidates that repeat an id are
+those of the same length only.  Scores are 64-bit numbers.  Of queries that repeat an id the smallest vector counts; candidates that repeat an id are
 rows of their own.
 """
 
@@ -79,7 +79,7 @@ def _matrix(column) -> np.ndarray:
 class PivotIndex:
     """The index of one vector length: pivots, the bounds of its annuli (at most PIVOTS x RINGS), and blocks of rows."""
 
-    def __init__(self, rows: DataFrame, top: int):
+    def __init__(self, rows: DataFrame, top: float):
         """``rows`` (id, v) with vectors of one length; ``top`` is their largest squared norm."""
         spark = rows.sparkSession
         self.top = float(top)
@@ -223,7 +223,7 @@ def top_k(
 ) -> DataFrame:
     """Each query's k best rows: query_id, rank (from 1), vec_id, score.  ``is_query`` is SQL over ``id``."""
     rows = stage_table(whole_numbers(vectors, id_col, vector_col).withColumn("length", F.size("v")), "whole_numbers")
-    norm = F.aggregate("v", F.lit(0).cast("long"), lambda total, c: total + c * c)
+    norm = F.aggregate("v", F.lit(0.0), lambda total, c: total + c.cast("double") * c.cast("double"))
     lengths = rows.groupBy("length").agg(F.max(norm).alias("top")).orderBy("length").collect()
     results = []
     for length, top in lengths:  # as a rule one
