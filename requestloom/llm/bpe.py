@@ -27,7 +27,8 @@ from . import common as C
 WHITE = "\t-\r \x85\xa0" + "{0}{1}-{2}{3}{4}{5}{6}{7}".format(
     *map(chr, (0x1680, 0x2000, 0x200A, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 )
-CHUNKS_KEPT, PIECES_KEPT, PAIRS_KEPT = 300_000, 200_000, 200_000
+#: What a process remembers at most, about 400 MB in all; each store starts afresh when it is full.
+CHUNKS_KEPT, PIECES_KEPT, PAIRS_KEPT = 1_200_000, 300_000, 400_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -68,6 +69,7 @@ class BytePairs:
         self.chunks = re.compile("[ \n]*[^ \n]+|[ \n]+").findall
         self.any_chunks = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall
         self.other_white = re.compile(f"[\t\x0b-\r{WHITE[4:]}]").search
+        self.reached: dict[int, bool] = {}
         self.stays = C.Bounded(self._stays, PAIRS_KEPT)
         self.pieces = C.Bounded(self.encode_piece, PIECES_KEPT)
         self.known = C.Bounded(self._chunk, CHUNKS_KEPT)
@@ -82,15 +84,18 @@ class BytePairs:
 
     def _reached(self, token: int) -> bool:
         """Whether merges make this token of its own bytes."""
-        return self.stays.setdefault((token, -1), merged(self.token[token], self.ranks) == [token])
+        found = self.reached.get(token)
+        if found is None:
+            found = self.reached[token] = merged(self.token[token], self.ranks) == [token]
+        return found
 
     def encode_piece(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
         starting: list[list] = [[] for _ in piece]
-        for end, (token, length) in self.automaton.iter(piece.decode("latin-1")):
-            starting[end + 1 - length].append((token, length))  # shorter tokens first
+        for end, found in self.automaton.iter(piece.decode("latin-1")):
+            starting[end + 1 - found[1]].append(found)  # (token, length), shorter tokens first
         left = [len(tokens) for tokens in starting]
         chosen: list[tuple[int, int]] = []
         at, last, stays = 0, None, self.stays

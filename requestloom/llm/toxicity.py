@@ -220,11 +220,12 @@ def fit(
 
 def score_column(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
     """Score of a text, 0 to 1."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # Plain values: workers may not have this package to load an object of its classes.
+    shared = docs.sparkSession.sparkContext.broadcast((model.buckets, model.weights, model.bias))
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        model = shared.value
+        model = Model(*shared.value)
         key = "toxicity", model.buckets.tobytes(), model.weights.tobytes(), model.bias
         return texts.map(C.per_process(hash(key), model.scorer)).astype("float64")
 
