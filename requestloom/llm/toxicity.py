@@ -30,7 +30,7 @@ from . import common as C
 #: Labelled documents used in the fit at most; features of the model; buckets that features are counted in.
 TRAIN_ROWS, FEATURES, BUCKETS = 20_000, 600, 1 << 22
 #: Weight of the squared change under swaps, and of squared weights.
-SWAP_PENALTY, RIDGE = 5.0, 1e-3
+SWAP_PENALTY, RIDGE = 5.0, 1e-4
 TOXIC_FROM = 0.7
 #: Terms of a list stand for each other.
 IDENTITY = (
