@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import zlib
 from collections.abc import Callable
@@ -46,15 +47,11 @@ class Bounded(dict):
         return value
 
 
-def word_hashes() -> Bounded:
-    """64-bit hashes of words (bytes), with a bounded memory of frequent ones."""
+def hash_words(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words.  Hashing each anew is quicker than any memory of them."""
+    import xxhash
 
-    def make():
-        import xxhash
-
-        return Bounded(xxhash.xxh64_intdigest, 400_000)
-
-    return per_process("word hashes", make)
+    return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), np.uint64)
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -75,7 +72,7 @@ def shingle_hashes(words: list[bytes], size: int = 5) -> np.ndarray:
     """Sorted distinct 64-bit hashes of all runs of ``size`` words; fewer words count as one run."""
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(word_hashes().__getitem__, words), np.uint64, len(words))
+    h = hash_words(words)
     k = min(size, len(words))
     n = len(words) - k + 1
     with np.errstate(over="ignore"):
@@ -96,6 +93,18 @@ def crc_of_id(doc_id) -> int:
     return zlib.crc32(str(doc_id).encode())
 
 
+def staged(rows: DataFrame, label: str) -> DataFrame:
+    """``stage_table``, after which the shuffle files that led to the table are given up.
+
+    Spark removes them when the driver's collector finds nobody holding them, which a driver with a small heap and long
+    jobs may leave undone for hours; so it is asked to look.
+    """
+    table = stage_table(rows, label)
+    gc.collect()
+    rows.sparkSession.sparkContext._jvm.System.gc()
+    return table
+
+
 # ---------------------------------------------------------------- membership
 
 
@@ -139,20 +148,20 @@ def components(links: DataFrame, label: str) -> DataFrame:
     left.  Rounds are written to the shared folder, so a lost executor costs one round at most.
     """
     spark = links.sparkSession
-    edges = stage_table(
+    edges = staged(
         links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges"
     )
     rounds = []
     while edges.limit(1).count():
         ends = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        joined = stage_table(
+        joined = staged(
             ends.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("to")),
             "joined",
         )
         rounds.append(joined)
         left = joined.select(F.col("node").alias("a"), F.col("to").alias("ta"))
         right = joined.select(F.col("node").alias("b"), F.col("to").alias("tb"))
-        edges = stage_table(
+        edges = staged(
             edges.join(left, "a")
             .join(right, "b")
             .where("ta <> tb")
@@ -179,7 +188,7 @@ def cut_tiles(rows: DataFrame, label: str) -> DataFrame:
     """Rows (key, id, ...) whose key occurs more than once, with the piece of their tile, written to the shared folder."""
     from pyspark.sql import Window
 
-    return stage_table(
+    return staged(
         rows.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("key")))
         .where("m > 1")
         .withColumn("pieces", F.expr(f"cast(ceil(m / {PIECE}) as int)"))

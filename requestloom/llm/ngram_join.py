@@ -21,7 +21,6 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stage_table
 from . import common as C
 
 #: Similarity as a ratio of whole numbers, so that the comparison is exact.
@@ -172,8 +171,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5) -> DataFrame:
     """One row per document: ``id_col``, n_shingles (long), component_id (smallest id reachable by links)."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = stage_table(signatures(docs, size, common_shingles(docs.select("text"), size)), "signed")
-    classes = stage_table(
+    signed = C.staged(signatures(docs, size, common_shingles(docs.select("text"), size)), "signed")
+    classes = C.staged(
         signed.where("n > 0 and id is not null")
         .groupBy("digest")
         .agg(F.min("id").alias("class_id"), F.min(F.when(F.col("prefix").isNotNull(), F.col("id"))).alias("holder")),
@@ -183,11 +182,11 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     held = signed.where("prefix is not null").join(
         classes.select("digest", "class_id", F.col("holder").alias("id")), ["digest", "id"]
     )
-    rows = held.select(
-        F.col("class_id").alias("id"), "n", F.posexplode("prefix").alias("pos", "key")
-    ).withColumn("band", F.expr(f"cast(floor(ln(n) / ln({DENOMINATOR} / {NUMERATOR})) as int)"))
-    tiles = C.cut_tiles(rows.select("key", "id", "n", "pos", "band"), "tiles")
-    words = stage_table(
+    rows = held.select(F.col("class_id").alias("id"), "n", F.posexplode("prefix").alias("pos", "key"))
+    tiles = C.cut_tiles(rows.select("key", "id", "n", "pos"), "tiles").withColumn(
+        "band", F.expr(f"cast(floor(ln(n) / ln({DENOMINATOR} / {NUMERATOR})) as int)")
+    )
+    words = C.staged(
         held.select(F.col("class_id").alias("id"), *[F.col("bitmap")[i].alias(f"b{i}") for i in range(WORDS)], "n"),
         "bitmaps",
     )
@@ -198,13 +197,13 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             .join(words.alias("r"), F.expr("b = r.id"))
             .where(BITMAPS)
         )
-        return stage_table(met.select("a", "b").distinct(), "pairs")
+        return C.staged(met.select("a", "b").distinct(), "pairs")
 
     first = with_bitmaps(C.star_pairs(tiles, ["n"], ["n", "pos"], SIZES, ["band", "piece"]))
-    links = stage_table(_verified(first, docs, size), "links")
+    links = C.staged(_verified(first, docs, size), "links")
     opened = C.open_tiles(tiles, C.components(links, "star")).join(words.drop("n"), "id")
-    second = stage_table(C.cross_pairs(opened, f"{SIZES} and {BITMAPS}"), "pairs")
-    links = links.unionAll(stage_table(_verified(second, docs, size), "links"))
+    second = C.staged(C.cross_pairs(opened, f"{SIZES} and {BITMAPS}"), "pairs")
+    links = links.unionAll(C.staged(_verified(second, docs, size), "links"))
     found = C.components(links, "all").withColumnRenamed("node", "class_id")
     named = classes.select("digest", "class_id").join(found, "class_id", "left")
     return (
@@ -226,5 +225,5 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Rows with a null id stay.  Of rows that repeat an id all stay that have a text of the kept kind.
     """
     found = similar_documents(docs, id_col, text_col)
-    gone = stage_table(found.where(f"component_id <> {id_col}").select(id_col).distinct(), "copies")
+    gone = C.staged(found.where(f"component_id <> {id_col}").select(id_col).distinct(), "copies")
     return docs.join(gone, id_col, "left_anti").select(*docs.columns)
