@@ -143,6 +143,16 @@ def edit_distance(a, b):
     return row[-1]
 
 
+def test_edit_distance():
+    r = np.random.default_rng(2)
+    for _ in range(400):
+        a, b = ("".join(r.choice(list("abé"), r.integers(0, 14))) for _ in range(2))
+        expected = edit_distance(a, b)
+        assert line_dedup.edit_distance(a, b) == expected
+        assert [line_dedup.within(a, b, m) for m in range(15)] == [expected <= m for m in range(15)]
+    assert line_dedup.within("x" * 3000 + "a" + "y" * 3000, "x" * 3000 + "b" + "y" * 3000, 1)
+
+
 def plain_lines(rows):
     """The texts after line dedup, by comparing all distinct lines."""
     first, sig = {}, {}
@@ -203,8 +213,10 @@ def test_lines_of_odd_rows(odd_ids, empty):
 
 
 def test_simhash_of_long_lines():
-    lines = [words(i, n).encode().split() for i, n in enumerate((1, 2, 254, 255, 256, 700))]
+    lines = [[b"w%d" % j for j in range(i, i + n)] for i, n in enumerate((1, 2, 254, 255, 256, 700))]
+    lines.append([b"a", b"|", b"b", b"|", b"c"])
     for line, got in zip(lines, line_dedup.simhashes(lines)):
+        line = sorted(set(line))
         hashes = C.hash_words(line).tolist()
         bits = sum((2 * sum(h >> i & 1 for h in hashes) > len(line)) << i for i in range(64))
         assert int(got) & (2**64 - 1) == bits
