@@ -14,7 +14,8 @@ from pyspark.sql import SparkSession
 
 from . import common as C
 
-CHUNKS_KEPT = 400_000
+#: Chunks that a process remembers at most, about 250 MB.
+CHUNKS_KEPT = 1_000_000
 
 
 def chunked(document: str) -> bool:
@@ -53,11 +54,14 @@ class WordTokens:
         if len(self.known) > CHUNKS_KEPT:
             self.known.clear()
         split = [text.split() if text else () for text in texts]
-        missing = {chunk for chunks in split for chunk in chunks if chunk not in self.known}
+        found = [list(map(self.known.get, chunks)) for chunks in split]
+        fresh = [i for i, ids in enumerate(found) if None in ids]
+        missing = {chunk for i in fresh for chunk, ids in zip(split[i], found[i]) if ids is None}
         if missing:
             self._learn(list(missing))
-        known = self.known.__getitem__
-        return [b"".join(map(known, chunks)) for chunks in split]
+            for i in fresh:
+                found[i] = [self.known[c] if ids is None else ids for c, ids in zip(split[i], found[i])]
+        return list(map(b"".join, found))
 
 
 def share(spark: SparkSession, path: str):
