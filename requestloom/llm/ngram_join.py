@@ -6,8 +6,9 @@ documents hold last.  Sets that share such a shingle meet in a tile, cut by band
 pass the size bound, the bound from the shingle's positions, and the bound from hashed bitmaps (bits of one set that the
 other lacks are elements it lacks).  What is left is compared exactly, as sorted arrays.
 
-Tiles of thousands of near copies are not expanded: each band's members meet its smallest set first; afterwards only rows
-of a tile that are still in different components meet.
+Tiles of thousands of near copies are not expanded: each band's members meet its smallest set first, then, where that
+leaves several components, a row that differs from tile to tile; afterwards only rows of a tile that are still in
+different components meet.
 
 Nulls, empty texts and texts without words: the empty set, linked with nothing, a component of its own.  Rows with a null
 id take no part and get a null component.  Rows that repeat an id get the component of their own text.
@@ -201,6 +202,12 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     first = with_bitmaps(C.star_pairs(tiles, ["n"], ["n", "pos"], SIZES, ["band", "piece"]))
     links = C.staged(_verified(first, docs, size), "links")
+    # Where a tile's smallest set left several components, another row leads, in each tile a different one: a crowd whose
+    # members are similar to some of the others grows together before pairs are tried.
+    opened = C.open_tiles(tiles, C.components(links, "star")).withColumn("turn", F.xxhash64("id", "key"))
+    other = f"{SIZES} and l.component <> r.component"
+    middle = with_bitmaps(C.star_pairs(opened, ["turn"], ["turn", "n", "pos", "component"], other, ["piece"]))
+    links = links.unionAll(C.staged(_verified(middle, docs, size), "links"))
     opened = C.open_tiles(tiles, C.components(links, "star")).join(words.drop("n"), "id")
     second = C.staged(C.cross_pairs(opened, f"{SIZES} and {BITMAPS}"), "pairs")
     links = links.unionAll(C.staged(_verified(second, docs, size), "links"))
