@@ -212,6 +212,29 @@ def test_lines_of_odd_rows(odd_ids, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_lines_by_edit_similarity_alone(spark):
+    """Lines of 9 to 500 characters with one letter or one word changed, against all pairs."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(240):
+        line = words(1000 + i, 60)[: 9 + i % 60 if i < 160 else int(rng.integers(60, 500))].strip()
+        other = list(line)
+        other[int(rng.integers(len(line)))] = "\u00e9"
+        changed = line.split()
+        changed[len(changed) // 2] = "q" * len(changed[len(changed) // 2])
+        rows += [(3 * i, line), (3 * i + 1, "".join(other)), (3 * i + 2, " ".join(changed))]
+    normal = {i: line_dedup.normal_line(t.encode()).decode() for i, t in rows}
+    links = [
+        (a, b)
+        for a, b in combinations(normal, 2)
+        if abs(len(normal[a]) - len(normal[b])) <= 50
+        and line_dedup.within(normal[a], normal[b], max(len(normal[a]), len(normal[b])) // 10)
+    ]
+    group = grouped(normal, links)
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r.doc_id for r in got if r._n_removed} == {i for i in normal if group[i] != i} and len(links) > 300
+
+
 def test_simhash_of_long_lines():
     lines = [[b"w%d" % j for j in range(i, i + n)] for i, n in enumerate((1, 2, 254, 255, 256, 700))]
     lines.append([b"a", b"|", b"b", b"|", b"c"])
