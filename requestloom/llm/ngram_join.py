@@ -74,7 +74,8 @@ def _positions(common: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, size: int, common: np.ndarray) -> DataFrame:
-    """Per document: id, set size n, digest of the set, bitmap words, and the prefix (once per set and batch)."""
+    """Per document: id, set size n, digest of the set, bitmap words, and the prefix (once per set and batch, never in a
+    row without an id)."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
     schema = "id bigint, n int, digest binary, bitmap array<bigint>, prefix array<bigint>"
 
@@ -91,7 +92,7 @@ def signatures(docs: DataFrame, size: int, common: np.ndarray) -> DataFrame:
                 n = len(values)
                 digest = hashlib.blake2b(values.tobytes(), digest_size=16).digest()
                 bitmap = prefix = None
-                if n and digest not in seen:
+                if doc is not None and n and digest not in seen:
                     seen.add(digest)
                     bits = np.zeros(64 * WORDS, np.uint8)
                     bits[values & np.uint64(64 * WORDS - 1)] = 1

@@ -82,6 +82,17 @@ def test_similar_documents_with_odd_ids(odd_ids, empty):
     assert ngram_join.similar_documents(empty).count() == 0
 
 
+def test_similar_documents_after_null_ids(spark):
+    """Rows with a null id come before rows with an id and the same text."""
+    base = words(1, 120)
+    near = base.replace(base.split()[60], "changed", 1)
+    rows = [(None, base), (None, base), (7, base), (9, near), (None, near)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    got = ngram_join.similar_documents(frame).collect()
+    assert {r.doc_id: r.component_id for r in got} == {None: None, 7: 7, 9: 7} and len(got) == len(rows)
+    assert sorted(r.doc_id for r in ngram_join.one_of_each(frame).collect() if r.doc_id) == [7]
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 150)] + [(300, 299)]
     got = C.components(spark.createDataFrame(links, "a bigint, b bigint"), "t").collect()
