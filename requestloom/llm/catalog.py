@@ -8,7 +8,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, line_dedup, ngram_join, pii, sharding, token_counts, token_files, topk_search, toxicity
+from . import bpe, decontamination, line_dedup, ngram_join, pii, sharding, simhash_dedup, spelling, token_counts
+from . import token_files, topk_search, toxicity, vector_codes
 from .common import table
 
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -142,3 +143,51 @@ def personal_data(spark, sf_dir):
         F.sha2(shown(base), 256).alias("base_sha256"),
         shown(F.col("spans")).alias("spans"),
     )
+
+
+def part_codes_sql() -> str:
+    """Every round of the part codes as a step of its own; distances and means are plain lists."""
+    parts, rounds = vector_codes.PARTS, vector_codes.ROUNDS
+    steps = [
+        f"""v as materialized (select vec_id, label, list_transform(embedding, lambda x: cast(floor({vector_codes.SCALE} * cast(x as double)) as bigint)) as v
+    from embeddings where embedding is not null
+      and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)""",
+        f"""p as materialized (select vec_id, label, part, v[part * len(v) // {parts} + 1 : (part + 1) * len(v) // {parts}] as x
+    from v, (select unnest(range(0, {parts})) as part))""",
+        f"""c0 as materialized (select part, row_number() over (partition by part order by vec_id) - 1 as entry, x as c
+    from p where vec_id in (select vec_id from v order by vec_id limit {vector_codes.ENTRIES}))""",
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} as materialized (select vec_id, any_value(label) as label, part, any_value(x) as x,
+      min(struct_pack(d := d, entry := entry)) as best
+    from (select p.vec_id, p.label, p.part, p.x, entry,
+        cast(list_sum(list_transform(list_zip(x, c), lambda q: (q[1] - q[2]) * (q[1] - q[2]))) as bigint) as d
+      from p join c{i} on p.part = c{i}.part) group by vec_id, part)""")
+        if i < rounds:
+            steps.append(f"""m{i} as (select part, entry, list(m order by place) as c from (
+      select part, best.entry as entry, place, cast(floor(cast(sum(x[place]) as double) / count(*)) as bigint) as m
+      from a{i}, (select unnest(range(1, (select max(len(x)) from p) + 1)) as place) group by all) group by part, entry)""")
+            steps.append(f"""c{i + 1} as materialized (select part, entry, coalesce(m{i}.c, c{i}.c) as c
+    from c{i} left join m{i} using (part, entry))""")
+    return f"""with {", ".join(steps)},
+  f as (select vec_id, any_value(label) as label, string_agg(printf('%02x', best.entry), '' order by part) as code,
+      cast(sum(best.d) as bigint) as error from a{rounds} group by vec_id),
+  s as (select label, cast(sum(error) as bigint) as label_error from f group by label)
+  select vec_id, code, error, label_error,
+    (select sha256(string_agg(array_to_string(c, ','), ',' order by part, entry)) from c{rounds}) as codebooks_sha256
+  from f join s on f.label is not distinct from s.label"""
+
+
+@query("op11_vector_codes", part_codes_sql())
+def coded(spark, sf_dir):
+    return vector_codes.code_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_spelling_variants")
+def variants(spark, sf_dir):
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@query("op13_simhash_dedup")
+def near(spark, sf_dir):
+    return simhash_dedup.near_documents(table(spark, sf_dir, "documents"))

@@ -82,6 +82,34 @@ def shingle_hashes(words: list[bytes], size: int = 5) -> np.ndarray:
     return np.unique(total)
 
 
+def _spread_bytes() -> np.ndarray:
+    """For each byte a 64-bit word whose eight bytes are the byte's bits, lowest first."""
+    bits = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
+    return np.ascontiguousarray(bits).view(np.uint64).ravel()
+
+
+def ones_per_bit(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """For each run of hashes (none of them empty) and each of 64 bits, how many hashes have the bit set.
+
+    Bits are counted in bytes, so hashes are summed in runs of at most 255 and the runs are added up.
+    """
+    runs = (lengths + 254) // 255
+    first_run = np.cumsum(runs) - runs
+    within = np.arange(int(runs.sum())) - np.repeat(first_run, runs)
+    starts = np.repeat(np.cumsum(lengths) - lengths, runs) + 255 * within
+    spread, octets = per_process("spread bytes", _spread_bytes), values.view(np.uint8).reshape(-1, 8)
+    in_runs = np.stack([np.add.reduceat(spread[octets[:, i]], starts) for i in range(8)], axis=1)
+    in_runs = in_runs.view(np.uint8).reshape(-1, 64)
+    ones = in_runs if len(in_runs) == len(lengths) else np.add.reduceat(in_runs, first_run, axis=0, dtype=np.int32)
+    return ones.astype(np.int32)
+
+
+def majorities(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """SimHash of each run of hashed features (none of them empty): bit i is the majority of the hashes' bits i."""
+    majority = 2 * ones_per_bit(values, lengths) > lengths[:, None]
+    return np.packbits(majority, axis=1, bitorder="little").view(np.int64).ravel()
+
+
 def binary_column(column) -> list:
     """The UTF-8 bytes of a string column of an Arrow batch; None where it is null."""
     import pyarrow as pa
@@ -249,3 +277,27 @@ def cross_pairs(rows: DataFrame, may_link: str) -> DataFrame:
     return met.select(
         F.expr("least(l.id, r.id)").alias("a"), F.expr("greatest(l.id, r.id)").alias("b")
     ).distinct()
+
+
+# ---------------------------------------------------------------- hot keys
+
+#: A key is hot if it holds one of ``HOT`` rows or more.  There are ``HOT`` such keys at most, so they can be broadcast.
+HOT = 1000
+
+
+def join_hot(rows: DataFrame, found: DataFrame, key: str, times: str) -> DataFrame:
+    """``rows`` with the columns of ``found``, which has one row per key (a null one counts) and, in ``times``, the number
+    of rows of the key.
+
+    Rows of hot keys meet a broadcast of at most ``HOT`` rows of ``found`` where they are; only the others are shuffled.
+    Both should be written tables, since they are read twice.
+    """
+    total = found.agg(F.sum(times)).first()[0] or 0
+    hot = F.broadcast(found.where(F.col(times) * HOT >= total))
+    cold = found.where(F.col(times) * HOT < total)
+    same = F.col(f"l.{key}").eqNullSafe(F.col(f"r.{key}"))
+    columns = [F.col(f"l.`{c}`") for c in rows.columns] + [F.col(f"r.`{c}`") for c in found.columns if c not in (key, times)]
+    left = rows.alias("l")
+    at_home = left.join(hot.alias("r"), same).select(*columns)
+    moved = left.join(hot.alias("r"), same, "left_anti").alias("l").join(cold.alias("r"), same).select(*columns)
+    return at_home.unionAll(moved)
