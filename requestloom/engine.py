@@ -26,9 +26,12 @@ from .operators import requests as Q
 from .operators import results as P
 from .operators import rules as V
 from .session import configure
+from .sources import heads as H
 from .sources import lines as L
+from .sources import listing as T
 from .sources import objects as S
 from .sources import sinks as K
+from .sources.stores import ArrowStore
 
 JOB_COLUMNS = (
     "job_arn string, output_bucket string, output_prefix string, aws_region string, input_bucket string, "
@@ -37,12 +40,19 @@ JOB_COLUMNS = (
 JOB_LOG = JOB_COLUMNS.replace("seq bigint", "timestamp string, job_type string, seq bigint")
 STATUS_LOG = "job_arn string, status string, output_s3_uri string, message string, ts string, seq bigint"
 
+#: Parts of the request files that this engine writes, and the end that parts of result files add to the file's name.
+REQUEST_PART = r"\.jsonl/part-[^/]*\z"
+RESULT_PART = r"(?<=\.out)/part-[^/]*\z"
+
 
 class BatchEngine:
-    def __init__(self, spark: SparkSession, root: str, region: str = "us-east-1"):
+    def __init__(self, spark: SparkSession, root: str, region: str = "us-east-1", store=None):
+        """``store`` lets tasks list and open objects below ``root`` (see ``sources.stores``); where none is given and
+        pyarrow does not know the root's scheme either, Spark's own sources do it."""
         self.spark = configure(spark)
         self.root = root.rstrip("/")
         self.region = region
+        self.store = store or (ArrowStore() if ArrowStore.knows(self.root) else None)
         self._jobs_at = f"{self.root}/_registry/jobs"
         self._status_at = f"{self.root}/_registry/status"
 
@@ -69,9 +79,18 @@ class BatchEngine:
 
     # ------------------------------------------------------------ input
 
+    def _listed(self, bucket: str, prefix: str) -> DataFrame:
+        """Keys below a prefix, taken as plain text: listed by the tasks, from the deepest folder of the prefix on."""
+        if self.store is None:
+            return self._as_keys(S.scan_objects(self.spark, self.place(bucket)), bucket)
+        return T.list_tree(self.spark, self.place(bucket), prefix, self.store, hidden=False)
+
     def list_input_files(self, bucket: str, prefix: str = "") -> DataFrame:
-        """Valid objects whose key starts with the prefix, as typed."""
-        files = self._as_keys(S.scan_objects(self.spark, self.place(bucket)), bucket)
+        """Valid objects whose key starts with the prefix, as typed.
+
+        The parts of request files that this engine wrote beside its input are no objects.
+        """
+        files = self._listed(bucket, prefix).filter(~F.col("file_path").rlike(REQUEST_PART))
         return O.list_objects(files, prefix)
 
     def preview_files(self, bucket: str, prefix: str = "") -> DataFrame:
@@ -84,13 +103,23 @@ class BatchEngine:
         files = S.read_binary_objects(self.spark, self.place(bucket, key))
         return files.select(C.base64_text("content").alias("data"))
 
-    def _input(self, bucket: str, prefix: str, modality: str) -> DataFrame:
+    def _prepare(self, modality: str, bucket: str, prefix: str, model_id: str, batch_ts: int | None, **choices) -> Q.Batch:
+        """A batch of the objects below a prefix; what cannot be read or is too large is rejected."""
         listed = self.list_input_files(bucket, prefix)
         O.require_nonempty(listed, modality, bucket, prefix)
+        choices["batch_ts"] = int(time.time()) if batch_ts is None else batch_ts
+        if self.store is not None:
+            return Q.prepare_listed_batch(listed, self.place(bucket), modality, model_id, store=self.store, **choices)
         limit = C.max_raw_bytes(fixed.MAX_BASE64[modality]) if modality in fixed.MAX_BASE64 else None
-        files = S.read_binary_objects(self.spark, self.place(bucket), limit)
-        files = O.valid_objects(O.under_prefix(self._as_keys(files, bucket), prefix), prefix)
-        return O.route(files, modality)
+        files = self._as_keys(S.read_binary_objects(self.spark, self.place(bucket), limit), bucket)
+        files = files.filter(~F.col("file_path").rlike(REQUEST_PART))
+        files = O.route(O.valid_objects(O.under_prefix(files, prefix), prefix), modality)
+        batch = Q.prepare_batch(files, modality, model_id, **choices)
+        if limit is None:
+            return batch
+        # the oversized files were left out of the content scan: report them from the listing
+        oversized = Q.split_by_payload(O.route(listed, modality), modality)[1]
+        return Q.Batch(batch.requests, batch.rejects.unionByName(oversized), batch.rows)
 
     # ------------------------------------------------------------ request preparation
 
@@ -105,41 +134,27 @@ class BatchEngine:
         batch_ts: int | None = None,
         on_error: str = "reject",
     ) -> Q.Batch:
-        return Q.prepare_batch(
-            self._input(bucket, prefix, "text"),
-            "text",
-            model_id,
-            batch_ts=int(time.time()) if batch_ts is None else batch_ts,
-            prompt=prompt,
-            max_tokens=max_tokens,
-            temperature=temperature,
-            on_error=on_error,
-        )
-
-    def _prepare_media(self, modality, bucket, prefix, system_prompt, user_prompt, model_id, batch_ts) -> Q.Batch:
-        files = self._input(bucket, prefix, modality)
-        batch = Q.prepare_batch(
-            files,
-            modality,
-            model_id,
-            batch_ts=int(time.time()) if batch_ts is None else batch_ts,
-            prompt=user_prompt,
-            system_prompt=system_prompt,
-            on_error="fail",
-        )
-        # the oversized files were left out of the content scan: report them from the listing
-        listed = O.route(self.list_input_files(bucket, prefix), modality)
-        return Q.Batch(batch.requests, Q.split_by_payload(listed, modality)[1], batch.rows)
+        choices = {"prompt": prompt, "max_tokens": max_tokens, "temperature": temperature, "on_error": on_error}
+        return self._prepare("text", bucket, prefix, model_id, batch_ts, **choices)
 
     def prepare_image_batch_data(
         self, bucket: str, prefix: str, system_prompt: str, user_prompt: str, model_id: str, batch_ts: int | None = None
     ) -> Q.Batch:
-        return self._prepare_media("image", bucket, prefix, system_prompt, user_prompt, model_id, batch_ts)
+        return self._prepare("image", bucket, prefix, model_id, batch_ts, prompt=user_prompt, system_prompt=system_prompt)
 
     def prepare_video_batch_data(
         self, bucket: str, prefix: str, system_prompt: str, user_prompt: str, model_id: str, batch_ts: int | None = None
     ) -> Q.Batch:
-        return self._prepare_media("video", bucket, prefix, system_prompt, user_prompt, model_id, batch_ts)
+        return self._prepare("video", bucket, prefix, model_id, batch_ts, prompt=user_prompt, system_prompt=system_prompt)
+
+    def prepare_inventory_batch_data(
+        self, inventory: DataFrame, bucket: str, prefix: str, modality: str, model_id: str, batch_ts: int | None = None, **choices
+    ) -> Q.Batch:
+        """A batch of the objects that an inventory table of the bucket lists; nothing is listed."""
+        listed = O.list_objects(S.inventory_objects(inventory), prefix)
+        O.require_nonempty(listed, modality, bucket, prefix)
+        choices["batch_ts"] = int(time.time()) if batch_ts is None else batch_ts
+        return Q.prepare_listed_batch(listed, self.place(bucket), modality, model_id, store=self.store, **choices)
 
     # ------------------------------------------------------------ jobs
 
@@ -264,10 +279,18 @@ class BatchEngine:
         if row is None:
             raise RuntimeError(f"job {job_arn} has no results yet")
         bucket = row["result_bucket"]
-        files = self._as_keys(S.scan_objects(self.spark, self.place(bucket, row["result_prefix"])), bucket)
-        key = F.regexp_replace("file_path", r"(?<=\.out)/part-[^/]*\z", "")
+        if self.store is None:
+            files = self._as_keys(S.scan_objects(self.spark, self.place(bucket, row["result_prefix"])), bucket)
+        else:
+            files = T.list_tree(self.spark, self.place(bucket), row["result_prefix"], self.store, hidden=False)
+        # The job's own rejects are kept beside its results.
+        files = files.filter(~F.col("file_path").startswith(row["result_prefix"] + "rejects/"))
         return bucket, files.select(
-            F.lit(row["job_id"]).alias("job_id"), key.alias("file_path"), F.col("file_path").alias("part")
+            F.lit(row["job_id"]).alias("job_id"),
+            F.regexp_replace("file_path", RESULT_PART, "").alias("file_path"),
+            F.col("file_path").alias("part"),
+            F.concat(F.lit(self.place(bucket)), F.col("file_path")).alias("uri"),
+            "size",
         )
 
     def _line_table(self, bucket: str, keys: list[str]) -> DataFrame:
@@ -294,33 +317,35 @@ class BatchEngine:
             state = self.load_job_state(job_arn).first()
             modality = state["job_type"] if state and state["job_type"] in fixed.PREVIEW_LINES else "text"
             max_preview_lines = fixed.PREVIEW_LINES[modality]
-        found = P.discover_result_files(files.select("job_id", "file_path").distinct())
-        row = found.first()
+        listing = files.select("job_id", "file_path").distinct()
+        row = P.discover_result_files(listing).first()
         if row is None:
             raise FileNotFoundError(fixed.NO_RESULT_FILE)
-        rows = self._first_rows(bucket, files, row, max_preview_lines) if row["result_key"] else None
-        if rows is None or not rows.take(1):
-            rows = self._fallback_rows(bucket, files)
-            if row["result_key"] is None and not rows.take(1):
-                raise FileNotFoundError(fixed.NO_RESULT_FILE)
+        if self.store is None:
+            rows = self._first_rows(bucket, files, row, max_preview_lines) if row["result_key"] else None
+            if rows is None or not rows.take(1):
+                rows = self._fallback_rows(bucket, files)
+        else:
+            rows = P.previews_from_files(files, max_preview_lines, part="part", store=self.store)
+        if row["result_key"] is None and not rows.take(1):
+            raise FileNotFoundError(fixed.NO_RESULT_FILE)
         if row["manifest_key"]:
             totals = L.read_manifest(self.spark, self.place(bucket, row["manifest_key"]))
             totals = totals.withColumn("file_path", F.lit(row["manifest_key"])).limit(1)
         else:
             totals = self.spark.createDataFrame([], schemas.MANIFEST + ", file_path string")
-        listing = files.select("job_id", "file_path").distinct()
         return P.result_bundle(listing, rows, totals, bucket)
 
     def _fallback_rows(self, bucket: str, files: DataFrame) -> DataFrame:
         """Rows from the start of the job's first file that gives any."""
         # The line files of one job; its manifests are documents of another kind.
         usable = files.filter(P.file_kind().isin("result", "other") & ~F.lower("file_path").contains("manifest"))
-        parts = [r["part"] for r in usable.select("part").distinct().collect() if "/rejects/" not in r["part"]]
+        parts = [r["part"] for r in usable.select("part").distinct().collect()]
         if not parts:
             return self.spark.createDataFrame([], "job_id string, file_path string, line_no int, " + P.RESULT_SCHEMA)
         read = self._line_table(bucket, parts).withColumnRenamed("file_path", "part_path")
         lines = self._as_keys(read.withColumn("file_path", F.col("part_path")), bucket)
-        lines = lines.withColumn("file_path", F.regexp_replace("file_path", r"(?<=\.out)/part-[^/]*\z", ""))
+        lines = lines.withColumn("file_path", F.regexp_replace("file_path", RESULT_PART, ""))
         job = files.select("job_id").first()["job_id"]
         return P.read_results_fallback(
             lines.withColumn("job_id", F.lit(job)), ["part_path", "block_start", "row_id"]
@@ -340,6 +365,18 @@ class BatchEngine:
             *P.RESULT_FIELDS,
         )
 
+    def _first_request(self, jsonl_s3_uri: str) -> DataFrame:
+        """The first request of a request file, which is not read further than that."""
+        where = self.place_of_uri(jsonl_s3_uri).rstrip("/")
+        if self.store is None:
+            return L.first_request(L.read_lines(self.spark, where))
+        folder, name = where.rsplit("/", 1)
+        parts = T.list_tree(self.spark, folder, name, self.store, hidden=False)
+        mine = (F.col("file_path") == name) | F.col("file_path").startswith(name + "/")
+        uri = F.concat(F.lit(folder + "/"), F.col("file_path"))
+        parts = parts.filter(mine).select(F.lit(name).alias("file"), F.col("file_path").alias("part"), uri.alias("uri"))
+        return L.request_rows(H.head_lines_of_parts(parts, 1, ["file"], store=self.store))
+
     # ------------------------------------------------------------ checks
 
     def validate_permissions(
@@ -368,8 +405,7 @@ class BatchEngine:
     ) -> DataFrame:
         """Dry run of one record: the first of a ready file, or one drawn object."""
         if jsonl_s3_uri:
-            lines = L.read_lines(self.spark, self.place_of_uri(jsonl_s3_uri))
-            first = L.first_request(lines).select("record_id", "value")
+            first = self._first_request(jsonl_s3_uri).select("record_id", "value")
             info = F.concat(F.lit("JSONL Record ID: "), F.col("record_id"))
             if modality != "video":
                 clash = V.check_format(first.select(F.col("value").alias("line")), model_id).first()
@@ -381,6 +417,7 @@ class BatchEngine:
             drawn = O.sample_objects(listed, 1, seed).first()
             if drawn is None:
                 raise O.EmptyInputError(f"no {modality} object below {bucket}/{prefix}")
+            # named in full, so only this object is looked at
             one = S.read_binary_objects(self.spark, self.place(bucket, drawn["file_path"]))
             one = one.withColumn("file_path", F.lit(drawn["file_path"]))
             batch = Q.prepare_batch(

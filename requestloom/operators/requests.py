@@ -7,17 +7,18 @@ modality as a column; :func:`request_line` turns it into the JSON line.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import columns as C
 from ..functions import fixed
 from ..functions.columns import ColumnOrName, as_col
-from ..session import stage_table
+from ..session import small_table, stage_table
 from ..sources.fetch import fetch_content, task_count
-from .numbering import attach_numbers, number_records
+from .numbering import DuplicateKeyError, attach_numbers, number_records
 from .objects import route
 
 
@@ -289,9 +290,8 @@ def prepare_batch(
 
     numbering = number_records(accepted, stage_keys=on_error == "reject")
     rows = attach_numbers(accepted.select("file_path", "content"), numbering, broadcast_bytes)
-    line = _batch_line(
-        rows, modality, model_id, batch_ts, prompt, system_prompt, on_error, max_tokens, temperature, separator, media_type
-    )
+    choices = (prompt, system_prompt, max_tokens, temperature, separator, media_type)
+    line = _batch_line(rows, modality, model_id, batch_ts, on_error, choices)
     requests = rows.select("file_path", record_id(batch_ts).alias("record_id"), line.alias("value"))
     return Batch(requests, rejects, numbering.rows)
 
@@ -311,77 +311,106 @@ def prepare_listed_batch(
     temperature: float = fixed.TEXT_TEMPERATURE,
     separator: str = fixed.TEXT_SEPARATOR,
     media_type: str = "jpeg",
+    store=None,
 ) -> Batch:
     """The same batch from a listing without content: ``root`` + ``file_path`` names each object.
 
-    Objects are numbered from the listing and then read by the tasks that build
-    their requests, so content is neither joined nor shuffled, however many
-    objects there are.  ``reject`` reads each object once more beforehand, since
-    the numbers only count objects that can be read.
+    Content is neither joined nor shuffled, and each object is opened once.  With
+    ``fail`` the numbers come from the listing, and the tasks that build the
+    requests read the objects.  With ``reject`` numbers only count objects that
+    can be read: the listing is sorted into ranges of paths, tasks read their range
+    and write the body of each request with its position among the good ones, and
+    the number, first of the range plus position, is put in front at the end.
     """
     if on_error not in ("reject", "fail"):
         raise ValueError("on_error is 'reject' or 'fail'")
-    spark = listing.sparkSession
     accepted, rejects = route(listing, modality).select("file_path", "size"), None
     if modality in fixed.MAX_BASE64:
         accepted, rejects = split_by_payload(accepted, modality, max_base64)
     n, total = accepted.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     tasks = task_count(n, total)
     uri = F.concat(F.lit(root), F.col("file_path")).alias("uri")
+    choices = (prompt, system_prompt, max_tokens, temperature, separator, media_type)
     if on_error == "reject":
-        is_text = modality == "text"
-        seen = fetch_content(accepted.select("file_path", uri), tasks=tasks, keep_content=is_text)
-        good = F.col("problem").isNull()
-        if is_text:
-            good = good & text_content(F.col("content"), True).isNotNull()
-        checked = stage_table(seen.select("file_path", good.alias("good")), "readable")
-        accepted = checked.filter("good")
-        unreadable = checked.filter("not good").select(
-            "file_path", C.basename("file_path").alias("file_name"), F.lit(fixed.UNREADABLE).alias("reason")
-        )
-        rejects = unreadable if rejects is None else rejects.unionByName(unreadable)
+        requests, unreadable, rows = _read_once(accepted.select("file_path", uri), modality, model_id, batch_ts, tasks, store, choices)
+        return Batch(requests, unreadable if rejects is None else rejects.unionByName(unreadable), rows)
     if rejects is None:
-        rejects = spark.createDataFrame([], schemas.REJECTS)
-
+        rejects = listing.sparkSession.createDataFrame([], schemas.REJECTS)
     numbering = number_records(accepted)
-    rows = fetch_content(numbering.frame.select("file_path", "record_index", uri), tasks=tasks)
-    line = _batch_line(
-        rows, modality, model_id, batch_ts, prompt, system_prompt, "fail", max_tokens, temperature, separator, media_type
-    )
+    rows = fetch_content(numbering.frame.select("file_path", "record_index", uri), tasks=tasks, store=store)
+    line = _batch_line(rows, modality, model_id, batch_ts, "fail", choices)
     requests = rows.select("file_path", record_id(batch_ts).alias("record_id"), line.alias("value"))
     return Batch(requests, rejects, numbering.rows)
 
 
-def _batch_line(
-    rows, modality, model_id, batch_ts, prompt, system_prompt, on_error, max_tokens, temperature, separator, media_type
-) -> Column:
+def _read_once(
+    objects: DataFrame, modality: str, model_id: str, batch_ts: int, tasks: int, store, choices: tuple
+) -> tuple[DataFrame, DataFrame, int]:
+    """Requests, rejects and the number of requests of objects (``file_path``, ``uri``), each of which is opened once."""
+    copy = F.row_number().over(Window.partitionBy("file_path").orderBy("file_path"))
+    ranged = objects.repartitionByRange(tasks, "file_path").select("file_path", "uri", copy.alias("copy"))
+    ranged = ranged.sortWithinPartitions("file_path")
+    read = fetch_content(ranged, store=store, as_text=modality == "text", count_good=True)
+    content = F.col("content").cast("string") if modality == "text" else C.base64_text("content")
+    claude, nova = _inputs(content, C.basename("file_path"), modality, choices)
+    body = F.to_json(nova if modality == "video" or "nova" in model_id.lower() else claude)
+    good = F.col("problem").isNull()
+    bodies = stage_table(
+        read.select(
+            "file_path", "copy", "position", F.spark_partition_id().alias("bucket"), F.when(good, body).alias("body")
+        ),
+        "bodies",
+    )
+    good = F.col("body").isNotNull()
+    counts = bodies.groupBy("bucket").agg(F.count_if(good).alias("n"), F.max("copy").alias("copies")).collect()
+    if any(r["copies"] > 1 for r in counts):
+        raise DuplicateKeyError(f"file_path is not unique: {bodies.filter('copy > 1').first()['file_path']!r} occurs twice")
+    counts.sort()  # a row per range
+    starts = [0, *accumulate(r["n"] for r in counts)]
+    offsets = small_table(
+        objects.sparkSession, "bucket int, first_index bigint", [r["bucket"] for r in counts], starts[: len(counts)]
+    )
+    numbered = bodies.filter(good).join(F.broadcast(offsets), "bucket")
+    numbered = numbered.withColumn("record_index", F.col("first_index") + F.col("position"))
+    value = F.concat(
+        F.lit('{"recordId":"'), record_id(batch_ts), F.lit('","modelInput":'), F.col("body"), F.lit("}")
+    )
+    rejects = bodies.filter(~good).select(
+        "file_path", C.basename("file_path").alias("file_name"), F.lit(fixed.UNREADABLE).alias("reason")
+    )
+    return numbered.select("file_path", record_id(batch_ts).alias("record_id"), value.alias("value")), rejects, starts[-1]
+
+
+def _inputs(content: Column, name: Column, modality: str, choices: tuple) -> tuple[Column, Column]:
+    """``modelInput`` in both formats, from a text or the base64 text of a payload; a video has one format only."""
+    prompt, system_prompt, max_tokens, temperature, separator, media_type = choices
+    if modality == "text":
+        text = text_prompt(prompt, content, separator)
+        return claude_text_input(text, max_tokens, temperature), nova_text_input(text, max_tokens, temperature)
+    if modality == "video":
+        film = video_input(content, name, prompt, system_prompt)
+        return film, film
+    kind = image_format(name) if media_type == "from_name" else None
+    return (
+        claude_image_input(content, prompt, system_prompt, kind),
+        nova_image_input(content, prompt, system_prompt, kind),
+    )
+
+
+def _batch_line(rows: DataFrame, modality: str, model_id, batch_ts: int, on_error: str, choices: tuple) -> Column:
     """Request line of rows with ``file_path, record_index, content``."""
     is_binary = dict(rows.dtypes)["content"] == "binary"
-    rid, name, content = record_id(batch_ts), C.basename("file_path"), F.col("content")
+    rid, content = record_id(batch_ts), F.col("content")
     if modality == "text":
         content = text_content(content, is_binary)
     if on_error == "fail":
         problem = F.raise_error(F.concat(F.lit("unreadable object "), F.col("file_path")))
         kind = "binary" if is_binary and modality != "text" else "string"
         content = F.coalesce(content, problem.cast("string").cast(kind))
-    if modality == "text":
-        text = text_prompt(prompt, content, separator)
-        return routed_line(
-            rid,
-            model_id,
-            claude_text_input(text, max_tokens, temperature),
-            nova_text_input(text, max_tokens, temperature),
-        )
-    data = C.base64_text(content if is_binary else F.encode(content, "UTF-8"))
-    if modality == "video":
-        return request_line(rid, video_input(data, name, prompt, system_prompt))
-    kind = image_format(name) if media_type == "from_name" else None
-    return routed_line(
-        rid,
-        model_id,
-        claude_image_input(data, prompt, system_prompt, kind),
-        nova_image_input(data, prompt, system_prompt, kind),
-    )
+    if modality != "text":
+        content = C.base64_text(content if is_binary else F.encode(content, "UTF-8"))
+    claude, nova = _inputs(content, C.basename("file_path"), modality, choices)
+    return request_line(rid, nova) if modality == "video" else routed_line(rid, model_id, claude, nova)
 
 
 def prepare_stats(objects: DataFrame, max_base64: dict[str, int] | None = None) -> DataFrame:

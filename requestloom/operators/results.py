@@ -17,6 +17,8 @@ from ..functions import fixed
 from ..functions import jsonl as J
 from ..functions.topn import top_n
 from ..session import stage_table
+from ..sources.fetch import fetch_content, task_count
+from ..sources.heads import head_lines_of_parts
 
 
 def nonblank(lines: DataFrame, col: str = "line") -> DataFrame:
@@ -365,6 +367,77 @@ def job_previews(
     return rows.unionByName(rest.select(*wanted))
 
 
+def fallback_from_files(
+    files: DataFrame,
+    by: str = "job_id",
+    part: str | None = None,
+    store=None,
+    max_bytes: int = fixed.FALLBACK_BYTES,
+    max_lines: int = fixed.FALLBACK_LINES,
+) -> DataFrame:
+    """The rows of :func:`read_results_fallback`, from the files themselves.
+
+    ``files`` has ``by``, ``file_path`` and ``uri``.  Tasks read no more than the first ``max_bytes`` bytes of each file;
+    no line is moved.  With ``part``, a file is a folder of parts in that order and ``files`` has their ``size``: parts
+    beyond the window are not opened, and only what is inside it comes together.  Files that cannot be read, or not as
+    text, are passed over.
+    """
+    usable = files.filter(~F.col("file_path").endswith("/") & ~F.lower("file_path").contains("manifest"))
+    key = [by, "file_path"]
+    if part:
+        before = Window.partitionBy(*key).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+        usable = usable.withColumn("start", F.coalesce(F.sum("size").over(before), F.lit(0)))
+        usable = usable.filter(F.col("start") < max_bytes).select(
+            *key, "uri", "start", (F.lit(max_bytes) - F.col("start")).alias("most")
+        )
+        tasks = task_count(usable.count(), 0)
+        heads = fetch_content(usable, tasks=tasks, store=store, head_bytes="most")
+        held = F.array_sort(F.collect_list(F.struct("start", "content")))
+        heads = heads.groupBy(*key).agg(held.alias("held"), F.max("problem").alias("problem"))
+        whole = F.expr("aggregate(held, cast('' as binary), (all, one) -> concat(all, one.content))")
+        heads = heads.filter("problem is null").select(*key, whole.alias("content"))
+    else:
+        usable = usable.select(*key, "uri")
+        heads = fetch_content(usable, tasks=task_count(usable.count(), 0), store=store, head_bytes=max_bytes)
+    text = F.try_validate_utf8(F.col("content").cast("string"))
+    heads = heads.select(*key, text.alias("text")).filter("text is not null")
+    lead = F.expr("left(text, char_length(text) - char_length(unled))")
+    skipped = F.char_length(lead) - F.char_length(F.replace(lead, F.lit("\n"), F.lit("")))
+    body = F.split(C.strip("text"), "\n", max_lines + 1)
+    lines = (
+        heads.withColumn("unled", F.ltrim("text", F.lit(fixed.WHITESPACE)))
+        .select(*key, skipped.alias("skipped"), F.posexplode(F.slice(body, 1, max_lines)).alias("at", "line"))
+        .filter(~C.is_blank("line"))
+        .select(*key, (F.col("skipped") + F.col("at") + 1).alias("line_no"), "line")
+    )
+    rows = _parsed(lines, "line").filter(F.col("_state") == "success")
+    rows = stage_table(rows.select(*key, "line_no", *_result_columns()), "fallback")
+    winner = rows.groupBy(by).agg(F.min("file_path").alias("file_path"))
+    return rows.join(winner, key, "left_semi")
+
+
+def previews_from_files(
+    files: DataFrame,
+    n: int = fixed.PREVIEW_LINES["text"],
+    by: str = "job_id",
+    part: str | None = None,
+    store=None,
+) -> DataFrame:
+    """The rows of :func:`job_previews`, from the files themselves (see :func:`fallback_from_files`).
+
+    Of each job's first result file so much is read as holds ``n`` lines; the list of files, not their lines, tells which
+    jobs the fallback looks into.
+    """
+    chosen = discover_result_files(files.select(by, "file_path").distinct(), by)
+    chosen = chosen.filter("result_key is not null").select(by, F.col("result_key").alias("file_path"))
+    parts = files.withColumn("_part", F.col(part or "file_path")).join(chosen, [by, "file_path"], "left_semi")
+    heads = head_lines_of_parts(parts, n, [by, "file_path"], "_part", store=store, on_error="skip")
+    wanted = [by, "file_path", "line_no", *RESULT_FIELDS]
+    rows = stage_table(parse_results(heads).select(*wanted), "previews")
+    rest = files.join(rows.select(by).distinct(), by, "left_anti")
+    return rows.unionByName(fallback_from_files(rest, by, part, store).select(*wanted))
+
+
 def parse_warnings(listing: DataFrame, previews: DataFrame, by: str = "job_id") -> DataFrame:
     """Jobs with a result file but no preview row (warning), or with no result file (error)."""
     shown = previews.select(by).distinct()

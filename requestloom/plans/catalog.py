@@ -23,7 +23,9 @@ from ..operators import results as P
 from ..operators import rules as V
 from ..session import shared_path
 from ..sources import fetch as D
+from ..sources import heads as H
 from ..sources import lines as L
+from ..sources import listing as T
 from ..sources import objects as S
 from ..sources import registry as G
 from ..sources import sinks as K
@@ -1121,3 +1123,133 @@ def infer_sample(spark, sf_dir):
         "error",
         "model_input_preview",
     )
+
+
+# ---------------------------------------------------------------- files listed, opened and read in part by the tasks
+
+
+def _result_folders(spark, sf_dir) -> DataFrame:
+    """The result lines of jobs as files that are folders of parts, listed: job_id, file_path, part, uri, size.
+
+    Parts follow the order of the lines, so a job that owns most of them is written by many tasks.
+    """
+    root = shared_path(spark, "result_files")
+    lines = views.job_lines(spark, sf_dir).withColumn("name", C.basename("file_path"))
+    lines = lines.repartitionByRange("doc_id").sortWithinPartitions("job_id", "name", "doc_id")
+    lines.select("job_id", "name", "line").write.partitionBy("job_id", "name").option("lineSep", "\n").text(root)
+    part = F.regexp_extract("file_path", "^job_id=([^/]*)/name=([^/]*)/", 0)
+    job = F.regexp_extract(part, "job_id=([^/]*)/", 1)
+    name = F.regexp_extract(part, "name=([^/]*)/", 1)
+    return T.list_tree(spark, root, hidden=False).select(
+        job.alias("job_id"),
+        F.concat(F.lit("out/"), job, F.lit("/"), name).alias("file_path"),
+        F.col("file_path").alias("part"),
+        F.concat(F.lit(root + "/"), F.col("file_path")).alias("uri"),
+        "size",
+    )
+
+
+_PREVIEW_COLUMNS = ("job_id", "file_path", "line_no", *P.RESULT_FIELDS)
+
+
+@query("fallback_from_files", CATALOG["read_results_fallback"][1])
+def fallback_from_files(spark, sf_dir):
+    """The fallback from the first bytes of files: no line is moved."""
+    rows = P.fallback_from_files(_result_folders(spark, sf_dir), part="part")
+    return rows.select(*_PREVIEW_COLUMNS)
+
+
+@query("previews_from_files", CATALOG["job_previews"][1])
+def previews_from_files(spark, sf_dir):
+    """Previews from as much of each chosen file as holds them."""
+    return P.previews_from_files(_result_folders(spark, sf_dir), 3, part="part").select(*_PREVIEW_COLUMNS)
+
+
+@query("first_request_of_file", CATALOG["first_request"][1])
+def first_request_of_file(spark, sf_dir):
+    """The first request of a request file in parts, which is not read further than that."""
+    root = shared_path(spark, "requests")
+    rows = _text_batch(spark, sf_dir).repartitionByRange("file_path").sortWithinPartitions("file_path")
+    K.write_requests(rows, root)
+    uri = F.concat(F.lit(root + "/"), F.col("file_path")).alias("uri")
+    parts = T.list_tree(spark, root, hidden=False).select(F.lit("f").alias("file"), F.col("file_path").alias("part"), uri)
+    return L.request_rows(H.head_lines_of_parts(parts, 1, ["file"])).select("record_id", "model_input")
+
+
+@query(
+    "list_tree",
+    "select lang, source, cast(sum(strlen(coalesce(text, '')) + 1) as bigint) as size from documents"
+    " where starts_with(source, 'src1') and lang = 'en' group by lang, source",
+)
+def list_tree(spark, sf_dir):
+    """A tree of files by language and source, listed by the tasks from a prefix that ends inside a folder's name."""
+    root = shared_path(spark, "tree")
+    docs = views.table(spark, sf_dir, "documents").select("lang", "source", F.coalesce("text", F.lit("")).alias("text"))
+    docs.write.partitionBy("lang", "source").option("lineSep", "\n").text(root)
+    found = T.list_tree(spark, root, "lang=en/source=src1", hidden=False)
+    lang, source = (F.regexp_extract("file_path", f"{c}=([^/]*)/", 1).alias(c) for c in ("lang", "source"))
+    return found.groupBy(lang, source).agg(F.sum("size").alias("size"))
+
+
+# Limit of the listed media, low enough that some are rejected.
+LISTED_LIMIT = 8000
+_LISTED_INPUT = {"text": _NOVA_TEXT_INPUT, "image": _CLAUDE_IMAGE_INPUT, "video": _VIDEO_INPUT}
+
+
+def _listed_sql(modality: str) -> str:
+    chars = "((strlen(content) + 2) // 3) * 4"
+    content = "text" if modality == "text" else "to_base64(encode(text))"
+    bad = "doc_id % 7 = 3" if modality == "text" else "false"
+    large = "false" if modality == "text" else f"{chars} > {LISTED_LIMIT}"
+    model_input = _LISTED_INPUT[modality]
+    return with_views(
+        f"select k, {_RID} as record_id, {_line_sql(model_input)} as value, null as reason from numbered"
+        f" union all select k, null, null, case when large then 'Base64编码后大小 ' || cast({chars} as bigint) ||"
+        f" ' 字符超过限制 {LISTED_LIMIT}' else 'unreadable content' end from objects where large or bad"
+        " union all select k, null, null, 'unreadable content' from objects where doc_id % 11 = 5",
+        objects=f"select *, {large} as large, {bad} as bad from (select doc_id, lpad(cast(doc_id as varchar), 12, '0') as k,"
+        f" {content} || chr(10) as content from (select doc_id, coalesce(text, '') as text from documents))",
+        numbered="select *, row_number() over (order by k) - 1 as record_index from objects where not large and not bad",
+    )
+
+
+def _listed_query(modality: str) -> Query:
+    def run(spark, sf_dir):
+        root, text = shared_path(spark, f"{modality}_objects"), F.coalesce("text", F.lit(""))
+        if modality == "text":
+            not_text = F.expr("cast(unhex('FF') as string)")
+            content = F.when(F.col("doc_id") % 7 == 3, F.concat(not_text, text)).otherwise(text)
+        else:
+            content = C.base64_text(F.encode(text, "UTF-8"))
+        docs = views.table(spark, sf_dir, "documents")
+        docs = docs.select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("k"), "doc_id", content.alias("content"))
+        writer = docs.select("k", "content").write.partitionBy("k").option("lineSep", "\n")
+        ending = {"text": "txt", "image": "png", "video": "mp4"}[modality]
+        if modality == "text":
+            writer.text(root)
+        else:  # base64 text, which the writer leaves as it is
+            writer.option("extension", ending).option("emptyValue", "").csv(root)
+        listing = T.list_tree(spark, root, hidden=False).select("file_path", "size")
+        gone = docs.filter("doc_id % 11 = 5").select(
+            F.concat(F.lit("k="), "k", F.lit(f"/gone.{ending}")).alias("file_path"), F.lit(4).cast("bigint").alias("size")
+        )
+        batch = Q.prepare_listed_batch(
+            listing.unionAll(gone),
+            root + "/",
+            modality,
+            CLAUDE if modality == "image" else NOVA,
+            batch_ts=BATCH_TS,
+            prompt=PROMPT,
+            system_prompt=SYSTEM if modality == "image" else None,
+            max_base64=LISTED_LIMIT,
+        )
+        k = F.regexp_extract("file_path", "^k=([^/]*)/", 1).alias("k")
+        empty = F.lit(None).cast("string")
+        rejects = batch.rejects.select(k, empty.alias("record_id"), empty.alias("value"), "reason")
+        return batch.requests.select(k, "record_id", "value", empty.alias("reason")).unionAll(rejects)
+
+    return run
+
+
+for _m in fixed.MODALITIES:
+    query(f"listed_{_m}_requests", _listed_sql(_m))(_listed_query(_m))

@@ -247,3 +247,268 @@ def test_fetched_batches_are_cut_by_bytes(spark, tmp_path):
     got = {r["n"]: bytes(r["content"]) for r in fetch_content(listing, chunk_bytes=500).collect()}
     assert got == {i: bytes([i]) * (100 * i) for i in range(30)}
     assert fetch_content(listing, keep_content=False, tasks=3).filter("problem is null").count() == 30
+
+
+# ---------------------------------------------------------------- stores, listings, heads
+
+
+class CountingStore:
+    """A store of a scheme that nothing else opens: files below a folder; reading beyond a limit is an error."""
+
+    def __init__(self, folder, most=None):
+        self.folder, self.most = folder, most
+
+    def _path(self, uri):
+        assert uri.startswith("toy://")
+        return f"{self.folder}/{uri[len('toy://'):]}"
+
+    def open(self, uri):
+        most = self.most
+
+        class Limited:
+            def __init__(self, path):
+                self.file, self.given = open(path, "rb"), 0
+
+            def __enter__(self):
+                return self
+
+            def __exit__(self, *_):
+                self.file.close()
+
+            def read(self, size=-1):
+                data = self.file.read(size)
+                self.given += len(data)
+                if most is not None and self.given > most:
+                    raise RuntimeError(f"read {self.given} bytes")
+                return data
+
+        return Limited(self._path(uri))
+
+    def entries(self, uri):
+        import os
+
+        from requestloom.sources.stores import Entry
+
+        if not os.path.isdir(self._path(uri)):
+            return
+        for one in os.scandir(self._path(uri)):
+            if self.most == 0 and one.name == "shut":
+                raise OSError("shut")
+            size = None if one.is_dir() else one.stat().st_size
+            yield Entry(one.name, size, one.stat().st_mtime)
+
+
+def test_schemes_of_spark_and_pyarrow():
+    from requestloom.sources.stores import ArrowStore, store_errors
+
+    assert all(ArrowStore.knows(u) for u in ("s3a://b/k", "/a/b:c", "file:/a", "abfss://c@a/k", "hdfs://n:1/k"))
+    assert not ArrowStore.knows("dbfs:/k")
+    with pytest.raises(store_errors()):
+        ArrowStore().open("dbfs:/k")
+    for form in ("file:/a/b c", "file:///a/b c", "/a/b c"):
+        assert ArrowStore()._place(form)[1] == "/a/b c"
+
+
+def test_an_unknown_scheme_is_a_problem_of_the_row(spark):
+    from requestloom.sources.fetch import fetch_content
+
+    got = fetch_content(spark.createDataFrame([("nowhere://a/b",)], "uri string")).first()
+    assert got["content"] is None and "nowhere" in got["problem"]
+
+
+def _tree(tmp_path):
+    files = ["a.txt", "d/b.txt", "d/deep/er/c.txt", "d/deep/x y é.txt", "dd/e.txt", "d/_h/f.txt", "d/.g", "e/only"]
+    for name in files:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"z" * len(name))
+    (tmp_path / "empty").mkdir()
+    return files
+
+
+@pytest.mark.parametrize("prefix", ["", "d", "d/deep/x", "none/at/all"])
+def test_listing_by_levels(spark, tmp_path, prefix):
+    from requestloom.sources.listing import list_tree
+
+    files = _tree(tmp_path)
+    wanted = {(f, f.split("/")[-1], len(f)) for f in files if f.startswith(prefix)}
+    for root, store in ((str(tmp_path), None), (f"file://{tmp_path}/", None), ("toy://", CountingStore(str(tmp_path)))):
+        got = list_tree(spark, root, prefix, store, task_folders=1).collect()
+        assert {(r["file_path"], r["file_name"], r["size"]) for r in got} == wanted and len(got) == len(wanted)
+        assert all(r["last_modified"].year > 2000 for r in got)
+    shown = list_tree(spark, str(tmp_path), prefix, hidden=False)
+    assert {r["file_path"] for r in shown.collect()} == {f for f, *_ in wanted if "/_h" not in f and "/.g" not in f}
+
+
+def test_listing_starts_at_the_deepest_folder(spark, tmp_path):
+    """Folders beside the prefix are not looked at, and one that cannot be listed stops the job."""
+    from requestloom.sources.listing import list_tree
+
+    (tmp_path / "shut").mkdir()
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a").write_bytes(b"1")
+    store = CountingStore(str(tmp_path), most=0)
+    assert [r["file_path"] for r in list_tree(spark, "toy://", "in/", store).collect()] == ["in/a"]
+    with pytest.raises(Exception, match="cannot list .*shut"):
+        list_tree(spark, "toy://", "in", store).collect()
+
+
+def test_first_lines_are_read_in_blocks():
+    import io
+
+    from requestloom.sources.heads import first_lines_of
+
+    for text in (b"", b"\n\n", b"a", b"a\n\n \t\r\nb\n\xff\nc\xc3\xa9\n\n", b"\n\n  last"):
+        whole = [(i + 1, r) for i, r in enumerate(text.split(b"\n"))]
+        plain = [(i, r.decode()) for i, r in whole if r != b"\xff" and r.decode().strip()]
+        for n in (1, 2, 5):
+            for block in (1, 2, 3, 100):
+                assert list(first_lines_of(io.BytesIO(text), n, block)) == plain[:n]
+
+
+def test_heads_do_not_read_on(spark, tmp_path, plan_of):
+    from requestloom.sources.fetch import fetch_content
+    from requestloom.sources.heads import head_lines
+
+    for i in range(4):
+        (tmp_path / f"{i}").write_bytes(b"\n" * i + b"".join(b"line %d\n" % k for k in range(200_000)))
+    files = spark.createDataFrame([(f"{i}", f"toy://{i}") for i in range(4)] + [("gone", "toy://gone")], "name string, uri string")
+    heads = head_lines(files, 3, store=CountingStore(str(tmp_path), most=4096), block_bytes=4096)
+    rows = heads.collect()
+    assert sorted((r["name"], r["place"], r["line"]) for r in rows if r["line"]) == [
+        (f"{i}", i + k + 1, f"line {k}") for i in range(4) for k in range(3)
+    ]
+    assert [r["name"] for r in rows if r["problem"]] == ["gone"]
+    assert "Exchange" not in plan_of(heads)
+    starts = fetch_content(files, store=CountingStore(str(tmp_path), most=100), head_bytes=100)
+    assert sorted(len(r["content"] or b"") for r in starts.collect()) == [0, 100, 100, 100, 100]
+
+
+def test_heads_of_parts(spark, tmp_path):
+    from requestloom.sources.heads import head_lines_of_parts
+
+    parts = {"f": ["", "a\n", "\n\n", "b", "c\nd\n", "e"], "g": ["1\n2\n3\n", "4"], "h": ["", "\n"], "i": [None, "x"]}
+    rows = []
+    for name, texts in parts.items():
+        for k, text in enumerate(texts):
+            rows.append((name, f"p{k}", f"{tmp_path}/{name}{k}"))
+            if text is not None:
+                (tmp_path / f"{name}{k}").write_text(text)
+    table = spark.createDataFrame(rows, "file string, part string, uri string")
+    got = head_lines_of_parts(table, 3, ["file"], on_error="skip").collect()
+    assert sorted((r["file"], r["line_no"], r["line"]) for r in got) == [
+        ("f", 1, "a"), ("f", 2, "b"), ("f", 3, "c"), ("g", 1, "1"), ("g", 2, "2"), ("g", 3, "3"), ("i", 1, "x")
+    ]
+    with pytest.raises(Exception, match="i0"):
+        head_lines_of_parts(table, 3, ["file"]).collect()
+    assert head_lines_of_parts(table.limit(0), 3, ["file"]).count() == 0
+
+
+OK_LINE = json.dumps({"recordId": "%s", "modelOutput": {"content": [{"text": "t"}]}})
+
+
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_fallback_from_files_equals_fallback_from_lines(spark, tmp_path, parts):
+    """Windows that end inside lines and characters, blank starts, torn and unreadable files, many parts."""
+    texts = {
+        ("a", "a/1"): "junk\n" + OK_LINE % 1 + "\n" + OK_LINE % 2,
+        ("a", "a/2"): OK_LINE % 3,
+        ("b", "b/1"): "\n \n\n" + OK_LINE % 4 + "\n\n" + OK_LINE % 5 + "\n" + "\n".join(OK_LINE % i for i in range(9)),
+        ("c", "c/1"): "é" * 60,
+        ("c", "c/2"): OK_LINE % 6 + "\n" + "x" * 300,
+        ("d", "d/manifest.json"): OK_LINE % 7,
+        ("e", "e/1"): "\n" * 200 + OK_LINE % 8,
+        ("f", "f/1"): OK_LINE % "é" + "\n" + "y" * 100 + "é" * 100,
+    }
+    rows, lines = [], []
+    for (job, path), text in texts.items():
+        data = text.encode()
+        cuts = sorted({len(data) * k // parts for k in range(parts + 1)})
+        for k, (i, j) in enumerate(zip(cuts, cuts[1:])):
+            (tmp_path / f"{path.replace('/', '-')}.{k:02}").write_bytes(data[i:j])
+            rows.append((job, path, f"p{k:02}", f"{tmp_path}/{path.replace('/', '-')}.{k:02}", j - i))
+        lines += [(job, path, i, raw) for i, raw in enumerate(data.split(b"\n"))]
+    files = spark.createDataFrame(rows, "job_id string, file_path string, part string, uri string, size bigint")
+    lines = spark.createDataFrame(lines, "job_id string, file_path string, n int, line binary")
+    lines = lines.withColumn("line", F.col("line").cast("string"))
+    for window in (10, 150, 155, 51200):
+        plain = P.read_results_fallback(lines, ["n"], max_bytes=window).collect()
+        got = P.fallback_from_files(files, part="part" if parts > 1 else None, max_bytes=window)
+        got = got.select(*P.read_results_fallback(lines, ["n"], max_bytes=window).columns).collect()
+        key = lambda r: (r["job_id"], r["file_path"], r["line_no"], r["record_id"], r["output_text"])
+        assert sorted(map(key, got)) == sorted(map(key, plain)) and (window < 100 or plain)
+
+
+@pytest.mark.parametrize("modality", ["text", "image", "video"])
+def test_each_object_is_opened_once(spark, tmp_path, modality):
+    """Numbers count only what can be read, in the order of paths, whatever the ranges."""
+    from requestloom.operators import numbering as N
+    from requestloom.operators import requests as Q
+
+    ending = {"text": "txt", "image": "png", "video": "mp4"}[modality]
+
+    class Once(CountingStore):
+        def open(self, uri):
+            open(f"{self.folder}/seen-{uri[len('toy://'):].replace('/', '-')}", "x").close()  # a second time is an error
+            return super().open(uri)
+
+    (tmp_path / "in").mkdir()
+    names = [f"in/{i:03}.{ending}" for i in range(60)]
+    for i, name in enumerate(names):
+        if i % 7:
+            (tmp_path / name).write_bytes(b"\xff" if i % 5 == 0 and modality == "text" else b"%d \"q\"" % i)
+    listing = spark.createDataFrame([(n, 4) for n in reversed(names)], "file_path string, size bigint").repartition(5)
+    before = Q.task_count
+    Q.task_count = lambda *_: 7
+    try:
+        batch = Q.prepare_listed_batch(listing, "toy://", modality, NOVA, batch_ts=9, prompt="p", store=Once(str(tmp_path)))
+    finally:
+        Q.task_count = before
+    good = [n for i, n in enumerate(names) if i % 7 and not (i % 5 == 0 and modality == "text")]
+    rows = sorted(batch.requests.collect(), key=lambda r: int(r["record_id"].split("_")[1]))
+    assert [(r["file_path"], r["record_id"]) for r in rows] == [(n, f"9_{k}") for k, n in enumerate(good)]
+    assert batch.rows == len(good)
+    assert all(json.loads(r["value"])["recordId"] == r["record_id"] for r in rows)
+    assert {r["file_path"] for r in batch.rejects.collect()} == set(names) - set(good)
+    with pytest.raises(N.DuplicateKeyError):
+        Q.prepare_listed_batch(listing.unionAll(listing), "toy://", modality, NOVA, batch_ts=9, store=CountingStore(str(tmp_path)))
+
+
+def test_media_that_cannot_be_read_are_rejected(engine, tmp_path):
+    import os
+
+    class Shut(CountingStore):
+        def open(self, uri):
+            if uri.endswith("q.png"):
+                raise PermissionError("shut")
+            return super().open(uri)
+
+    (tmp_path / "store/inb/docs/q.png").write_bytes(b"other")
+    closed = BatchEngine(engine.spark, "toy://store", store=Shut(str(tmp_path)))
+    batch = closed.prepare_image_batch_data("inb", "docs/", "", "U", NOVA, batch_ts=1)
+    assert [r["file_path"] for r in batch.requests.collect()] == ["docs/p.PNG"]
+    assert [r["file_name"] for r in batch.rejects.collect()] == ["q.png"]
+    inventory = engine.spark.createDataFrame(
+        [("docs/p.PNG", 7, "2024-01-01 00:00:00"), ("other/x.png", 1, "2024-01-01 00:00:00")], "key string, size int, last_modified string"
+    )
+    listed = engine.prepare_inventory_batch_data(inventory, "inb", "docs/", "image", NOVA, batch_ts=2, prompt="U")
+    assert [r["record_id"] for r in listed.requests.collect()] == ["2_0"] and os.path.exists(tmp_path / "store")
+
+
+def test_request_files_are_no_input(engine):
+    """A second batch of the same folder does not take the first one's request file for input."""
+    for _ in range(2):
+        arn = engine.create_batch_job("inb", "docs", "outb", "res", CLAUDE, "P", make_length_scorer)
+        assert engine.get_job_results(arn).count() == 12
+
+
+@pytest.mark.parametrize("prefix", ["team/rejects/", "a b/é/"])
+def test_results_below_any_prefix(engine, tmp_path, prefix):
+    answer = OK_LINE % 7
+    arn = "arn:x/z9"
+    engine._set_status(arn, "Completed", f"s3://outb/{prefix}")
+    folder = tmp_path / "store/outb" / prefix / "z9"
+    (folder / "rejects").mkdir(parents=True)
+    (folder / "raw.out").write_text("no json\n" + answer + "\n")
+    (folder / "rejects" / "part-0").write_text(answer.replace("7", "8"))
+    bundle = engine.get_results_preview(arn).first()
+    assert [p["record_id"] for p in bundle["preview"]] == ["7"] and bundle["file_name"] == "raw.out"
