@@ -1253,3 +1253,32 @@ def _listed_query(modality: str) -> Query:
 
 for _m in fixed.MODALITIES:
     query(f"listed_{_m}_requests", _listed_sql(_m))(_listed_query(_m))
+
+
+_REGISTRY = "job_arn, output_bucket, output_prefix, aws_region, input_bucket, input_prefix"
+
+
+@query(
+    "read_registry",
+    with_views(
+        f"select cast(row_number() over (order by seq) - 1 as integer) as seq_in_doc, job_arn as job_key, {_REGISTRY},"
+        " 'at ' || seq as timestamp from registry_log",
+        "registry_log",
+    ),
+)
+def read_registry(spark, sf_dir):
+    """All entries as one JSON object in a folder of parts, cut into entries by the tasks that read its ranges."""
+    root = shared_path(spark, "registry_document")
+    log = views.registry_log(spark, sf_dir)
+    first, last = log.agg(F.min("seq"), F.max("seq")).first()
+    value = F.to_json(F.struct(*_REGISTRY.split(", "), F.concat(F.lit("at "), F.col("seq").cast("string")).alias("timestamp")))
+    line = F.concat(
+        F.when(F.col("seq") == first, "{").otherwise(","),
+        F.to_json(F.struct(F.col("job_arn").alias("k"))).substr(F.lit(6), F.char_length("job_arn") + 2),
+        F.lit(":"),
+        value,
+        F.when(F.col("seq") == last, "}").otherwise(""),
+    )
+    rows = log.repartitionByRange("seq").sortWithinPartitions("seq").select(line.alias("value"))
+    K.write_requests(rows, root)
+    return G.read_registry(spark, root, range_bytes=1 << 16)

@@ -39,6 +39,15 @@ _MODEL_NAME = """case c_custkey % 8 when 0 then 'Claude 3 Haiku' when 1 then 'No
 _PREFIX = """case o_orderkey % 7 when 0 then null when 1 then '' when 2 then '/' when 3 then '//a'
   when 4 then 'a' when 5 then 'a/' else concat('/a/', cast(o_custkey as string)) end"""
 _STATUS = "case o_orderstatus when 'F' then 'Completed' when 'O' then 'InProgress' else 'Failed' end"
+_REGISTRY_FIELDS = [
+    "concat('job/', cast(o_orderkey as string)) as job_arn",
+    "concat('out-', cast(o_custkey % 5 as string)) as output_bucket",
+    "case o_orderkey % 4 when 0 then null when 1 then 'a\"b/' when 2 then 'c,{[/' else concat('d', chr(92), '}/') end"
+    " as output_prefix",
+    "case when o_custkey % 2 = 0 then 'us-west-2' else 'us-east-1' end as aws_region",
+    "case when o_orderkey % 3 = 0 then null else 'in' end as input_bucket",
+    "concat(o_orderpriority, chr(10), chr(92), chr(34)) as input_prefix",
+]
 _KEY_KIND = """case o_orderkey % 6 when 0 then '/' when 1 then '.jsonl.out' when 2 then '/Manifest.json.out'
   when 3 then '.jsonl.out.tmp' when 4 then '.jsonl.out' else '.log' end"""
 
@@ -130,6 +139,11 @@ def job_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def registry_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registry entries with all fields, some of them null, some with the marks that JSON has to escape."""
+    return table(spark, sf_dir, "orders").selectExpr("o_orderkey as seq", *_REGISTRY_FIELDS)
+
+
 def status_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Several status rows per job, the newest with the highest ``seq``."""
     return table(spark, sf_dir, "orders").selectExpr(
@@ -221,6 +235,7 @@ SQL_VIEWS = {
   strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') as ts from orders""",
     "states": """select job_arn, arg_max(aws_region, seq) as aws_region, arg_max(ts, seq) as ts,
   min(seq) as position, max(seq) as seq from job_log group by job_arn""",
+    "registry_log": f"""select o_orderkey as seq, {", ".join(_REGISTRY_FIELDS)} from orders""",
     "status_log": f"""select 'job/' || o_custkey as job_arn, {_STATUS} as status,
   's3://out-' || (o_custkey % 5) || '/res' as uri, o_orderkey as seq,
   case when o_orderstatus not in ('F', 'O') then 'input ' || o_orderkey end as message,

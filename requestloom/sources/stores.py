@@ -1,7 +1,7 @@
-"""Stores that tasks open by themselves: a stream of an object, and the entries of one folder.
+"""Stores that tasks open by themselves: a stream or a range of an object, and the entries of one folder.
 
 Tasks have no access to Spark's own connectors, so objects are opened through pyarrow, under whose names the schemes of
-Spark's connectors are looked up.  A store that pyarrow does not know is reached by giving an object with the same two
+Spark's connectors are looked up.  A store that pyarrow does not know is reached by giving an object with the same
 methods; every reader of this package takes one.
 """
 
@@ -72,6 +72,13 @@ class ArrowStore:
         system, path = self._place(uri)
         return system.open_input_stream(path)
 
+    def read(self, uri: str, start: int, length: int) -> bytes:
+        """A range of an object's bytes."""
+        system, path = self._place(uri)
+        with system.open_input_file(path) as file:
+            file.seek(start)
+            return file.read(length)
+
     def entries(self, uri: str) -> Iterator[Entry]:
         """The entries of one folder; none if there is no such folder."""
         from pyarrow import fs

@@ -149,3 +149,76 @@ def test_sampling_is_repeatable_and_spread(spark):
     upper = sum(f >= "p/02000" for f in first)
     assert 150 < upper < 250
     assert O.sampled_content(objects, 3, seed=1).count() == 3
+
+
+# ---------------------------------------------------------------- one large JSON object in ranges
+
+
+def _by_ranges(data, size):
+    """Entries of a document cut in ranges of ``size`` bytes, put together as the operator does; None if it is no object."""
+    import numpy as np
+
+    from requestloom.sources import json_ranges as J
+
+    state, depth, opened, done, held = J.OUTSIDE, 0, 0, [], None
+    for at in range(0, len(data), size):
+        part = data[at : at + size]
+        found = J.marks(np.frombuffer(part, np.uint8), state)
+        head, entries, tail, wrong, opens = J.pieces(part, state, depth)
+        if wrong:
+            return None
+        state, depth, opened = found.end, depth + int(found.step.sum()), opened + opens
+        if held is not None:
+            held += head
+        if held is not None and (entries or tail is not None or not depth):  # a cut ends what was held
+            done.append(held)
+            held = None
+        done += entries
+        held = held if tail is None else tail
+    return done if state == J.OUTSIDE and not depth and opened == 1 else None
+
+
+DOCUMENTS = [
+    {},
+    {"a": {"job_arn": "a"}},
+    {'q"\\\\"': {"job_arn": 'x\\"},{'}, "b": {"job_arn": "[]{},:"}, "c\n": {"timestamp": "\\\\"}, "é": {}},
+    {str(i): {"job_arn": "字" * i, "input_prefix": "\\" * i + '"' * (i % 3)} for i in range(30)},
+]
+
+
+@pytest.mark.parametrize("document", DOCUMENTS)
+def test_entries_of_ranges_of_any_size(document):
+    for text in (json.dumps(document), json.dumps(document, indent=2, ensure_ascii=False) + "\n"):
+        data = text.encode()
+        for size in [*range(1, 40), 1000, 10**6]:
+            found = _by_ranges(data, size)
+            texts = [e.decode() for e in found if e.strip()]
+            assert [json.loads("{" + e + "}") for e in texts] == [{k: v} for k, v in document.items()]
+
+
+def test_what_is_no_object_has_no_entries():
+    for text in ('{"a":1', '{"a":"x', '{"a":1}}', '{"a":1}{}', '[1,2]', '{"a":1} x', 'x {"a":1}', '{"a":[1}', '"a"', "3", '{"a":"\\"}'):
+        for size in (1, 2, 3, 100):
+            found = _by_ranges(text.encode(), size)
+            bad = False
+            try:
+                for e in found or ():
+                    json.loads("{" + e.decode() + "}")
+            except ValueError:
+                bad = True
+            assert found is None or bad, (text, size)
+
+
+def test_registry_in_parts(spark, tmp_path):
+    """A document over several parts and many ranges; broken documents and empty ones have no entries."""
+    document = DOCUMENTS[3] | {"q": {"job_arn": "last", "timestamp": "t\\"}}
+    data = json.dumps(document, indent=2, ensure_ascii=False).encode()
+    (tmp_path / "doc").mkdir()
+    for k in range(3):
+        (tmp_path / "doc" / f"part-{k}").write_bytes(data[len(data) * k // 3 : len(data) * (k + 1) // 3])
+    rows = G.read_registry(spark, str(tmp_path / "doc"), range_bytes=50).collect()
+    got = {r["job_key"]: {f: r[f] for f in ("job_arn", "input_prefix", "timestamp") if r[f] is not None} for r in rows}
+    assert got == document and sorted((r["seq_in_doc"], r["job_key"]) for r in rows) == list(enumerate(document))
+    for text, n in (("{ \n}", 0), ("{,}", 0), ('{"a":{},}', 0), ('{"a":{"job_arn":"1"}, "b":{}}', 2), ('{"a":{"job_arn":"1"}, "b":{}', 0), ("", 0)):
+        (tmp_path / "one.json").write_text(text)
+        assert G.read_registry(spark, str(tmp_path / "one.json"), range_bytes=7).count() == n, text
