@@ -11,16 +11,17 @@ import time
 import uuid
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import schemas
 from .functions import columns as C
 from .functions import fixed
+from .functions.topn import top_n
 from .operators import infer as I
 from .operators import models as M
 from .operators import objects as O
+from .operators import progress as G
 from .operators import registry as R
 from .operators import requests as Q
 from .operators import results as P
@@ -31,13 +32,14 @@ from .sources import lines as L
 from .sources import listing as T
 from .sources import objects as S
 from .sources import sinks as K
+from .sources.commits import CommitLog
 from .sources.stores import ArrowStore
 
-JOB_COLUMNS = (
+JOB_LOG = (
     "job_arn string, output_bucket string, output_prefix string, aws_region string, input_bucket string, "
-    "input_prefix string, seq bigint"
+    "input_prefix string, timestamp string, job_type string, job_name string, model_id string, seq bigint"
 )
-JOB_LOG = JOB_COLUMNS.replace("seq bigint", "timestamp string, job_type string, seq bigint")
+PROGRESS_LOG = "entry string, job_arn string, step string, metric string, value bigint, seq bigint"
 STATUS_LOG = "job_arn string, status string, output_s3_uri string, message string, ts string, seq bigint"
 
 #: Parts of the request files that this engine writes, and the end that parts of result files add to the file's name.
@@ -53,8 +55,9 @@ class BatchEngine:
         self.root = root.rstrip("/")
         self.region = region
         self.store = store or (ArrowStore() if ArrowStore.knows(self.root) else None)
-        self._jobs_at = f"{self.root}/_registry/jobs"
-        self._status_at = f"{self.root}/_registry/status"
+        self._jobs = CommitLog(spark, f"{self.root}/_registry/jobs", JOB_LOG, "job_arn")
+        self._statuses = CommitLog(spark, f"{self.root}/_registry/status", STATUS_LOG, "job_arn")
+        self._progress = CommitLog(spark, f"{self.root}/_registry/progress", PROGRESS_LOG, "entry")
 
     # ------------------------------------------------------------ places
 
@@ -158,21 +161,20 @@ class BatchEngine:
 
     # ------------------------------------------------------------ jobs
 
-    def _append(self, entry: DataFrame, where: str) -> None:
-        entry.coalesce(1).write.mode("append").parquet(where)  # one row
-
-    def _read_log(self, where: str, schema: str) -> DataFrame:
-        try:
-            return self.spark.read.schema(schema).parquet(where)
-        except AnalysisException as problem:
-            if "PATH_NOT_FOUND" not in (problem.getCondition() or ""):
-                raise
-            return self.spark.createDataFrame([], schema)
-
     def _set_status(self, arn: str, status: str, uri: str = "", message: str = "") -> None:
         stamp = time.strftime("%Y-%m-%dT%H:%M:%S", time.gmtime())
-        row = [(arn, status, uri, message, stamp, time.time_ns())]
-        self._append(self.spark.createDataFrame(row, STATUS_LOG), self._status_at)
+        self._statuses.append({"job_arn": arn, "status": status, "output_s3_uri": uri, "message": message, "ts": stamp})
+
+    def _note(self, arn: str, step: str, counts: dict[str, int]) -> None:
+        for metric, value in counts.items():
+            entry = {"entry": f"{arn}/{step}/{metric}", "job_arn": arn, "step": step, "metric": metric, "value": int(value)}
+            self._progress.append(entry)
+
+    def get_job_progress(self, job_arn: str) -> DataFrame:
+        """What the steps of a job counted: step, metric, value."""
+        mine = self._progress.read().filter(F.col("job_arn") == job_arn)
+        newest = mine.groupBy("step", "metric").agg(F.max_by("value", "seq").alias("value"))
+        return newest.select("step", "metric", "value")
 
     def create_batch_job_from_jsonl(
         self,
@@ -185,14 +187,20 @@ class BatchEngine:
         input_bucket: str = "",
         input_prefix: str = "",
         job_type: str = "text",
+        job_name: str | None = None,
+        prepared: dict[str, int] | None = None,
     ) -> str:
-        """Score a ready request file and write result lines and run totals; returns the job id."""
+        """Score a ready request file and write result lines and run totals; returns the job id.
+
+        A job without a name is named after the time.  ``prepared`` are counts of the steps before, kept with the job's own.
+        """
+        name = job_name or f"batch-job-{int(time.time())}"
         arn = f"arn:local:model-invocation-job/{uuid.uuid4().hex[:12]}"
         prefix = self.normalize_prefix(output_prefix)
         stamp = time.strftime("%Y-%m-%dT%H:%M:%S", time.gmtime())
-        job = [(arn, output_bucket, prefix, self.region, input_bucket, input_prefix, time.time_ns())]
-        job = self.spark.createDataFrame(job, JOB_COLUMNS)
-        self._append(R.registry_append(job, stamp, job_type=job_type), self._jobs_at)
+        job = {"job_arn": arn, "output_bucket": output_bucket, "output_prefix": prefix, "aws_region": self.region}
+        job |= {"input_bucket": input_bucket, "input_prefix": input_prefix, "timestamp": stamp, "job_type": job_type}
+        self._jobs.append(job | {"job_name": name, "model_id": model_id})
         uri = f"s3://{output_bucket}/{prefix}"
         self._set_status(arn, "InProgress", uri)
         folder = self.place(output_bucket, f"{prefix}{arn.split('/')[-1]}")
@@ -206,16 +214,23 @@ class BatchEngine:
             unusable.select("value", "reason").write.parquet(f"{folder}/rejects")
             totals = P.run_manifest(L.read_results(self.spark, result))
             totals.write.json(f"{folder}/manifest.json.out")
+            self._note(arn, "prepare", prepared or {})
+            written = L.read_manifest(self.spark, f"{folder}/manifest.json.out").drop("file_path").first()
+            self._note(arn, "results", {k: v for k, v in written.asDict().items() if v is not None})
         except Exception as problem:
             self._set_status(arn, "Failed", uri, str(problem))
             raise
         self._set_status(arn, "Completed", uri)
         return arn
 
-    def _run(self, batch: Q.Batch, bucket, prefix, output_bucket, output_prefix, model_id, make_scorer, modality) -> str:
+    def _run(
+        self, batch: Q.Batch, bucket, prefix, output_bucket, output_prefix, model_id, make_scorer, modality, job_name
+    ) -> str:
         kind = "" if modality == "text" else f"{modality}-"
         key = f"{prefix}batch-{kind}{int(time.time())}-{uuid.uuid4().hex[:6]}.jsonl"
-        K.write_requests(batch.requests, self.place(bucket, key))
+        watched, seen = G.observe_requests(batch.requests)
+        K.write_requests(watched, self.place(bucket, key))
+        prepared = {**seen.get, "rejected": batch.rejects.count()}
         return self.create_batch_job_from_jsonl(
             f"s3://{bucket}/{key}",
             output_bucket,
@@ -225,40 +240,45 @@ class BatchEngine:
             input_bucket=bucket,
             input_prefix=prefix,
             job_type=modality,
+            job_name=job_name,
+            prepared=prepared,
         )
 
     def create_batch_job(
-        self, input_bucket, input_prefix, output_bucket, output_prefix, model_id, prompt, make_scorer
+        self, input_bucket, input_prefix, output_bucket, output_prefix, model_id, prompt, make_scorer, job_name=None
     ) -> str:
         prefix = self.normalize_prefix(input_prefix)
         batch = self.prepare_batch_data(input_bucket, prefix, prompt, model_id)
-        return self._run(batch, input_bucket, prefix, output_bucket, output_prefix, model_id, make_scorer, "text")
+        return self._run(batch, input_bucket, prefix, output_bucket, output_prefix, model_id, make_scorer, "text", job_name)
 
     def create_image_batch_job(
-        self, input_bucket, input_prefix, output_bucket, output_prefix, model_id, system_prompt, user_prompt, make_scorer
+        self, input_bucket, input_prefix, output_bucket, output_prefix, model_id, system_prompt, user_prompt, make_scorer,
+        job_name=None,
     ) -> str:
         prefix = self.normalize_prefix(input_prefix)
         batch = self.prepare_image_batch_data(input_bucket, prefix, system_prompt, user_prompt, model_id)
-        return self._run(batch, input_bucket, prefix, output_bucket, output_prefix, model_id, make_scorer, "image")
+        return self._run(batch, input_bucket, prefix, output_bucket, output_prefix, model_id, make_scorer, "image", job_name)
 
     def create_video_batch_job(
-        self, input_bucket, input_prefix, output_bucket, output_prefix, model_id, system_prompt, user_prompt, make_scorer
+        self, input_bucket, input_prefix, output_bucket, output_prefix, model_id, system_prompt, user_prompt, make_scorer,
+        job_name=None,
     ) -> str:
         prefix = self.normalize_prefix(input_prefix)
         batch = self.prepare_video_batch_data(input_bucket, prefix, system_prompt, user_prompt, model_id)
-        return self._run(batch, input_bucket, prefix, output_bucket, output_prefix, model_id, make_scorer, "video")
+        return self._run(batch, input_bucket, prefix, output_bucket, output_prefix, model_id, make_scorer, "video", job_name)
 
     def job_states(self) -> DataFrame:
-        return R.registry_upsert(self._read_log(self._jobs_at, JOB_LOG))
+        return R.registry_upsert(self._jobs.read())
 
     def get_all_job_states(self) -> DataFrame:
-        return R.registry_recent(self.job_states())
+        """The newest jobs, in the order in which they were committed and not by the clocks of their drivers."""
+        return top_n(self.job_states(), fixed.RECENT_JOBS, F.col("seq").desc())
 
     def load_job_state(self, job_arn: str | None = None) -> DataFrame:
-        return R.registry_get(self.job_states(), job_arn) if job_arn else R.registry_latest(self.job_states())
+        return R.registry_get(self.job_states(), job_arn) if job_arn else top_n(self.job_states(), 1, F.col("seq").desc())
 
     def get_job_status(self, job_arn: str) -> DataFrame:
-        log = self._read_log(self._status_at, STATUS_LOG).filter(F.col("job_arn") == job_arn)
+        log = self._statuses.read().filter(F.col("job_arn") == job_arn)
         return R.job_status(log, output_uri="output_s3_uri")
 
     def monitor_job(self, job_arn: str, check_interval: float = 30) -> DataFrame:

@@ -1,12 +1,13 @@
 """Progress of a batch as observed metrics.
 
 The counts ride along with the job that reads or writes the rows; nothing is
-called per row and no extra job is started.
+called per row and no extra job is started.  Once that job has run, its counts
+can be kept as rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -54,3 +55,13 @@ def observe_requests(requests: DataFrame) -> tuple[DataFrame, Observation]:
         F.coalesce(F.sum(F.char_length("value")), F.lit(0)).alias("characters"),
     )
     return watched, seen
+
+
+def progress_rows(spark: SparkSession, seen: dict[str, Observation | dict[str, int]]) -> DataFrame:
+    """``step``, ``metric``, ``value`` of steps that have run; counts known otherwise may be given as they are."""
+    rows = [
+        (step, metric, int(value))
+        for step, counts in seen.items()
+        for metric, value in (counts.get if isinstance(counts, Observation) else counts).items()
+    ]
+    return spark.createDataFrame(rows, "step string, metric string, value bigint")

@@ -17,6 +17,7 @@ from ..operators import infer as I
 from ..operators import models as M
 from ..operators import numbering as N
 from ..operators import objects as O
+from ..operators import progress as W
 from ..operators import registry as R
 from ..operators import requests as Q
 from ..operators import results as P
@@ -1281,4 +1282,47 @@ def read_registry(spark, sf_dir):
     )
     rows = log.repartitionByRange("seq").sortWithinPartitions("seq").select(line.alias("value"))
     K.write_requests(rows, root)
-    return G.read_registry(spark, root, range_bytes=1 << 16)
+    return G.read_registry(spark, root, range_bytes=1 << 18)
+
+
+def _metrics_sql(step: str, source: str, **metrics: str) -> list[str]:
+    return [f"select '{step}' as step, '{m}' as metric, cast({e} as bigint) as value from {source}" for m, e in metrics.items()]
+
+
+_IMAGE_FITS = f"((size + 2) // 3) * 4 <= {IMAGE_LIMIT}"
+
+
+@query(
+    "progress_counts",
+    with_views(
+        " union all ".join(
+            _metrics_sql(
+                "scan",
+                "objects",
+                scanned="count(*)",
+                skipped="count(*) - (select count(*) from named_objects)",
+                kept="(select count(*) from named_objects)",
+            )
+            + _metrics_sql(
+                "process",
+                "named_objects",
+                scanned="count(*)",
+                matched=f"count(*) filter (where {_IS['image']})",
+                accepted=f"count(*) filter (where {_IS['image']} and {_IMAGE_FITS})",
+                oversized=f"count(*) filter (where {_IS['image']} and not {_IMAGE_FITS})",
+            )
+            + _metrics_sql("generate", "lines", records="count(*)", characters="coalesce(sum(length(value)), 0)")
+        ),
+        "named_objects",
+        **_TEXT_NUMBERED,
+        lines=f"select {_line_sql(_CLAUDE_TEXT_INPUT)} as value from numbered",
+    ),
+)
+def progress_counts(spark, sf_dir):
+    """What the steps of two batches counted while they ran."""
+    kept, scan = W.observe_listing(views.objects(spark, sf_dir))
+    accepted, process = W.observe_batch(kept, "image", IMAGE_LIMIT)
+    accepted.select("file_path").write.parquet(shared_path(spark, "accepted"))
+    requests, generate = W.observe_requests(_text_batch(spark, sf_dir))
+    K.write_requests(requests, shared_path(spark, "requests"))
+    return W.progress_rows(spark, {"scan": scan, "process": process, "generate": generate})

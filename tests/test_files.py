@@ -113,6 +113,9 @@ def test_text_job_end_to_end(engine):
     assert state["job_arn"] == arn and state["input_prefix"] == "docs/"
     assert [r["job_arn"] for r in engine.get_all_job_states().collect()] == [arn]
     assert engine.monitor_job(arn).first()["status"] == "Completed"
+    progress = {(r["step"], r["metric"]): r["value"] for r in engine.get_job_progress(arn).collect()}
+    assert progress["prepare", "records"] == 12 and progress["prepare", "rejected"] == 1
+    assert progress["results", "totalRecordCount"] == 12 and progress["prepare", "characters"] > 1000
 
 
 def test_media_jobs_and_dry_runs(engine):
@@ -512,3 +515,46 @@ def test_results_below_any_prefix(engine, tmp_path, prefix):
     (folder / "rejects" / "part-0").write_text(answer.replace("7", "8"))
     bundle = engine.get_results_preview(arn).first()
     assert [p["record_id"] for p in bundle["preview"]] == ["7"] and bundle["file_name"] == "raw.out"
+
+
+# ---------------------------------------------------------------- the log of commits
+
+
+def test_commits_of_two_drivers(spark, tmp_path):
+    """Numbers have no gaps whoever takes them; readers see the first and the newest entry of each key."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from requestloom.sources.commits import CommitLog
+
+    logs = [CommitLog(spark, str(tmp_path / "log"), "k string, v int, seq bigint", "k", every=7) for _ in range(2)]
+    assert logs[0].read().count() == 0 and logs[0].last() == 0
+    with ThreadPoolExecutor(2) as pool:
+        work = [pool.submit(lambda log: [log.append({"k": f"k{i % 4}", "v": i}) for i in range(15)], log) for log in logs]
+        taken = [w.result() for w in work]
+    assert sorted(taken[0] + taken[1]) == list(range(1, 31))
+    values = {c: (f"k{i % 4}", i) for one in taken for i, c in enumerate(one)}
+    for upto in (1, 6, 7, 8, 14, 22, 30):
+        rows = logs[0].read(upto).collect()
+        assert all(values[r["seq"]] == (r["k"], r["v"]) for r in rows)
+        for k in {values[c][0] for c in range(1, upto + 1)}:
+            mine = [c for c in range(1, upto + 1) if values[c][0] == k]
+            seen = sorted(r["seq"] for r in rows if r["k"] == k)
+            assert (seen[0], seen[-1]) == (mine[0], mine[-1])
+    assert len(logs[0].read(30).collect()) <= 2 * 4 + 7
+
+
+def test_skewed_clocks_do_not_decide(engine, monkeypatch):
+    other = BatchEngine(engine.spark, engine.root)
+    folder = engine.place("inb", "requests.jsonl")
+    line = json.dumps({"recordId": "1", "modelInput": {"messages": [{"content": [{"text": "abc"}]}]}})
+    K.write_requests(engine.spark.createDataFrame([(line,)], "value string"), folder)
+    arns = []
+    for one, hour, name in ((engine, 20, "first"), (other, 3, None)):
+        monkeypatch.setattr("requestloom.engine.time.gmtime", lambda: (2024, 1, 1, hour, 0, 0, 0, 1, 0))
+        arns.append(one.create_batch_job_from_jsonl("s3://inb/requests.jsonl", "outb", "r", CLAUDE, make_length_scorer, job_name=name))
+    monkeypatch.undo()
+    newest = engine.load_job_state().first()
+    assert newest["job_arn"] == arns[1] and newest["model_id"] == CLAUDE and newest["job_name"].startswith("batch-job-")
+    assert [r["job_arn"] for r in other.get_all_job_states().collect()] == arns[::-1]
+    assert engine.load_job_state(arns[0]).first()["job_name"] == "first"
+    assert engine.get_job_status(arns[1]).first()["status"] == "Completed"

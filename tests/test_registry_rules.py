@@ -190,7 +190,7 @@ DOCUMENTS = [
 def test_entries_of_ranges_of_any_size(document):
     for text in (json.dumps(document), json.dumps(document, indent=2, ensure_ascii=False) + "\n"):
         data = text.encode()
-        for size in [*range(1, 40), 1000, 10**6]:
+        for size in (1, 2, 3, 7, 19, 1000, 10**6):
             found = _by_ranges(data, size)
             texts = [e.decode() for e in found if e.strip()]
             assert [json.loads("{" + e + "}") for e in texts] == [{k: v} for k, v in document.items()]
