@@ -1301,7 +1301,7 @@ _IMAGE_FITS = f"((size + 2) // 3) * 4 <= {IMAGE_LIMIT}"
                 "objects",
                 scanned="count(*)",
                 skipped="count(*) - (select count(*) from named_objects)",
-                kept="(select count(*) from named_objects)",
+                kept="min((select count(*) from named_objects))",
             )
             + _metrics_sql(
                 "process",
