@@ -27,7 +27,7 @@ from . import common as C
 WHITE = "\t-\r \x85\xa0" + "{0}{1}-{2}{3}{4}{5}{6}{7}".format(
     *map(chr, (0x1680, 0x2000, 0x200A, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 )
-#: What a process remembers at most, about 400 MB in all; each store starts afresh when it is full.
+#: What a process remembers at most, about 400 MB in all, since nothing long is kept.
 CHUNKS_KEPT, PIECES_KEPT, PAIRS_KEPT = 1_200_000, 300_000, 400_000
 
 
@@ -136,13 +136,14 @@ class BytePairs:
 
 
 def _coder(shared) -> BytePairs:
-    ranks, pattern = shared.value
-    key = "byte pairs", hashlib.sha256(repr((len(ranks), pattern, sorted(ranks.items())[:2000])).encode()).digest()
-    return C.per_process(key, lambda: BytePairs(ranks, pattern))
+    ranks, pattern, digest = shared.value
+    return C.per_process(("byte pairs", digest, pattern), lambda: BytePairs(ranks, pattern))
 
 
 def _share(spark: SparkSession, path: str, pattern: str):
-    return spark.sparkContext.broadcast((read_ranks(path), pattern))
+    with open(path, "rb") as file:
+        digest = hashlib.sha256(file.read()).digest()
+    return spark.sparkContext.broadcast((read_ranks(path), pattern, digest))
 
 
 def encode_documents(

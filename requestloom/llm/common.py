@@ -32,21 +32,41 @@ def per_process(key, make: Callable[[], object]):
     return kept[key]
 
 
+#: Keys of more characters or bytes are not remembered, so that stores bounded by a number are bounded in bytes too.
+LONGEST_KEPT = 128
+
+
 class Bounded(dict):
-    """A dict that computes missing values and starts afresh when it holds ``most`` of them."""
+    """A dict that computes missing values and remembers about ``most`` of them.
+
+    It keeps two generations: when the younger one is full the older one goes, but for what was asked for since.
+    """
 
     def __init__(self, compute: Callable, most: int):
         super().__init__()
-        self.compute, self.most = compute, most
+        self.compute, self.most, self.older = compute, most, {}
 
     def __missing__(self, key):
-        value = self.compute(key)
-        if len(self) >= self.most:
+        if len(key) > LONGEST_KEPT:
+            return self.compute(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.compute(key)
+        if 2 * len(self) >= self.most:
+            self.older = dict(self)
             self.clear()
         self[key] = value
         return value
 
 
+def free_name(columns: list[str], base: str) -> str:
+    """``base``, with as many underscores after it as no column has."""
+    taken = {c.lower() for c in columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def hash_words(words: list[bytes]) -> np.ndarray:
     """64-bit hashes of words.  Hashing each anew is quicker than any memory of them."""
     import xxhash

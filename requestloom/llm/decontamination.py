@@ -1,10 +1,10 @@
 """Benchmark decontamination: short test items inside long documents.
 
 Documents and items are sets of word 5-grams.  Documents are parted by set size in powers of two.  A document's MinHash
-signature has four to eight bins per shingle of its size class: a hash belongs to the bin of its leading bits, and each bin
-keeps its smallest and its largest hash.  The number of bins follows the size, so an item's shingle is hidden behind
-others of its bin with a chance of about one in a hundred, in long documents as in short ones, and a contained item is
-missed only if all its shingles are.  Documents that share a signature hash with an item are candidates; they are
+signature has eight to sixteen bins per shingle of its size class: a hash belongs to the bin of its leading bits, and each
+bin keeps its smallest and its largest hash.  The number of bins follows the size, so the signature keeps nearly all hashes
+and an item's shingle is hidden behind others of its bin with a chance of one to three in a thousand, in long documents as
+in short ones; a contained item is missed only if all its shingles are.  Documents that share a signature hash with an item are candidates; they are
 verified by exact containment of shingle texts, with a share of ``THRESHOLD`` of the item's shingles or more.
 
 Words are split at ASCII white space, in lower case.  A text of fewer than five words is one shingle, so short items are
@@ -113,9 +113,10 @@ def contained_items(
             F.size("item").cast("long").alias("n_item"),
             F.size(F.array_intersect("item", "held")).cast("long").alias("n_shared"),
         )
-        .groupBy("doc_id", "item_id")
-        .agg(F.max("n_item").alias("n_item"), F.max("n_shared").alias("n_shared"))
         .withColumn("containment", F.col("n_shared") / F.col("n_item"))
+        .groupBy("doc_id", "item_id")  # texts that repeat an id of either table: the pair that contains most
+        .agg(F.max(F.struct("containment", "n_shared", "n_item")).alias("best"))
+        .select("doc_id", "item_id", "best.n_item", "best.n_shared", "best.containment")
         .where(F.col("containment") >= threshold)
     )
 
@@ -123,5 +124,4 @@ def contained_items(
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that contain no item."""
     found = stage_table(contained_items(docs, benchmark, id_col, text_col).select("doc_id").distinct(), "contaminated")
-    gone = found.withColumnRenamed("doc_id", "_gone")
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti").select(*docs.columns)
+    return docs.alias("l").join(found.alias("r"), F.col(f"l.{id_col}") == F.col("r.doc_id"), "left_anti")

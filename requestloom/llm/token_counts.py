@@ -1,8 +1,8 @@
 """Token counts with a digest cache.
 
-The cache is a table (content digest, tokenizer digest, n_tokens) in the shared folder.  Content is normalised in a way
-that leaves its tokens as they are (runs of ASCII white space become one blank) before its digest is taken; the tokenizer's
-digest is that of its file.  Documents are joined to the stored counts; each distinct content that is missing is encoded
+The cache is a table (content digest, tokenizer digest, n_tokens) in the shared folder.  Where the tokenizer drops white
+space, content is normalised (runs of ASCII white space become one blank, which leaves its tokens as they are) before its
+digest is taken; the tokenizer's digest is that of its file.  Documents are joined to the stored counts; each distinct content that is missing is encoded
 once, and the new counts are appended.
 
 Copies are dropped inside the tasks before texts are shuffled, so a hot content costs a row per task.  Null texts count
@@ -16,7 +16,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_path
+from ..session import shared_root
 from . import common as C
 from . import word_tokens as W
 
@@ -28,8 +28,8 @@ def tokenizer_digest(path: str) -> str:
         return hashlib.sha256(file.read()).hexdigest()
 
 
-def normal_content(text: bytes | None) -> bytes:
-    return b" ".join(text.split()) if text else b""
+def normal_content(text: bytes | None, drops_white: bool) -> bytes:
+    return (b" ".join(text.split()) if drops_white else text) if text else b""
 
 
 def content_digest(normal: bytes) -> bytes:
@@ -44,7 +44,7 @@ def read_cache(spark: SparkSession, cache_dir: str) -> DataFrame:
     return spark.read.schema(CACHE).parquet(cache_dir).dropDuplicates(["content", "tokenizer"])
 
 
-def _digests(docs: DataFrame) -> DataFrame:
+def _digests(docs: DataFrame, drops_white: bool) -> DataFrame:
     """id, n_bytes and content digest of each document."""
     kind = docs.schema["id"].dataType.simpleString()
 
@@ -54,13 +54,13 @@ def _digests(docs: DataFrame) -> DataFrame:
         for batch in batches:
             texts = C.binary_column(batch.column(1))
             sizes = pa.array([len(t) if t else 0 for t in texts], pa.int64())
-            found = pa.array([content_digest(normal_content(t)) for t in texts], pa.binary())
+            found = pa.array([content_digest(normal_content(t, drops_white)) for t in texts], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), sizes, found], ["id", "n_bytes", "content"])
 
     return docs.mapInArrow(digest, f"id {kind}, n_bytes bigint, content binary")
 
 
-def _distinct_contents(docs: DataFrame) -> DataFrame:
+def _distinct_contents(docs: DataFrame, drops_white: bool) -> DataFrame:
     """(content, text): every distinct content once per task."""
 
     def read(batches):
@@ -70,7 +70,7 @@ def _distinct_contents(docs: DataFrame) -> DataFrame:
         for batch in batches:
             contents, texts = [], []
             for text in C.binary_column(batch.column(1)):
-                normal = normal_content(text)
+                normal = normal_content(text, drops_white)
                 content = content_digest(normal)
                 if content not in seen:
                     seen.add(content)
@@ -93,11 +93,13 @@ def count_tokens(
     """Per document: ``id_col``, n_bytes (long, UTF-8), n_tokens (long), over_limit (n_tokens > limit).
 
     Counts are those of the tokenizers library without added special tokens.  ``cache_dir`` is a folder all executors
-    reach; without one the run has a cache of its own in the shared folder.
+    reach; without one it is the cache of this tokenizer in the shared folder, which later runs find again.
     """
     spark = docs.sparkSession
-    cache_dir = cache_dir or shared_path(spark, "token_counts")
     version = tokenizer_digest(tokenizer_path)
+    cache_dir = cache_dir or f"{shared_root(spark)}/requestloom/token_counts-{version[:16]}"
+    with open(tokenizer_path, encoding="utf-8") as lines:
+        drops_white = W.chunked(lines.read())
     shared = W.share(spark, tokenizer_path)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     stored = read_cache(spark, cache_dir).where(F.col("tokenizer") == version)
@@ -120,12 +122,12 @@ def count_tokens(
             ]
             yield pa.RecordBatch.from_arrays(columns, ["content", "tokenizer", "n_tokens"])
 
-    missing = _distinct_contents(docs).join(stored, "content", "left_anti").select("content", "text")
+    missing = _distinct_contents(docs, drops_white).join(stored, "content", "left_anti").select("content", "text")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     missing.repartition(partitions, "content").mapInArrow(encode, CACHE).write.mode("append").parquet(cache_dir)
     counts = read_cache(spark, cache_dir).where(F.col("tokenizer") == version).select("content", "n_tokens")
     return (
-        _digests(docs)
+        _digests(docs, drops_white)
         .join(counts, "content")
         .select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
     )

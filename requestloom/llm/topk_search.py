@@ -10,7 +10,7 @@ Annuli are kept as blocks of about ``BLOCK`` rows, and the queries that visit an
 a crowded annulus is many small pieces of work.  The index covers every row; only the pivots come from a sample.
 
 Vectors that are null, empty or hold null or non-finite components take no part, nor do rows with a null id.  Vectors meet
-those of the same length only.  Scores are 64-bit numbers.  Of queries that repeat an id the smallest vector counts; candidates that repeat an id are
+those of the same length only.  Scores are 64-bit numbers; vectors so large that a score might not fit are refused with an error.  Of queries that repeat an id the smallest vector counts; candidates that repeat an id are
 rows of their own.
 """
 
@@ -227,6 +227,8 @@ def top_k(
     lengths = rows.groupBy("length").agg(F.max(norm).alias("top")).orderBy("length").collect()
     results = []
     for length, top in lengths:  # as a rule one
+        if top >= 2**62:
+            raise ValueError(f"vectors of a squared norm of {top / 1024**2} are too large for scores in 64 bits")
         held = rows.where(F.col("length") == length).select("id", "v")
         index = PivotIndex(held, top)
         queries = held.where(is_query).groupBy("id").agg(F.min("v").alias("v"))

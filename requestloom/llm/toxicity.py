@@ -105,17 +105,21 @@ def held_out(id_col: str) -> Column:
 
 
 def _training(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """(text, label) of the labelled documents that are learned from."""
+    """(text, label) of the labelled documents that are learned from: ``TRAIN_ROWS`` at most.
+
+    Of rows that repeat an id the smallest text counts.
+    """
     labelled = (
         labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col))
         .groupBy(F.col(id_col).alias("_id"))
         .agg(F.max(label_col).alias("label"))
     )
     chosen = stage_table(labelled.orderBy(F.xxhash64("_id"), "_id").limit(TRAIN_ROWS), "toxic_labels")
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(
         F.broadcast(chosen),  # TRAIN_ROWS rows at most
         "_id",
     )
+    return rows.groupBy("_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
 
 
 def _counts(training: DataFrame) -> DataFrame:
@@ -243,4 +247,4 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that are not predicted toxic."""
     score = score_column(docs, fit(docs, labels, id_col, text_col), text_col)
-    return docs.withColumn("_score", score).where(F.col("_score") < TOXIC_FROM).select(*docs.columns)
+    return docs.where(score < TOXIC_FROM)

@@ -14,7 +14,7 @@ from pyspark.sql import SparkSession
 
 from . import common as C
 
-#: Chunks that a process remembers at most, about 250 MB.
+#: Chunks that a process remembers at most, about 250 MB, since no long one is kept.
 CHUNKS_KEPT = 1_000_000
 
 
@@ -25,8 +25,9 @@ def chunked(document: str) -> bool:
     splits = [s for s in steps.get("pretokenizers", [steps]) if s.get("type") == "Split"]
     drops = any(s["behavior"] == "Removed" and s["invert"] and "\\s" in s["pattern"].get("Regex", "") for s in splits[:1])
     plain = all(not t["lstrip"] and not t["rstrip"] and not any(map(str.isspace, t["content"])) for t in spec["added_tokens"])
-    kinds = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [spec.get("normalizer") or {"type": ""}])]
-    known = all(kind in ("", "NFC", "Replace", "Lowercase") for kind in kinds)
+    steps = (spec.get("normalizer") or {}).get("normalizers", [spec.get("normalizer") or {"type": ""}])
+    white = {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}  # the only replacement known to be safe
+    known = all(step == white if step["type"] == "Replace" else step["type"] in ("", "NFC", "Lowercase") for step in steps)
     return drops and plain and known and not spec.get("truncation") and not spec.get("padding")
 
 
@@ -40,27 +41,34 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_str(document)
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.by_chunks = chunked(document)
+        # Two generations: when the younger one is full the older one goes, but for what was asked for since.
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
-    def _learn(self, chunks: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)
-        self.known.update((c, np.array(e.ids, self.kind).tobytes()) for c, e in zip(chunks, found))
+    def _learn(self, chunks: set[bytes]) -> dict[bytes, bytes]:
+        """The ids of chunks that the younger generation does not hold."""
+        found = {c: self.older[c] for c in chunks if c in self.older}
+        fresh = [c for c in chunks if c not in found]
+        coded = self.tokenizer.encode_batch_fast([c.decode() for c in fresh], add_special_tokens=False)
+        found.update((c, np.array(e.ids, self.kind).tobytes()) for c, e in zip(fresh, coded))
+        self.known.update((c, ids) for c, ids in found.items() if len(c) <= C.LONGEST_KEPT)
+        return found
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """The ids of each text (null: none) as little-endian numbers of type ``kind``."""
         if not self.by_chunks:
             found = self.tokenizer.encode_batch_fast([(t or b"").decode() for t in texts], add_special_tokens=False)
             return [np.array(e.ids, self.kind).tobytes() for e in found]
-        if len(self.known) > CHUNKS_KEPT:
-            self.known.clear()
+        if 2 * len(self.known) > CHUNKS_KEPT:
+            self.known, self.older = {}, self.known
         split = [text.split() if text else () for text in texts]
         found = [list(map(self.known.get, chunks)) for chunks in split]
         fresh = [i for i, ids in enumerate(found) if None in ids]
         missing = {chunk for i in fresh for chunk, ids in zip(split[i], found[i]) if ids is None}
         if missing:
-            self._learn(list(missing))
+            learned = self._learn(missing)
             for i in fresh:
-                found[i] = [self.known[c] if ids is None else ids for c, ids in zip(split[i], found[i])]
+                found[i] = [learned[c] if ids is None else ids for c, ids in zip(split[i], found[i])]
         return list(map(b"".join, found))
 
 

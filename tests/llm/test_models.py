@@ -121,6 +121,19 @@ def test_few_and_large_vectors(spark):
     assert K.top_k(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
 
 
+def test_vectors_too_large_for_scores(spark):
+    frame = spark.createDataFrame([(100, [3e38, 1.0]), (200, [3e38, 2.0])], "vec_id bigint, embedding array<float>")
+    with pytest.raises(ValueError, match="too large"):
+        K.top_k(frame)
+
+
+def test_rows_that_repeat_a_labelled_id_count_once(spark):
+    docs = spark.createDataFrame([(0, f"text {i}") for i in range(50)] + [(1, "other")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id bigint, toxic int")
+    training = toxicity._training(docs, labels, "doc_id", "text", "toxic")
+    assert sorted(map(tuple, training.select("text", "label").collect())) == [("other", 0), ("text 0", 1)]
+
+
 def test_far_annuli_are_not_visited(spark):
     r = np.random.default_rng(6)
     centers = 10 * r.normal(size=(20, 6))

@@ -146,3 +146,48 @@ def test_empty(empty):
     assert bpe.encode_documents(empty, RANKS, P.PATTERN).count() == 0
     assert token_counts.count_tokens(empty, WORDS).count() == 0
     assert token_files.read_files(token_files.write_files(empty, WORDS)).count() == 0
+
+
+def test_coders_of_tables_that_differ_late(spark, tmp_path):
+    """Two tables of ranks that are alike but for their last entries do not share an encoder."""
+    import base64
+
+    single = [bytes([b]) for b in range(256)]
+    frame = spark.createDataFrame([(1, "abcd")], "doc_id bigint, text string").coalesce(1)
+    fill = [b"zz" + bytes([i // 256, i % 256]) for i in range(2500)]
+    for last, expected in ((b"ab", [2756, 99, 100]), (b"cd", [97, 98, 2756])):
+        path = tmp_path / last.decode()
+        path.write_text("".join(f"{base64.b64encode(t).decode()} {i}\n" for i, t in enumerate([*single, *fill, last])))
+        assert bpe.encode_documents(frame, str(path), P.PATTERN).first().ids == expected
+
+
+def test_stores_keep_no_long_keys_and_two_generations():
+    from requestloom.llm.common import LONGEST_KEPT, Bounded
+
+    asked = []
+    store = Bounded(lambda key: asked.append(key) or key.upper(), 4)
+    assert store["x" * (LONGEST_KEPT + 1)] == "X" * (LONGEST_KEPT + 1) and not store
+    for key in ("a", "b", "c", "a", "d", "b"):
+        assert store[key] == key.upper()
+    assert asked[1:] == ["a", "b", "c", "d", "b"] and len(store) + len(store.older) <= 4
+    coder = word_tokens.WordTokens(open(WORDS, encoding="utf-8").read())
+    long = "ab" * LONGEST_KEPT
+    assert coder.encode([f"{long} cat {long}".encode()]) == coder.encode([f"{long} cat {long}".encode()])
+    assert set(coder.known) == {b"cat"}
+
+
+def test_a_second_run_encodes_nothing(spark, docs):
+    """Without a folder of its own a count finds the counts of the run before."""
+    first = token_counts.count_tokens(docs, WORDS).collect()
+    where = f"{token_counts.shared_root(spark)}/requestloom/token_counts-{token_counts.tokenizer_digest(WORDS)[:16]}"
+    stored = spark.read.parquet(where).count()
+    assert sorted(token_counts.count_tokens(docs, WORDS).collect()) == sorted(first)
+    assert spark.read.parquet(where).count() == stored > 0
+
+
+def test_white_space_counts_where_the_tokenizer_keeps_it(spark):
+    path = P.path("byte_bpe_50k.json")
+    rows = [(1, "a  b"), (2, "a b"), (3, "a\n\n b"), (4, None)]
+    library = Tokenizer.from_file(path)
+    got = token_counts.count_tokens(spark.createDataFrame(rows, "doc_id bigint, text string"), path).collect()
+    assert {r.doc_id: r.n_tokens for r in got} == {i: len(library.encode(t or "", add_special_tokens=False).ids) for i, t in rows}
