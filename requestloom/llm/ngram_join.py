@@ -4,14 +4,16 @@ Every document is a set of shingle hashes.  Equal sets are one class.  Two sets
 ``n - ceil(t n) + 1`` first shingles of either, in any order common to all sets; the order puts shingles that many
 documents hold last.  Sets that share such a shingle meet in a tile, cut by bands of set size.  A pair of a tile has to
 pass the size bound, the bound from the shingle's positions, and the bound from hashed bitmaps (bits of one set that the
-other lacks are elements it lacks).  What is left is compared exactly, as sorted arrays.
+other lacks are elements it lacks).  A bitmap of fixed size says little about a set of more elements than it has bits; so
+pairs of large sets then meet by wide bitmaps, of one to two bits an element, the larger of two folded to the size of the
+smaller.  What is left is compared exactly, as sorted arrays.
 
 Tiles of thousands of near copies are not expanded: each band's members meet its smallest set first, then, where that
 leaves several components, a row that differs from tile to tile; afterwards only rows of a tile that are still in
 different components meet.
 
 Nulls, empty texts and texts without words: the empty set, linked with nothing, a component of its own.  Rows with a null
-id take no part and get a null component.  Rows that repeat an id get the component of their own text.
+id take no part and get a null component.  Rows that repeat an id are one document in the links: the links of each text are those of the id.
 """
 
 from __future__ import annotations
@@ -74,10 +76,10 @@ def _positions(common: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, size: int, common: np.ndarray) -> DataFrame:
-    """Per document: id, set size n, digest of the set, bitmap words, and the prefix (once per set and batch, never in a
-    row without an id)."""
+    """Per document: id, set size n, digest of the set, bitmap words, wide bitmap (of large sets), and the prefix (once per
+    set and batch, never in a row without an id)."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
-    schema = "id bigint, n int, digest binary, bitmap array<bigint>, prefix array<bigint>"
+    schema = "id bigint, n int, digest binary, bitmap array<bigint>, wide binary, prefix array<bigint>"
 
     def sign(batches):
         import hashlib
@@ -86,26 +88,29 @@ def signatures(docs: DataFrame, size: int, common: np.ndarray) -> DataFrame:
 
         late = shared.value
         for batch in batches:
-            seen, out = set(), ([], [], [], [], [])
+            seen, out = set(), ([], [], [], [], [], [])
             for doc, text in zip(batch.column(0).to_pylist(), C.binary_column(batch.column(1))):
                 values = C.shingle_hashes(C.words_of(text), size)
                 n = len(values)
                 digest = hashlib.blake2b(values.tobytes(), digest_size=16).digest()
-                bitmap = prefix = None
+                bitmap = wide = prefix = None
                 if doc is not None and n and digest not in seen:
                     seen.add(digest)
                     bits = np.zeros(64 * WORDS, np.uint8)
                     bits[values & np.uint64(64 * WORDS - 1)] = 1
                     bitmap = np.packbits(bits).view(np.int64)
+                    if n > 64 * WORDS:
+                        bits = np.zeros(1 << (n - 1).bit_length(), np.uint8)
+                        bits[values & np.uint64(len(bits) - 1)] = 1
+                        wide = np.packbits(bits).tobytes()
                     keep = n - math.ceil(NUMERATOR * n / DENOMINATOR) + 1
                     last = _positions(late, values)
                     prefix = np.concatenate([values[~last], values[last]])[:keep].view(np.int64)
-                for column, value in zip(out, (doc, n, digest, bitmap, prefix)):
+                for column, value in zip(out, (doc, n, digest, bitmap, wide, prefix)):
                     column.append(value)
-            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(column, kind) for column, kind in zip(out, kinds)], ["id", "n", "digest", "bitmap", "prefix"]
-            )
+            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64()))
+            names = ["id", "n", "digest", "bitmap", "wide", "prefix"]
+            yield pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(out, kinds)], names)
 
     return docs.mapInArrow(sign, schema)
 
@@ -147,6 +152,41 @@ def _lacks(one: str, other: str) -> str:
 BITMAPS = _common_words(f"least(l.n - ({_lacks('l', 'r')}), r.n - ({_lacks('r', 'l')}))")
 
 
+def least_common(n: int, m: int) -> int:
+    """How many elements two sets of these sizes have in common at least if they link."""
+    return -(-NUMERATOR * (n + m) // (NUMERATOR + DENOMINATOR))
+
+
+def wide_bitmaps_allow(one: bytes, other: bytes, n: int, m: int) -> bool:
+    """Whether sets of n and m elements with these wide bitmaps may link."""
+    x, y = np.frombuffer(one, np.uint64), np.frombuffer(other, np.uint64)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] | x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] | y[len(y) // 2 :]
+    lacks_x, lacks_y = int(np.bitwise_count(y & ~x).sum()), int(np.bitwise_count(x & ~y).sum())
+    return least_common(n, m) <= min(n - lacks_y, m - lacks_x)
+
+
+def _allowed_wide(pairs: DataFrame, words: DataFrame) -> DataFrame:
+    """The pairs that wide bitmaps allow; those without a wide bitmap on both sides pass."""
+    wide = words.where("wide is not null").select("id", "n", "wide")
+    met = pairs.join(wide.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("wide").alias("x")), "a", "left")
+    met = met.join(wide.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("wide").alias("y")), "b", "left")
+
+    def allow(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in range(2, 6)]
+            keep = [
+                x is None or y is None or wide_bitmaps_allow(x, y, n, m) for n, m, x, y in zip(*columns)
+            ]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return met.select("a", "b", "na", "nb", "x", "y").mapInArrow(allow, "a bigint, b bigint")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     """The pairs that link, by exact intersection of sorted arrays."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -189,17 +229,23 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         "band", F.expr(f"cast(floor(ln(n) / ln({DENOMINATOR} / {NUMERATOR})) as int)")
     )
     words = C.staged(
-        held.select(F.col("class_id").alias("id"), *[F.col("bitmap")[i].alias(f"b{i}") for i in range(WORDS)], "n"),
+        held.select(
+            F.col("class_id").alias("id"), *[F.col("bitmap")[i].alias(f"b{i}") for i in range(WORDS)], "n", "wide"
+        ),
         "bitmaps",
     )
+    narrow = words.drop("wide")
 
     def with_bitmaps(pairs: DataFrame) -> DataFrame:
         met = (
-            pairs.join(words.alias("l"), F.expr("a = l.id"))
-            .join(words.alias("r"), F.expr("b = r.id"))
+            pairs.join(narrow.alias("l"), F.expr("a = l.id"))
+            .join(narrow.alias("r"), F.expr("b = r.id"))
             .where(BITMAPS)
         )
-        return C.staged(met.select("a", "b").distinct(), "pairs")
+        return with_wide(met.select("a", "b").distinct())
+
+    def with_wide(pairs: DataFrame) -> DataFrame:
+        return C.staged(_allowed_wide(C.staged(pairs, "pairs"), words), "wide_pairs")
 
     first = with_bitmaps(C.star_pairs(tiles, ["n"], ["n", "pos"], SIZES, ["band", "piece"]))
     links = C.staged(_verified(first, docs, size), "links")
@@ -209,8 +255,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     other = f"{SIZES} and l.component <> r.component"
     middle = with_bitmaps(C.star_pairs(opened, ["turn"], ["turn", "n", "pos", "component"], other, ["piece"]))
     links = links.unionAll(C.staged(_verified(middle, docs, size), "links"))
-    opened = C.open_tiles(tiles, C.components(links, "star")).join(words.drop("n"), "id")
-    second = C.staged(C.cross_pairs(opened, f"{SIZES} and {BITMAPS}"), "pairs")
+    opened = C.open_tiles(tiles, C.components(links, "star")).join(narrow.drop("n"), "id")
+    second = with_wide(C.cross_pairs(opened, f"{SIZES} and {BITMAPS}"))
     links = links.unionAll(C.staged(_verified(second, docs, size), "links"))
     found = C.components(links, "all").withColumnRenamed("node", "class_id")
     named = classes.select("digest", "class_id").join(found, "class_id", "left")
