@@ -34,6 +34,8 @@ WORDS = 64 // 4  # 64-bit words of a bitmap: 1,024 bits
 #: shingles, however many documents there are, so they can be broadcast.  They only shape the order.
 BLOCK = 4096
 IN_BLOCK = 8
+#: Shingles of sets that a task hands on at a time.
+AT_ONCE = 1 << 19
 
 
 def common_shingles(docs: DataFrame, size: int) -> np.ndarray:
@@ -105,7 +107,7 @@ def signatures(docs: DataFrame, size: int, common: np.ndarray) -> DataFrame:
                         wide = np.packbits(bits).tobytes()
                     keep = n - math.ceil(NUMERATOR * n / DENOMINATOR) + 1
                     last = _positions(late, values)
-                    prefix = np.concatenate([values[~last], values[last]])[:keep].view(np.int64)
+                    prefix = np.concatenate([values[~last], values[last]])[:keep].view(np.int64).copy()
                 for column, value in zip(out, (doc, n, digest, bitmap, wide, prefix)):
                     column.append(value)
             kinds = (pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64()))
@@ -122,13 +124,24 @@ def _sets(docs: DataFrame, size: int, bits: np.ndarray) -> DataFrame:
     def read(batches):
         import pyarrow as pa
 
+        def full():
+            return pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"]
+            )
+
         for batch in batches:
             chosen = np.flatnonzero(C.may_be_member(shared.value, batch.column(2).to_numpy()))
-            part = batch.take(pa.array(chosen))
-            sets = [C.shingle_hashes(C.words_of(t), size).view(np.int64) for t in C.binary_column(part.column(1))]
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"]
-            )
+            ids, sets, held = [], [], 0
+            for row in chosen.tolist():
+                text = batch.column(1)[row].as_py()
+                ids.append(batch.column(0)[row].as_py())
+                sets.append(C.shingle_hashes(C.words_of(text.encode() if text else None), size).view(np.int64))
+                held += len(sets[-1])
+                if held >= AT_ONCE:
+                    yield full()
+                    ids, sets, held = [], [], 0
+            if ids:
+                yield full()
 
     return docs.withColumn("at", F.xxhash64("id")).mapInArrow(read, "id bigint, shingles array<bigint>")
 
