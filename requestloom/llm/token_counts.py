@@ -16,7 +16,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_root
+from ..session import shared_path
 from . import common as C
 from . import word_tokens as W
 
@@ -93,11 +93,11 @@ def count_tokens(
     """Per document: ``id_col``, n_bytes (long, UTF-8), n_tokens (long), over_limit (n_tokens > limit).
 
     Counts are those of the tokenizers library without added special tokens.  ``cache_dir`` is a folder all executors
-    reach; without one it is the cache of this tokenizer in the shared folder, which later runs find again.
+    reach, and in which later runs find the counts again; without one the run has a cache of its own in the shared folder.
     """
     spark = docs.sparkSession
     version = tokenizer_digest(tokenizer_path)
-    cache_dir = cache_dir or f"{shared_root(spark)}/requestloom/token_counts-{version[:16]}"
+    cache_dir = cache_dir or shared_path(spark, "token_counts")
     with open(tokenizer_path, encoding="utf-8") as lines:
         drops_white = W.chunked(lines.read())
     shared = W.share(spark, tokenizer_path)

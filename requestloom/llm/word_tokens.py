@@ -41,17 +41,16 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_str(document)
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.by_chunks = chunked(document)
-        # Two generations: when the younger one is full the older one goes, but for what was asked for since.
         self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-
-    def _learn(self, chunks: set[bytes]) -> dict[bytes, bytes]:
-        """The ids of chunks that the younger generation does not hold."""
-        found = {c: self.older[c] for c in chunks if c in self.older}
-        fresh = [c for c in chunks if c not in found]
-        coded = self.tokenizer.encode_batch_fast([c.decode() for c in fresh], add_special_tokens=False)
-        found.update((c, np.array(e.ids, self.kind).tobytes()) for c, e in zip(fresh, coded))
-        self.known.update((c, ids) for c, ids in found.items() if len(c) <= C.LONGEST_KEPT)
+
+    def _learn(self, chunks: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of chunks that are not remembered yet."""
+        coded = self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)
+        found = {c: np.array(e.ids, self.kind).tobytes() for c, e in zip(chunks, coded)}
+        self.known.update(found)
+        for c in chunks:
+            if len(c) > C.LONGEST_KEPT:
+                del self.known[c]
         return found
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
@@ -59,14 +58,14 @@ class WordTokens:
         if not self.by_chunks:
             found = self.tokenizer.encode_batch_fast([(t or b"").decode() for t in texts], add_special_tokens=False)
             return [np.array(e.ids, self.kind).tobytes() for e in found]
-        if 2 * len(self.known) > CHUNKS_KEPT:
-            self.known, self.older = {}, self.known
+        if len(self.known) > CHUNKS_KEPT:
+            self.known.clear()
         split = [text.split() if text else () for text in texts]
         found = [list(map(self.known.get, chunks)) for chunks in split]
         fresh = [i for i, ids in enumerate(found) if None in ids]
         missing = {chunk for i in fresh for chunk, ids in zip(split[i], found[i]) if ids is None}
         if missing:
-            learned = self._learn(missing)
+            learned = self._learn(list(missing))
             for i in fresh:
                 found[i] = [learned[c] if ids is None else ids for c, ids in zip(split[i], found[i])]
         return list(map(b"".join, found))

@@ -176,13 +176,12 @@ def test_stores_keep_no_long_keys_and_two_generations():
     assert set(coder.known) == {b"cat"}
 
 
-def test_a_second_run_encodes_nothing(spark, docs):
-    """Without a folder of its own a count finds the counts of the run before."""
-    first = token_counts.count_tokens(docs, WORDS).collect()
-    where = f"{token_counts.shared_root(spark)}/requestloom/token_counts-{token_counts.tokenizer_digest(WORDS)[:16]}"
-    stored = spark.read.parquet(where).count()
-    assert sorted(token_counts.count_tokens(docs, WORDS).collect()) == sorted(first)
-    assert spark.read.parquet(where).count() == stored > 0
+def test_a_second_run_encodes_nothing(spark, docs, tmp_path):
+    cache = f"file://{tmp_path}/counts"
+    first = token_counts.count_tokens(docs, WORDS, cache).collect()
+    stored = spark.read.parquet(cache).count()
+    assert sorted(token_counts.count_tokens(docs, WORDS, cache).collect()) == sorted(first)
+    assert spark.read.parquet(cache).count() == stored > 0
 
 
 def test_white_space_counts_where_the_tokenizer_keeps_it(spark):
