@@ -37,23 +37,17 @@ LONGEST_KEPT = 128
 
 
 class Bounded(dict):
-    """A dict that computes missing values and remembers about ``most`` of them.
-
-    It keeps two generations: when the younger one is full the older one goes, but for what was asked for since.
-    """
+    """A dict that computes missing values and starts afresh when it holds ``most`` of them."""
 
     def __init__(self, compute: Callable, most: int):
         super().__init__()
-        self.compute, self.most, self.older = compute, most, {}
+        self.compute, self.most = compute, most
 
     def __missing__(self, key):
+        value = self.compute(key)
         if len(key) > LONGEST_KEPT:
-            return self.compute(key)
-        value = self.older.get(key)
-        if value is None:
-            value = self.compute(key)
-        if 2 * len(self) >= self.most:
-            self.older = dict(self)
+            return value
+        if len(self) >= self.most:
             self.clear()
         self[key] = value
         return value
