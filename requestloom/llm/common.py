@@ -226,20 +226,24 @@ def components(links: DataFrame, label: str) -> DataFrame:
 PIECE = 4096
 
 
-def cut_tiles(rows: DataFrame, label: str) -> DataFrame:
-    """Rows (key, id, ...) whose key occurs more than once, with the piece of their tile, written to the shared folder."""
+def shared_tiles(rows: DataFrame) -> DataFrame:
+    """Rows (key, id, ...) whose key occurs more than once, with the piece of their tile."""
     from pyspark.sql import Window
 
-    return staged(
+    return (
         rows.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("key")))
         .where("m > 1")
         .withColumn("pieces", F.expr(f"cast(ceil(m / {PIECE}) as int)"))
         .withColumn("piece", F.expr("cast(pmod(xxhash64(id), pieces) as int)"))
-        .drop("m"),
-        label,
+        .drop("m")
     )
 
 
+def cut_tiles(rows: DataFrame, label: str) -> DataFrame:
+    """``shared_tiles``, written to the shared folder."""
+    return staged(shared_tiles(rows), label)
+
+
 def star_pairs(tiles: DataFrame, order: list[str], carried: list[str], may_link: str, groups: list[str]) -> DataFrame:
     """Pairs of each tile's first row with its others, and of first rows of the same key with each other.
 
