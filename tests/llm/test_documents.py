@@ -161,6 +161,14 @@ def test_edit_distance():
         expected = edit_distance(a, b)
         assert line_dedup.edit_distance(a, b) == expected
         assert [line_dedup.within(a, b, m) for m in range(15)] == [expected <= m for m in range(15)]
+    for _ in range(300):
+        a = "".join(r.choice(list("abcdé "), r.integers(20, 90)))
+        b = list(a)
+        for at in r.integers(0, len(a), r.integers(0, 12)):
+            b[at] = r.choice(["", "z", b[at] + "y"])
+        b, expected = "".join(b), edit_distance(a, "".join(b))
+        assert line_dedup.enough_shared(a, b, expected)
+        assert [line_dedup.within(a, b, m) for m in range(14)] == [expected <= m for m in range(14)]
     assert line_dedup.within("x" * 3000 + "a" + "y" * 3000, "x" * 3000 + "b" + "y" * 3000, 1)
 
 
@@ -244,6 +252,24 @@ def test_lines_by_edit_similarity_alone(spark):
     assert {r.doc_id for r in got if r._n_removed} == {i for i in normal if group[i] != i} and len(links) > 300
 
 
+def test_tiles_of_any_size(spark, monkeypatch):
+    """Small tiles give their pairs, larger ones their rows, also where a tile runs over several batches."""
+    monkeypatch.setattr(C, "PIECE", 8)
+    sizes = [1, 2, 15, 16, 17, 40, 3, 90, 1]
+    rows = [(k, 100 * k + i, 7, 50) for k, size in enumerate(sizes) for i in range(size)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 13)
+    try:
+        got = line_dedup.met_in_tiles(spark.createDataFrame(rows, "key bigint, id bigint, sig bigint, chars int")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    small = [(k, n) for k, n in enumerate(sizes) if n <= line_dedup.SMALL]
+    pairs = [p for k, n in small for p in combinations(range(100 * k, 100 * k + n), 2)]
+    assert sorted((r.a, r.b) for r in got if r.key is None) == sorted(pairs)
+    large = sorted((r.key, r.a, r.piece) for r in got if r.key is not None)
+    assert [(k, i) for k, i, _ in large] == [(r[0], r[1]) for r in rows if sizes[r[0]] > line_dedup.SMALL]
+    assert {k: max(p for kk, _, p in large if kk == k) for k, *_ in large} == {4: 2, 5: 4, 7: 11}
+
+
 def test_simhash_of_long_lines():
     lines = [[b"w%d" % j for j in range(i, i + n)] for i, n in enumerate((1, 2, 254, 255, 256, 700))]
     lines.append([b"a", b"|", b"b", b"|", b"c"])
