@@ -160,16 +160,49 @@ def test_edit_distance():
         a, b = ("".join(r.choice(list("abé"), r.integers(0, 14))) for _ in range(2))
         expected = edit_distance(a, b)
         assert line_dedup.edit_distance(a, b) == expected
-        assert [line_dedup.within(a, b, m) for m in range(15)] == [expected <= m for m in range(15)]
+        assert line_dedup.within([a] * 15, [b] * 15, list(range(15))).tolist() == [expected <= m for m in range(15)]
     for _ in range(300):
         a = "".join(r.choice(list("abcdé "), r.integers(20, 90)))
         b = list(a)
         for at in r.integers(0, len(a), r.integers(0, 12)):
             b[at] = r.choice(["", "z", b[at] + "y"])
         b, expected = "".join(b), edit_distance(a, "".join(b))
-        assert line_dedup.enough_shared(a, b, expected)
-        assert [line_dedup.within(a, b, m) for m in range(14)] == [expected <= m for m in range(14)]
-    assert line_dedup.within("x" * 3000 + "a" + "y" * 3000, "x" * 3000 + "b" + "y" * 3000, 1)
+        assert line_dedup.enough_shared([a], [b], np.array([expected])).all()
+        assert line_dedup.within([a] * 14, [b] * 14, list(range(14))).tolist() == [expected <= m for m in range(14)]
+    assert line_dedup.within(["x" * 3000 + "a" + "y" * 3000], ["x" * 3000 + "b" + "y" * 3000], [1]).all()
+
+
+def test_few_edits():
+    """Many pairs in step, of one to five words of 64 rows, with all letters alike, few or many."""
+    r = np.random.default_rng(5)
+    shorter, longer = [], []
+    for i in range(400):
+        letters = list(("ab", "abcdefgh", "\u6f22\u5b57\u00e9\U0001f600ab", "a")[i % 4])
+        a = list(r.choice(letters, r.choice([1, 5, 63, 64, 65, 127, 128, 129, 200, 300])))
+        b = list(a)
+        for at in r.integers(0, len(a), r.integers(0, 1 + len(a) // 3)):
+            b[at] = r.choice(["", "z", b[at] + "y"])
+        a, b = sorted(("".join(a), "".join(b) or "z"), key=len)
+        shorter.append(a)
+        longer.append(b)
+    distances = [line_dedup.edit_distance(a, b) for a, b in zip(shorter, longer)]
+    for most in (0, 1, 5, 20, 64, 300):
+        assert line_dedup.few_edits(shorter, longer, [most] * 400).tolist() == [d <= most for d in distances]
+    own = [len(b) // 10 for b in longer]
+    assert line_dedup.few_edits(shorter, longer, own).tolist() == [d <= m for d, m in zip(distances, own)]
+    assert line_dedup.within(shorter, longer, own).tolist() == [d <= m for d, m in zip(distances, own)]
+
+
+def test_keys_do_not_follow_the_company():
+    """The keys of a line and their places are the same, whatever lines are signed with it."""
+    lines = [line_dedup.normal_line(words(i, 4 + i % 70).encode()) for i in range(300)]
+    lines.append(("aé" * 40 + words(9, 30)).encode())
+    chars = [len(line.decode()) for line in lines]
+    together = line_dedup.meeting_keys(lines, chars)
+    for line, n, (keys, places) in zip(lines, chars, together):
+        alone = line_dedup.meeting_keys([line], [n])[0]
+        assert sorted(zip(*map(list, alone))) == sorted(zip(keys, places))
+        assert (places < n).all()
 
 
 def plain_lines(rows):
@@ -245,7 +278,7 @@ def test_lines_by_edit_similarity_alone(spark):
         (a, b)
         for a, b in combinations(normal, 2)
         if abs(len(normal[a]) - len(normal[b])) <= 50
-        and line_dedup.within(normal[a], normal[b], max(len(normal[a]), len(normal[b])) // 10)
+        and line_dedup.within([normal[a]], [normal[b]], [max(len(normal[a]), len(normal[b])) // 10]).all()
     ]
     group = grouped(normal, links)
     got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
@@ -256,10 +289,10 @@ def test_tiles_of_any_size(spark, monkeypatch):
     """Small tiles give their pairs, larger ones their rows, also where a tile runs over several batches."""
     monkeypatch.setattr(C, "PIECE", 8)
     sizes = [1, 2, 15, 16, 17, 40, 3, 90, 1]
-    rows = [(k, 100 * k + i, 7, 50) for k, size in enumerate(sizes) for i in range(size)]
+    rows = [(k, 100 * k + i, 7, 50, 3) for k, size in enumerate(sizes) for i in range(size)]
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 13)
     try:
-        got = line_dedup.met_in_tiles(spark.createDataFrame(rows, "key bigint, id bigint, sig bigint, chars int")).collect()
+        got = line_dedup.met_in_tiles(spark.createDataFrame(rows, "key bigint, id bigint, sig bigint, chars int, place int")).collect()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     small = [(k, n) for k, n in enumerate(sizes) if n <= line_dedup.SMALL]
