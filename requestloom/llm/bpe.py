@@ -24,9 +24,16 @@ from pyspark.sql import functions as F
 from . import common as C
 
 #: White space as the reference library's regular expressions define it.
-WHITE = "\t-\r \x85\xa0" + "{0}{1}-{2}{3}{4}{5}{6}{7}".format(
-    *map(chr, (0x1680, 0x2000, 0x200A, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
-)
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Code points that the ``regex`` module takes for letters or numbers, and the reference library, whose
+#: Unicode is a version older, does not.
+NEWER = """
+558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7
+10ED9-10EEE 11B0A 11DB0-11DDB 11DE0-11DE9 11DF1 1246F 12475-1247F 12550-12686 16EA0-16EB8 16EBB-16ED3 16FF2-16FF6
+187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81
+1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E
+2CEA2-2CEAD 323B0-33479 3D000-3FC3F
+"""
 #: What a process remembers at most, about 400 MB in all, since nothing long is kept.
 CHUNKS_KEPT, PIECES_KEPT, PAIRS_KEPT = 1_200_000, 300_000, 400_000
 
@@ -64,6 +71,10 @@ class BytePairs:
         self.automaton.make_automaton()
         inside = pattern.replace("[^\\s", f"[^{WHITE}").replace("\\s", f"[{WHITE}]").replace("\\S", f"[^{WHITE}]")
         self.split = regex.compile(inside).findall
+        newer = "[" + "".join("-".join(f"\\U{int(end, 16):08x}" for end in r.split("-")) for r in NEWER.split()) + "]"
+        self.has_newer = re.compile(newer).search
+        without = re.sub(r"\\p\{\w+\}", lambda found: f"[{found[0]}--{newer}]", inside)
+        self.split_newer = regex.compile(without, regex.VERSION1).findall
         # White space with what follows it up to the next: no piece crosses such a border.  The first form is quicker
         # and right for texts without other white space than blanks and line feeds.
         self.chunks = re.compile("[ \n]*[^ \n]+|[ \n]+").findall
@@ -117,7 +128,8 @@ class BytePairs:
         return [token for token, _ in chosen]
 
     def _chunk(self, chunk: str) -> bytes:
-        ids = list(chain.from_iterable(self.pieces[p.encode()] for p in self.split(chunk)))
+        split = self.split if chunk.isascii() or not self.has_newer(chunk) else self.split_newer
+        ids = list(chain.from_iterable(self.pieces[p.encode()] for p in split(chunk)))
         return np.array(ids, self.kind).tobytes()
 
     def encode(self, text: str | None) -> np.ndarray:

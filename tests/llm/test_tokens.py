@@ -57,6 +57,15 @@ def coders(library, tokenizer):
     test_word_ids.coder = word_tokens.WordTokens(open(WORDS, encoding="utf-8").read())
 
 
+def test_bpe_every_code_point(library):
+    """Each code point before and after letters, numbers and other signs."""
+    coder = test_bpe_any_text.coder
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for start in range(0, len(points), 1 << 16):
+        text = " ".join(f"a{chr(c)}b1{chr(c)}2.{chr(c)}" for c in points[start : start + (1 << 16)])
+        assert np.array_equal(coder.encode(text), library.encode_ordinary(text))
+
+
 def test_bpe_other_tables():
     """Small tables, where tokens hide each other: the plain merges decide."""
     coder = bpe.BytePairs({b"a": 0, b"b": 1, b"c": 2, b"ab": 3, b"bc": 4, b"abc": 5, b"ca": 6, b"cab": 7}, r"\S+")
