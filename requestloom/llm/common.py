@@ -161,10 +161,18 @@ def member_bits(ids: DataFrame, column: str, hashed: bool = False) -> np.ndarray
     while bits < 16 * count and bits < MEMBER_BITS:
         bits *= 2
     hashes = F.col(column) if hashed else F.xxhash64(F.col(column).cast("long"))
-    at = F.pmod(hashes, F.lit(bits))
+    return _bitmap(ids.select(F.pmod(hashes, F.lit(bits)).alias("at")), bits)
+
+
+def repeated_bits(hashes: DataFrame, column: str) -> np.ndarray:
+    """As ``member_bits``, of the hashes that occur more than once."""
+    at = F.pmod(F.col(column), F.lit(MEMBER_BITS)).cast("int")
+    return _bitmap(hashes.groupBy(at.alias("at")).count().where("count > 1").select("at"), MEMBER_BITS)
+
+
+def _bitmap(places: DataFrame, bits: int) -> np.ndarray:
     rows = (
-        ids.select(at.alias("at"))
-        .groupBy(F.expr("at div 32768").alias("part"))
+        places.groupBy(F.expr("at div 32768").alias("part"))
         .agg(F.bitmap_construct_agg(F.col("at") % 32768).alias("bitmap"))
         .collect()
     )
