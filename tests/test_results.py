@@ -310,3 +310,19 @@ def test_shared_folder_of_one_machine_is_refused():
         with pytest.raises(ValueError):
             check_shared(root, local=False)
     check_shared("hdfs://host/x", local=False)
+
+
+def test_plain_path_that_tasks_reach_is_taken_on_a_cluster(spark, monkeypatch, tmp_path):
+    from requestloom import session
+
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    named = session.shared_root(spark)  # the session's own setting, else the warehouse
+    staged = session.stage_table(spark.range(10), "probe")
+    assert staged.count() == 10 and staged.inputFiles()[0].removeprefix("file://").startswith(named.removeprefix("file:"))
+    # a folder in which the driver finds nothing of what the tasks wrote
+    monkeypatch.setattr(session, "_REACHED", set())
+    empty = spark.createDataFrame([], "id bigint")
+    empty.write.parquet(str(tmp_path / "empty"))
+    monkeypatch.setattr(type(spark.read), "parquet", lambda self, *paths: empty)
+    with pytest.raises(ValueError, match="set spark.checkpoint.dir"):
+        session.shared_root(spark)
