@@ -3,11 +3,16 @@
 A tokenizer file whose pre-tokenizer drops white space gives a text the ids of its chunks, one after the other: no token,
 normalisation or special string reaches across a blank.  So each distinct chunk is encoded by the library once per
 process and remembered.  Files of another kind are refused by ``chunked``; their texts are encoded whole.
+
+Where the file also cuts chunks by ``WORD_PATTERN`` and lower-cases them (``pieced``), new chunks of ASCII and Latin-1 are
+cut in the same way first, since far fewer pieces than chunks are distinct; the library encodes the new pieces, many to a
+call, told apart by the suffix that ends a word's last token.
 """
 
 from __future__ import annotations
 
 import json
+import re
 
 import numpy as np
 from pyspark.sql import SparkSession
@@ -16,6 +21,14 @@ from . import common as C
 
 #: Chunks that a process remembers at most, about 250 MB, since no long one is kept.
 CHUNKS_KEPT = 1_000_000
+#: Pieces of chunks that a process remembers at most, about 100 MB.
+PIECES_KEPT = 500_000
+#: Pieces in a text that the library encodes at once.
+JOINED = 100
+WORD_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: Characters that are in normal form, have one of these in lower case, and are no white space, and the pattern for them.
+PLAIN = re.compile("[\x21-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
 
 
 def chunked(document: str) -> bool:
@@ -31,6 +44,26 @@ def chunked(document: str) -> bool:
     return drops and plain and known and not spec.get("truncation") and not spec.get("padding")
 
 
+def pieced(document: str) -> bool:
+    """Whether chunks of ``PLAIN`` characters have the ids of their ``PIECE``s in lower case, each a word of the model.
+
+    Special strings hold a letter and a mark other than an apostrophe, so none is found in a piece.
+    """
+    spec = json.loads(document)
+    steps, model = (spec.get("pre_tokenizer") or {}).get("pretokenizers", []), spec["model"]
+    split = {"type": "Split", "pattern": {"Regex": WORD_PATTERN}, "behavior": "Removed", "invert": True}
+    level = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+    cuts = len(steps) == 2 and steps[0] == split and {k: steps[1].get(k) for k in level} == level
+    normal = (spec.get("normalizer") or {}).get("normalizers", [spec.get("normalizer") or {}])
+    lower = any(step.get("type") == "Lowercase" for step in normal)
+    apart = all(
+        not t["normalized"] and re.search("[A-Za-z]", t["content"]) and re.search("[^\\w']", t["content"])
+        for t in spec["added_tokens"]
+    )
+    words = model["type"] == "BPE" and model.get("end_of_word_suffix") and not model.get("dropout")
+    return bool(chunked(document) and cuts and lower and apart and words)
+
+
 class WordTokens:
     def __init__(self, document: str):
         import os
@@ -42,33 +75,70 @@ class WordTokens:
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.by_chunks = chunked(document)
         self.known: dict[bytes, bytes] = {}
+        self.by_pieces = pieced(document)
+        self.pieces: dict[str, bytes] = {}
+        if self.by_pieces:
+            spec = json.loads(document)
+            special = "|".join(re.escape(t["content"]) for t in spec["added_tokens"])
+            self.special = re.compile(special or "(?!)")
+            self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+            suffix = spec["model"]["end_of_word_suffix"]
+            self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, self.kind).tobytes() for e in coded]
+
+    def _of_pieces(self, pieces: set[str]) -> dict[str, bytes]:
+        """The ids of pieces."""
+        if len(self.pieces) > PIECES_KEPT:
+            self.pieces.clear()
+        new = [p for p in pieces if p not in self.pieces]
+        some = [new[i : i + JOINED] for i in range(0, len(new), JOINED)]
+        learned = {}
+        for group, e in zip(some, self.tokenizer.encode_batch_fast([" ".join(g) for g in some], add_special_tokens=False)):
+            ids = np.array(e.ids, self.kind)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(group) and ends[-1] == len(ids):
+                raw, stops = ids.tobytes(), (ends * self.kind.itemsize).tolist()
+                learned.update(zip(group, map(lambda start, stop: raw[start:stop], [0, *stops], stops)))
+            else:  # some piece has no last token
+                learned.update(zip(group, self._whole(group)))
+        found = {p: self.pieces[p] for p in pieces if p not in learned} | learned
+        self.pieces.update((p, ids) for p, ids in learned.items() if len(p) <= C.LONGEST_KEPT)
+        return found
 
-    def _learn(self, chunks: list[bytes]) -> dict[bytes, bytes]:
+    def _learn(self, chunks: set[bytes]) -> dict[bytes, bytes]:
         """The ids of chunks that are not remembered yet."""
-        coded = self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)
-        found = {c: np.array(e.ids, self.kind).tobytes() for c, e in zip(chunks, coded)}
-        self.known.update(found)
-        for c in chunks:
-            if len(c) > C.LONGEST_KEPT:
-                del self.known[c]
+        found, whole = {}, list(chunks)
+        if self.by_pieces:
+            cut, whole = {}, []
+            for c in chunks:
+                text = c.decode()
+                if PLAIN.fullmatch(text) and not self.special.search(text):
+                    cut[c] = PIECE.findall(text.lower())
+                else:
+                    whole.append(c)
+            ids = self._of_pieces({p for parts in cut.values() for p in parts})
+            found = {c: b"".join(map(ids.__getitem__, parts)) for c, parts in cut.items()}
+        found.update(zip(whole, self._whole([c.decode() for c in whole])))
         return found
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """The ids of each text (null: none) as little-endian numbers of type ``kind``."""
         if not self.by_chunks:
-            found = self.tokenizer.encode_batch_fast([(t or b"").decode() for t in texts], add_special_tokens=False)
-            return [np.array(e.ids, self.kind).tobytes() for e in found]
+            return self._whole([(t or b"").decode() for t in texts])
         if len(self.known) > CHUNKS_KEPT:
             self.known.clear()
         split = [text.split() if text else () for text in texts]
-        found = [list(map(self.known.get, chunks)) for chunks in split]
-        fresh = [i for i, ids in enumerate(found) if None in ids]
-        missing = {chunk for i in fresh for chunk, ids in zip(split[i], found[i]) if ids is None}
+        missing = set().union(*split).difference(self.known)
         if missing:
-            learned = self._learn(list(missing))
-            for i in fresh:
-                found[i] = [learned[c] if ids is None else ids for c, ids in zip(split[i], found[i])]
-        return list(map(b"".join, found))
+            self.known.update(self._learn(missing))
+        found = [b"".join(map(self.known.__getitem__, chunks)) for chunks in split]
+        for chunk in missing:
+            if len(chunk) > C.LONGEST_KEPT:
+                del self.known[chunk]
+        return found
 
 
 def share(spark: SparkSession, path: str):

@@ -81,6 +81,36 @@ def test_word_ids(text):
     assert ids.tolist() == test_word_ids.library.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=500, deadline=None)
+@given(st.text(alphabet="aZsTré\u00dfÀÿ'.,<|>09 \t\u0130\u0301ſ\u00b5中" + "\u00d7", max_size=60), st.sampled_from(["", "<|endoftext|>", "<|ENDOFTEXT|>", "</w>", "'RE'll"]))
+def test_word_ids_by_pieces(text, odd):
+    coder = word_tokens.WordTokens.__new__(word_tokens.WordTokens)
+    coder.__dict__ |= test_word_ids.coder.__dict__ | {"known": {}, "pieces": {}}
+    whole = text + odd + text
+    ids = np.frombuffer(coder.encode([whole.encode()])[0], coder.kind)
+    assert coder.by_pieces and ids.tolist() == test_word_ids.library.encode(whole, add_special_tokens=False).ids
+
+
+def test_equal_pieces_of_chunks_are_encoded_once():
+    coder, asked = word_tokens.WordTokens(open(WORDS, encoding="utf-8").read()), []
+    library, long = coder.tokenizer, "ab" * 100
+
+    class Asked:
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(piece for text in texts for piece in text.split())
+            return library.encode_batch_fast(texts, **options)
+
+    coder.tokenizer = Asked()
+    texts = ["Cat, cat. (CAT) caT's 'cat", f"cat,cat {long}. {long} {long}!", "中cat"]
+    expected = [library.encode(text, add_special_tokens=False).ids for text in texts]
+    texts = [text.encode() for text in texts]
+    assert [np.frombuffer(ids, coder.kind).tolist() for ids in coder.encode(texts[:1])] == expected[:1]
+    assert sorted(asked) == sorted(["cat", ",", ".", "(", ")", "'s", "'"])
+    asked.clear()
+    assert [np.frombuffer(ids, coder.kind).tolist() for ids in coder.encode(texts)] == expected
+    assert sorted(asked) == sorted([long, "!", "中cat"]) and long not in coder.pieces
+
+
 def test_files_of_other_kinds_are_encoded_whole():
     path = P.path("byte_bpe_50k.json")
     coder = word_tokens.WordTokens(open(path, encoding="utf-8").read())
