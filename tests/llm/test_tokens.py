@@ -216,6 +216,30 @@ def test_stores_keep_no_long_keys():
     assert set(coder.known) == {b"cat"}
 
 
+def test_a_process_keeps_the_store_of_one_step_at_a_time(monkeypatch):
+    import sys
+    import weakref
+
+    from requestloom.llm import common
+
+    monkeypatch.setattr(sys, "_requestloom_kept", {}, raising=False)
+
+    class Store:  # in a cycle with what it computes by
+        def __init__(self):
+            self.known = common.Bounded(self.upper, 4)
+
+        def upper(self, key):
+            return key.upper()
+
+    first = common.per_process("one", Store)
+    assert first.known["a"] == "A"
+    assert common.per_process("one", dict) is first
+    gone = weakref.ref(first)
+    del first
+    assert gone() is not None
+    assert common.per_process("two", list) == [] and gone() is None
+
+
 def test_a_second_run_encodes_nothing(spark, docs, tmp_path):
     cache = f"file://{tmp_path}/counts"
     first = token_counts.count_tokens(docs, WORDS, cache).collect()
