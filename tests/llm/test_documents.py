@@ -303,6 +303,22 @@ def test_tiles_of_any_size(spark, monkeypatch):
     assert {k: max(p for kk, _, p in large if kk == k) for k, *_ in large} == {4: 2, 5: 4, 7: 11}
 
 
+def test_keys_are_brought_together_in_parts(docs, monkeypatch):
+    """No exchange holds much more than its share of the keys, and together they hold each once."""
+    occurrences = line_dedup.line_rows(docs.select(F.col("doc_id").alias("id"), "text")).localCheckpoint()
+    exchanged, meet = [], line_dedup.met_in_tiles
+
+    def counted(rows):
+        exchanged.append([r.key for r in rows.select("key").collect()])
+        return meet(rows)
+
+    monkeypatch.setattr(line_dedup, "met_in_tiles", counted)
+    groups = line_dedup.group_lines(docs.select("text"), occurrences).collect()
+    keys = occurrences.where("tiles is not null").select(F.explode("tiles")).count()
+    assert groups and sum(map(len, exchanged)) == keys and max(map(len, exchanged)) <= keys // 2
+    assert sum(len(set(part)) for part in exchanged) == len({key for part in exchanged for key in part})
+
+
 def test_simhash_of_long_lines():
     lines = [[b"w%d" % j for j in range(i, i + n)] for i, n in enumerate((1, 2, 254, 255, 256, 700))]
     lines.append([b"a", b"|", b"b", b"|", b"c"])
