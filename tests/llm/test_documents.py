@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from itertools import combinations
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from requestloom.llm import common as C
 from requestloom.llm import decontamination, line_dedup, ngram_join, pii, sharding
+from requestloom.session import SHUFFLE_CLEANUP, stage_table
 
 from .conftest import words
 
@@ -255,6 +257,45 @@ def test_lines_in_crowds(spark, monkeypatch):
     assert {r.doc_id: r.text for r in got} == expected and links > 100
 
 
+def test_lines_verified_in_parts(spark, monkeypatch):
+    lines = [words(i // 6, 30) + f" {i % 6}" for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(lines)), "id bigint, text string")
+    rows = line_dedup.line_rows(docs).select("key", "line_no").collect()
+    keys = [r.key for r in rows]
+    pairs = C.staged(spark.createDataFrame(list(combinations(keys, 2)), "a bigint, b bigint"), "pairs")
+    monkeypatch.setattr(line_dedup, "DOCS_AT_ONCE", 7)
+    monkeypatch.setattr(line_dedup, "VERIFIED_AT_ONCE", 40_000)  # three shares of each side
+    found = line_dedup._verified(pairs, docs).collect()
+    assert {frozenset(p) for p in found} == {frozenset(p) for p in combinations(keys, 2) if keys.index(p[0]) // 6 == keys.index(p[1]) // 6}
+    assert len(found) == 150
+
+
+def test_pairs_of_tiles_in_parts(spark):
+    rows = spark.createDataFrame(
+        [(key, i, i // 2, i % 3, 3) for key in (1, 2) for i in range(12)], "key int, id bigint, component bigint, piece int, pieces int"
+    )
+    whole = {tuple(p) for p in C.cross_pairs(rows, "true").collect()}
+    parts = [C.cross_pairs(rows, "true", F.pmod("id", F.lit(3)) == i).collect() for i in range(3)]
+    assert {tuple(p) for part in parts for p in part} == whole == {p for p in combinations(range(12), 2) if p[0] // 2 != p[1] // 2}
+    assert all(len(part) < len(whole) for part in parts)
+
+
+def test_staged_tables_leave_no_shuffle_files(spark):
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        return {name for name in blocks.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in name}
+
+    before, kept = shuffled(), spark.conf.get(SHUFFLE_CLEANUP)
+    table = stage_table(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "table")
+    for _ in range(50):
+        if shuffled() <= before:
+            break
+        time.sleep(0.1)
+    assert shuffled() <= before
+    assert table.count() == 7 and spark.conf.get(SHUFFLE_CLEANUP) == kept
+
+
 def test_lines_of_odd_rows(odd_ids, empty):
     got = line_dedup.dedup_lines(odd_ids).collect()
     assert len(got) == odd_ids.count() and {r.text for r in got if r.doc_id is None} == {None}
