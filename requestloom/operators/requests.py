@@ -360,6 +360,7 @@ def _read_once(
             "file_path", "copy", "position", F.spark_partition_id().alias("bucket"), F.when(good, body).alias("body")
         ),
         "bodies",
+        "zstd",
     )
     good = F.col("body").isNotNull()
     counts = bodies.groupBy("bucket").agg(F.count_if(good).alias("n"), F.max("copy").alias("copies")).collect()

@@ -1223,16 +1223,16 @@ def _listed_query(modality: str) -> Query:
         else:
             content = C.base64_text(F.encode(text, "UTF-8"))
         docs = views.table(spark, sf_dir, "documents")
-        docs = docs.select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("k"), "doc_id", content.alias("content"))
-        writer = docs.select("k", "content").write.partitionBy("k").option("lineSep", "\n")
+        k = F.lpad(F.col("doc_id").cast("string"), 12, "0")
+        docs = docs.select(F.coalesce(k, F.lit("__HIVE_DEFAULT_PARTITION__")).alias("k"), "doc_id", content.alias("content"))
         ending = {"text": "txt", "image": "png", "video": "mp4"}[modality]
-        if modality == "text":
-            writer.text(root)
-        else:  # base64 text, which the writer leaves as it is
-            writer.option("extension", ending).option("emptyValue", "").csv(root)
+        place = F.concat(F.lit("k="), F.substring("k", 1, 9), F.lit("/k="), "k")  # in the order of the keys
+        part = F.concat(place, F.format_string(f".%05d.{ending}", F.spark_partition_id())).alias("name")
+        line = F.concat("content", F.lit("\n")).cast("binary").alias("content")
+        K.write_objects(docs.select(part, line).sortWithinPartitions("name"), root)
         listing = T.list_tree(spark, root, hidden=False).select("file_path", "size")
         gone = docs.filter("doc_id % 11 = 5").select(
-            F.concat(F.lit("k="), "k", F.lit(f"/gone.{ending}")).alias("file_path"), F.lit(4).cast("bigint").alias("size")
+            F.concat(place, F.lit(f".gone.{ending}")).alias("file_path"), F.lit(4).cast("bigint").alias("size")
         )
         batch = Q.prepare_listed_batch(
             listing.unionAll(gone),
@@ -1244,7 +1244,7 @@ def _listed_query(modality: str) -> Query:
             system_prompt=SYSTEM if modality == "image" else None,
             max_base64=LISTED_LIMIT,
         )
-        k = F.regexp_extract("file_path", "^k=([^/]*)/", 1).alias("k")
+        k = F.regexp_extract("file_path", "/k=([^.]*)[.]", 1).alias("k")
         empty = F.lit(None).cast("string")
         rejects = batch.rejects.select(k, empty.alias("record_id"), empty.alias("value"), "reason")
         return batch.requests.select(k, "record_id", "value", empty.alias("reason")).unionAll(rejects)

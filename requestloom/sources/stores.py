@@ -7,7 +7,10 @@ methods; every reader of this package takes one.
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import IO, NamedTuple
 from urllib.parse import urlsplit
 
@@ -79,16 +82,59 @@ class ArrowStore:
             file.seek(start)
             return file.read(length)
 
+    @contextmanager
+    def create(self, uri: str) -> Iterator[IO[bytes]]:
+        """A stream whose bytes become the object when it is closed without an error; an older object is replaced."""
+        system, path = self._place(uri)
+        if system.type_name not in ("local", "hdfs"):  # the others show no object before it is whole
+            with system.open_output_stream(path) as stream:
+                yield stream
+            return
+        folder, _, name = path.rpartition("/")
+        begun = f"{folder}/.{name}.{uuid.uuid4().hex}"
+        stream = system.open_output_stream(begun)
+        try:
+            with stream:
+                yield stream
+            if system.type_name == "hdfs" and system.get_file_info(path).is_file:
+                system.delete_file(path)
+            system.move(begun, path)
+        except BaseException:
+            system.delete_file(begun)
+            raise
+
+    def make_folder(self, uri: str) -> None:
+        system, path = self._place(uri)
+        system.create_dir(path, recursive=True)
+
     def entries(self, uri: str) -> Iterator[Entry]:
-        """The entries of one folder; none if there is no such folder."""
+        """The entries of one folder, one after the other where the store can do that; none if there is no such folder."""
         from pyarrow import fs
 
         system, path = self._place(uri)
+        if isinstance(system, fs.LocalFileSystem):
+            yield from _local_entries(path)
+            return
         for info in system.get_file_info(fs.FileSelector(path, allow_not_found=True)):
             folder = info.type == fs.FileType.Directory
             yield Entry(info.base_name, None if folder else info.size, info.mtime.timestamp() if info.mtime else None)
 
 
+def _local_entries(path: str) -> Iterator[Entry]:
+    try:
+        found = os.scandir(path)
+    except FileNotFoundError:
+        return
+    with found:
+        for item in found:
+            try:
+                about = item.stat()
+            except FileNotFoundError:  # a link to nowhere
+                yield Entry(item.name, None, None)
+            else:
+                yield Entry(item.name, None if item.is_dir() else about.st_size, about.st_mtime)
+
+
 def store_errors() -> tuple[type[Exception], ...]:
     """What opening or reading an object may raise; everything else is a fault of the program."""
     import pyarrow as pa

@@ -558,3 +558,80 @@ def test_skewed_clocks_do_not_decide(engine, monkeypatch):
     assert [r["job_arn"] for r in other.get_all_job_states().collect()] == arns[::-1]
     assert engine.load_job_state(arns[0]).first()["job_name"] == "first"
     assert engine.get_job_status(arns[1]).first()["status"] == "Completed"
+
+
+# ---------------------------------------------------------------- objects written by the tasks
+
+
+def test_objects_are_written_by_tasks(spark, tmp_path):
+    """Rows of one name that follow each other are one object, a second run replaces them, and nothing else is left."""
+    rows = [("a/1", b"x\n"), ("a/1", b"\xff"), ("a/é 2", b""), ("b/c/3", b"z")]
+    objects = spark.createDataFrame(rows, "name string, content binary").coalesce(1)
+    for root in (f"{tmp_path}/o", f"file://{tmp_path}/o"):
+        assert K.write_objects(objects, root) == root
+        found = {str(p.relative_to(tmp_path / "o")): p.read_bytes() for p in (tmp_path / "o").rglob("*") if p.is_file()}
+        assert found == {"a/1": b"x\n\xff", "a/é 2": b"", "b/c/3": b"z"}
+
+
+def test_an_object_that_fails_is_not_seen(tmp_path):
+    from requestloom.sources.stores import ArrowStore
+
+    store = ArrowStore()
+    with store.create(f"{tmp_path}/a") as stream:
+        stream.write(b"old")
+    with pytest.raises(RuntimeError):
+        with store.create(f"{tmp_path}/a") as stream:
+            stream.write(b"new")
+            raise RuntimeError
+    assert [(p.name, p.read_bytes()) for p in tmp_path.iterdir()] == [("a", b"old")]
+
+
+def test_large_folders_are_listed_in_pieces(spark, tmp_path, monkeypatch):
+    from requestloom.sources import listing
+
+    monkeypatch.setattr(listing, "ENTRIES_AT_ONCE", 3)
+    for i in range(10):
+        (tmp_path / str(i)).write_bytes(b"x" * i)
+    (tmp_path / "to nowhere").symlink_to(tmp_path / "nowhere")
+    found = listing.list_tree(spark, str(tmp_path)).collect()
+    assert sorted((r["file_path"], r["size"]) for r in found) == [(str(i), i) for i in range(10)]
+
+
+def test_many_folders_are_listed_by_few_tasks(spark, monkeypatch, tmp_path):
+    from requestloom.sources import listing
+
+    asked, level = [], listing._level
+    monkeypatch.setattr(listing, "_level", lambda f, r, s, tasks: asked.append(tasks) or level(f, r, s, tasks))
+    for i in range(80):
+        (tmp_path / str(i)).mkdir()
+        (tmp_path / str(i) / "x").write_bytes(b"x")
+    assert listing.list_tree(spark, str(tmp_path), task_folders=1).count() == 80
+    assert asked == [1, 4 * spark.sparkContext.defaultParallelism]
+
+
+def _documents(spark, folder, rows):
+    spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("modality", ["text", "image", "video"])
+def test_listed_objects_share_folders(spark, tmp_path, monkeypatch, modality):
+    """The objects of a listed batch need no folder each, and nothing beside them is written; rows are what they were."""
+    from requestloom.plans import catalog
+
+    root = str(tmp_path / "objects")
+    monkeypatch.setattr(catalog, "shared_path", lambda spark, label: root)
+    rows = [(i, None if i == 4 else "é" * i) for i in range(1, 41)] + [(40, "é" * 40)]
+    got = catalog.CATALOG[f"listed_{modality}_requests"][0](spark, _documents(spark, tmp_path, rows)).collect()
+    files = [p for p in (tmp_path / "objects").rglob("*") if p.is_file()]
+    assert len(files) == 40 and len({p.parent for p in files}) == 1
+    gone = [i for i in range(1, 41) if i % 11 == 5]
+    bad = [i for i in range(1, 41) if modality == "text" and i % 7 == 3]
+    good = [i for i in range(1, 41) if i not in bad]
+    requests = sorted((int(r["k"]), int(r["record_id"].split("_")[1])) for r in got if r["reason"] is None)
+    assert requests == [(i, n) for n, i in enumerate(good)]
+    assert sorted(int(r["k"]) for r in got if r["reason"] is not None) == sorted(gone + bad)
+    last = next(r["value"] for r in got if int(r["k"]) == 40 and r["reason"] is None)
+    twice = ("é" * 40 + "\n") * 2
+    content = twice if modality == "text" else base64.b64encode((base64.b64encode(("é" * 40).encode()) + b"\n") * 2).decode()
+    assert json.dumps(content, ensure_ascii=False)[1:-1] in last
