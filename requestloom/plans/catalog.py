@@ -30,6 +30,7 @@ from ..sources import listing as T
 from ..sources import objects as S
 from ..sources import registry as G
 from ..sources import sinks as K
+from ..sources.stores import ArrowStore
 from . import views
 from .scorers import make_length_scorer
 from .views import BATCH_TS, BUCKET, with_views
@@ -963,11 +964,17 @@ def required_fields(spark, sf_dir):
 
 
 def _one_file_per_row(spark, rows: DataFrame, label: str) -> str:
-    """Each text of a one-column table as a file of its own."""
-    root = shared_path(spark, label)
-    spread = rows.repartition(spark.sparkContext.defaultParallelism)
-    spread.write.option("maxRecordsPerFile", 1).text(root)
-    return root
+    """Each text of a one-column table as a file of its own, ten thousand rows of a partition in a folder."""
+    root, (column,) = shared_path(spark, label), rows.columns
+    if not ArrowStore.knows(root):
+        spread = rows.repartition(spark.sparkContext.defaultParallelism)
+        spread.write.option("maxRecordsPerFile", 1).text(root)
+        return root
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    folder = F.floor(row / 10000).cast("bigint")
+    name = F.format_string("%05d-%06d/%010d.txt", F.spark_partition_id(), folder, row)
+    content = F.concat(F.coalesce(column, F.lit("")), F.lit("\n")).cast("binary")
+    return K.write_objects(rows.select(name.alias("name"), content.alias("content")), root)
 
 
 @query(

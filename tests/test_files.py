@@ -635,3 +635,37 @@ def test_listed_objects_share_folders(spark, tmp_path, monkeypatch, modality):
     twice = ("é" * 40 + "\n") * 2
     content = twice if modality == "text" else base64.b64encode((base64.b64encode(("é" * 40).encode()) + b"\n") * 2).decode()
     assert json.dumps(content, ensure_ascii=False)[1:-1] in last
+
+
+def test_texts_are_listed_and_opened_by_tasks(spark, tmp_path, plan_of):
+    """The rows of Spark's source, without its list of all files on the driver."""
+    for name in ("a.txt", "d/é 1.txt", "d/_x.txt", "d/.y", "_h/z.txt", "_p=1/z.txt", "d/_metadata", "_metadata-1/m.txt", "e._COPYING_"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(name.encode())
+    (tmp_path / "empty").mkdir()
+    columns = ["file_path", "last_modified", "size", "content"]
+    for root in (str(tmp_path), f"file://{tmp_path}/", f"{tmp_path}/d", f"{tmp_path}/a.txt", f"{tmp_path}/d*"):
+        old = S.read_binary_objects(spark, root).withColumn("content", F.col("content").cast("string"))
+        new = S.read_text_objects(spark, root)
+        assert new.columns == columns and sorted(new.collect()) == sorted(old.select(columns).collect())
+    plan = plan_of(S.read_text_objects(spark, str(tmp_path)))
+    assert "binaryFile" not in plan and "MapInArrow" in plan
+    with pytest.raises(Exception):
+        S.read_text_objects(spark, f"{tmp_path}/none").collect()
+    lost = S.read_text_objects(spark, str(tmp_path))
+    (tmp_path / "a.txt").unlink()
+    with pytest.raises(Exception, match="cannot read .*a.txt"):
+        lost.collect()
+
+
+def test_files_of_rows_need_no_commit(spark, tmp_path, monkeypatch):
+    """One file per row, null and empty texts too, with nothing beside them that a commit would have to move."""
+    from requestloom.plans import catalog
+
+    root = str(tmp_path / "files")
+    monkeypatch.setattr(catalog, "shared_path", lambda spark, label: root)
+    folder = _documents(spark, tmp_path, [(1, "a"), (2, None), (3, ""), (4, "é"), (4, "é")])
+    got = catalog.CATALOG["read_text_objects"][0](spark, folder).collect()
+    assert sorted(r["size"] for r in got) == [1, 1, 2, 3, 3]
+    files = [p for p in (tmp_path / "files").rglob("*") if p.is_file()]
+    assert sorted(p.read_text() for p in files) == ["\n", "\n", "a\n", "é\n", "é\n"]
