@@ -5,6 +5,8 @@ import re
 import time
 import zlib
 from itertools import combinations
+from pathlib import Path
+from urllib.parse import urlsplit
 
 import numpy as np
 import pytest
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 
 from requestloom.llm import common as C
 from requestloom.llm import decontamination, line_dedup, ngram_join, pii, sharding
-from requestloom.session import SHUFFLE_CLEANUP, stage_table
+from requestloom.session import SHUFFLE_CLEANUP, drop_tables, shared_root, stage_table
 
 from .conftest import words
 
@@ -270,6 +272,43 @@ def test_lines_verified_in_parts(spark, monkeypatch):
     assert len(found) == 150
 
 
+def test_line_tables_go_when_they_are_read(spark, monkeypatch):
+    """Of what line dedup writes only what its result reads stays, and pairs are there for one part at a time, which are as
+    many as the rows that meet ask for; the lines are what they were."""
+    root = Path(shared_root(spark)) / "requestloom"
+    rows = []
+    for i in range(40):
+        one = words(1, 80).split()
+        one[i] = one[i] + "x"
+        rows.append((i, f"own line {words(100 + i, 9)}\n" + " ".join(one)))
+    before, seen, cross = {p.name for p in root.iterdir()}, [], C.cross_pairs
+
+    def counted(*args):
+        seen.append([p.name for p in root.iterdir() if p.name.startswith(("line_pairs", "line_tiles", "lines-")) and p.name not in before])
+        return cross(*args)
+
+    monkeypatch.setattr(C, "cross_pairs", counted)
+    monkeypatch.setattr(C, "PIECE", 16)
+    monkeypatch.setattr(line_dedup, "PASSES", 1)
+    monkeypatch.setattr(line_dedup, "MET_AT_ONCE", 200)
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r.doc_id: r.text for r in got} == plain_lines(rows)[0]
+    kinds = {p.name.rpartition("-")[0] for p in root.iterdir() if p.name not in before}
+    assert kinds <= {"line_places", "kinds", "line_links", "edges", "joined"}
+    assert len(seen) > 1 and not any(seen)
+
+
+def test_staged_tables_are_removed(spark, tmp_path):
+    table, other = stage_table(spark.range(9), "é 1"), stage_table(spark.range(9), "other")
+    folder = Path(urlsplit(other.inputFiles()[0]).path).parent
+    drop_tables(table)
+    assert other.count() == 9 and not [p for p in folder.parent.iterdir() if p.name.startswith("é 1-")]
+    spark.range(9).write.parquet(f"{tmp_path}/given")
+    with pytest.raises(ValueError):
+        drop_tables(spark.read.parquet(f"{tmp_path}/given"))
+    assert spark.read.parquet(f"{tmp_path}/given").count() == 9
+
+
 def test_pairs_of_tiles_in_parts(spark):
     rows = spark.createDataFrame(
         [(key, i, i // 2, i % 3, 3) for key in (1, 2) for i in range(12)], "key int, id bigint, component bigint, piece int, pieces int"
