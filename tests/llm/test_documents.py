@@ -12,9 +12,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from requestloom import session
 from requestloom.llm import common as C
 from requestloom.llm import decontamination, line_dedup, ngram_join, pii, sharding
-from requestloom.session import SHUFFLE_CLEANUP, drop_tables, shared_root, stage_table
+from requestloom.session import SHUFFLE_CLEANUP, drop_tables, stage_table
 
 from .conftest import words
 
@@ -272,19 +273,20 @@ def test_lines_verified_in_parts(spark, monkeypatch):
     assert len(found) == 150
 
 
-def test_line_tables_go_when_they_are_read(spark, monkeypatch):
+def test_line_tables_go_when_they_are_read(spark, monkeypatch, tmp_path):
     """Of what line dedup writes only what its result reads stays, and pairs are there for one part at a time, which are as
     many as the rows that meet ask for; the lines are what they were."""
-    root = Path(shared_root(spark)) / "requestloom"
+    root = tmp_path / "requestloom"
+    monkeypatch.setattr(session, "shared_root", lambda spark: str(tmp_path))
     rows = []
     for i in range(40):
         one = words(1, 80).split()
         one[i] = one[i] + "x"
         rows.append((i, f"own line {words(100 + i, 9)}\n" + " ".join(one)))
-    before, seen, cross = {p.name for p in root.iterdir()}, [], C.cross_pairs
+    seen, cross = [], C.cross_pairs
 
     def counted(*args):
-        seen.append([p.name for p in root.iterdir() if p.name.startswith(("line_pairs", "line_tiles", "lines-")) and p.name not in before])
+        seen.append([p.name for p in root.iterdir() if p.name.startswith(("line_pairs", "line_tiles", "lines-"))])
         return cross(*args)
 
     monkeypatch.setattr(C, "cross_pairs", counted)
@@ -293,7 +295,7 @@ def test_line_tables_go_when_they_are_read(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "MET_AT_ONCE", 200)
     got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert {r.doc_id: r.text for r in got} == plain_lines(rows)[0]
-    kinds = {p.name.rpartition("-")[0] for p in root.iterdir() if p.name not in before}
+    kinds = {p.name.rpartition("-")[0] for p in root.iterdir()}
     assert kinds <= {"line_places", "kinds", "line_links", "edges", "joined"}
     assert len(seen) > 1 and not any(seen)
 
